@@ -12,9 +12,12 @@ tasks into the shared folder under a name of their own and then renamed, so a re
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +26,17 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import chunks
+from .bpe import byte_characters
 from .common import list_array, scratch, slices
 
 MAGIC = b"FGTOKS8B"
 BLOCK_IDS = 512
 #: Ids after which a task starts its next file (one document never spans two).
 FILE_IDS = 3_000_000
-#: Fixed values of the format: how many values a word packs, by selector (0: escape); each has 60 // n bits.
+#: Fixed values of the format: how many values a word packs, by selector (0: escape); each has 60 // n bits. RUNS: runs of so many ids, each two runs of the other length.
 PACKED = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], np.int64)
+RUNS = {1: 1, 2: 1, 3: 2, 4: 2, 5: 4, 6: 4, 7: 4, 8: 4, 10: 8, 12: 8, 15: 8, 20: 15, 30: 15, 60: 30}
+BITS = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
 WIDTHS = np.array([64, *(60 // n for n in PACKED[1:15]), 64], np.int64)
 
 
@@ -44,22 +49,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid = np.zeros(blocks * BLOCK_IDS, np.uint64)
     grid[:n] = ids
     ends = np.minimum((np.arange(blocks) + 1) * BLOCK_IDS, n)
-    fits_in = np.ones(len(grid), np.uint8)  # bits of each id; never too few
-    fits_in[:n] = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
-    choice = np.zeros(len(grid), np.int64)  # the selector of a word that starts here: the first that fits packs most
-    left = (np.repeat(ends, BLOCK_IDS) - np.arange(len(grid))).astype(np.int32)
-    undone = np.ones(len(grid), bool)
-    for selector in range(1, 15):
-        size = int(PACKED[selector])
-        runs = np.zeros(len(grid) + 1, np.int32)
-        np.cumsum(fits_in <= WIDTHS[selector], out=runs[1:])
-        if len(grid) < size:
-            continue
-        now = np.zeros(len(grid), bool)
-        now[: len(grid) - size + 1] = runs[size:] - runs[: len(runs) - size] == size
-        now &= undone & (left >= size)
-        choice[now] = selector
-        undone &= ~now
+    own = np.full(blocks * BLOCK_IDS, 255, np.uint8)  # bits of each id, and never too few; 255 beyond the end
+    own[:n] = BITS[ids] if ids.max() < len(BITS) else np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
+    own = own.reshape(blocks, BLOCK_IDS)
+    choice = np.concatenate([_selectors(own[i : i + 128]) for i in range(0, blocks, 128)]).ravel()
     step = np.maximum(PACKED[choice], 1)
     at, starts = np.arange(blocks) * BLOCK_IDS, []
     while len(at):  # all blocks advance by a word at a time
@@ -83,6 +76,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, first[opens]
 
 
+def _selectors(own: np.ndarray) -> np.ndarray:
+    """The selector of a word that starts at each id, given the bits of each id of some blocks; 0 escapes."""
+    bits = np.pad(own, ((0, 0), (0, 60)), constant_values=255)
+    # The most bits of the next 1, 2, ... 60 ids, each from two shorter runs; a longer run that fits overrides.
+    most, best = {1: bits}, np.zeros(own.shape, np.uint8)
+    for size, of in RUNS.items():
+        if size > 1:
+            run = most[of]
+            most[size] = np.full_like(bits, 255)
+            np.maximum(run[:, : of - size], run[:, size - of :], out=most[size][:, : of - size])
+        selector = int(np.flatnonzero(PACKED[1:15] == size)[0]) + 1
+        np.maximum(best, (most[size][:, : own.shape[1]] <= np.uint8(WIDTHS[selector])).view(np.uint8) * np.uint8(15 - selector), out=best)
+    return np.where(best == 0, 0, 15 - best.astype(np.int64))
+
+
 def unpack(words: np.ndarray) -> np.ndarray:
     """The ids again, of all words or of those from any block's first word on."""
     if not len(words):
@@ -132,29 +140,58 @@ def read_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, in
     return doc_ids, counts, ids, number, part
 
 
+#: Texts of these characters alone are in normal form, have no blank but ASCII's, and are lower-cased one by one.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ¡¿«»‘’“”–—…€]*")
+#: On such a lower-cased text, what the tokenizer's own pattern finds.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+
+
+class Words(dict):
+    """Ids of words by the library's model. When full, it begins anew, and what it held comes back as it is met again."""
+
+    def __init__(self, model, most: int):
+        self.model, self.most, self.former = model, most, {}
+        self.byte = byte_characters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.former = dict(self)
+            self.clear()
+        if (ids := self.former.get(word)) is None:
+            spelt = word if word.isascii() else "".join([self.byte[b] for b in word.encode()])
+            ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        self[word] = ids
+        return ids
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, which no token crosses white space in: chunks new to this worker are encoded in one call."""
+    """Ids by the tokenizers library. A worker remembers the ids of words, so that each is encoded about once.
+
+    Words of a plain text are cut here and encoded by the library's model, without its normalizer and pattern, which would
+    leave them as they are. Every other text goes through the library whole.
+    """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.most = most
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.specials = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.words = Words(self.whole.model, most)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        new = list({c for p in parts for c in p if c not in memo})
-        for i in range(0, len(new), 20_000):
-            for c, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        of, out = self.words.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif _PLAIN.fullmatch(t) and not any(map(t.__contains__, self.specials)):
+                out.append(b"".join(map(of, _PIECES.findall(t.lower()))))
+            else:
+                out.append(array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes())
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}

@@ -84,6 +84,15 @@ def test_op5_whole_table(spark, library):
         start += len(ids)
 
 
+def test_library_encoder_by_chunks(library):
+    texts = [*ODD, "don't. wörld! ÉCOLE; İx İ.. a'b ... !? x<|ENDOFTEXT|> <|endoftext|>.", "e\u0301te\u0301 Ae\u0301, ΣΑΣ. ǅ 12,5 x1.", "L'École d'été: «¿Qué?» it's we'll I'D 'ſ 3.14 a_b ÀÖØÞß÷×ÿ"]
+    for most in (3, 100_000):
+        e = token_files.LibraryEncoder(PATH, most)
+        for _ in range(2):
+            for t in texts:
+                assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
 def test_token_files_odd_rows(spark, library, tmp_path):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(3, ODD[3], "y"), (None, "gone", "z")], "doc_id long, text string, start string")
     folder = token_files.token_files(df, PATH, f"file://{tmp_path}/a", files=3)
