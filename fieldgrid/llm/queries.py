@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, token_files
+from . import bpe, decontaminate, language, neighbours, simhash, token_files, warc
 from .common import documents
 
 #: The vocabulary file of the token queries.
@@ -25,14 +25,59 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of each document stand in windows of the benchmark, by binary search in suffix arrays."""
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token files, read them back, and return each document's place, size and checksum."""
     folder = token_files.token_files(documents(spark, sf_dir), TOKENIZER, end_id=1)
     return token_files.read_token_digests(spark, folder)
 
 
+def remainder(key: str, divisor: int):
+    """crc32 of the key as text, modulo the divisor; null keys have none."""
+    return F.crc32(F.col(key).cast("string")) % divisor
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by compression with dictionaries that are cut from the texts not held out."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(remainder("doc_id", 4) != 2))
+    found = language.predict(docs, model)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints, and the components of their links, by vantage-point trees."""
+    found = simhash.groups(simhash.fingerprint(documents(spark, sf_dir)))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write WARC archives of the pages and read them back by the salvage reader."""
+    folder = warc.archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = warc.read_archives(spark, folder, payloads=False).where("kind = 'record' AND record_type IN ('response', 'revisit')")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, by a pruned graph of each shard."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.search(neighbours.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op4_decontamination, op5_token_files, op6_language, op8_simhash, op9_warc, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
