@@ -99,9 +99,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return marked.mapInArrow(run, "path string, n_records long, n_bytes long")
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes] | str:
-    """Fields and block of a whole record, or what is wrong with it."""
-    if not (m := _VERSION.match(data)):
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
+    """Fields, block and end of the whole record that begins at a place, or what is wrong with it."""
+    if not (m := _VERSION.match(data, at)):
         return "no version line"
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
@@ -122,36 +122,38 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | str:
     digest = fields.get("warc-block-digest", "")
     if digest.startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest[5:].upper():
         return "block digest differs"
-    fields["total"] = str(start + int(size))
-    return fields, block
+    return fields, block, start + int(size)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    unpacker = zlib.decompressobj(31)
+def _member(data: bytes, at: int, piece: int = 16 << 10) -> tuple[bytes, int] | str:
+    """The content and the end of the gzip member at a place; it is read by pieces, so the rest of the archive isn't touched."""
+    unpacker, out = zlib.decompressobj(31), []
+    view = memoryview(data)
     try:
-        out = unpacker.decompress(data[at:])
+        while not unpacker.eof:
+            if at >= len(data):
+                return "truncated gzip member"
+            out.append(unpacker.decompress(view[at : at + piece]))
+            at += piece
     except zlib.error as e:
         return f"bad gzip member: {e}"[:80]
-    if not unpacker.eof:
-        return "truncated gzip member"
-    return out, len(data) - len(unpacker.unused_data)
+    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
     """(start, stop, fields, block, reason) of each record, or with fields None of each quarantined gap, in the order of the bytes."""
     gap, reason, at = None, "", 0
+    version = -1  # the next version line, looked for once
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
+        if data.startswith(b"\x1f\x8b", at):
             got = _member(data, at)
             found = parse(got[0]) if isinstance(got, tuple) else got
             stop = got[1] if isinstance(got, tuple) else at
         else:
-            found = parse(data[at:]) if _VERSION.match(data, at) else "neither a member nor a version line"
-            stop = at
-            if isinstance(found, tuple):
-                stop = at + int(found[0]["total"])
-                while data[stop : stop + 2] == b"\r\n" and stop < len(data):
-                    stop += 2
+            found = parse(data, at)
+            stop = found[2] if isinstance(found, tuple) else at
+            while isinstance(found, tuple) and data.startswith(b"\r\n", stop):
+                stop += 2
         if isinstance(found, tuple):
             if gap is not None:
                 yield gap, at, None, b"", reason
@@ -161,8 +163,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             continue
         if gap is None:
             gap, reason = at, found
-        member, version = data.find(b"\x1f\x8b\x08", at + 1), _VERSION.search(data, at + 1)
-        at = min([x for x in (member, version.start() if version else -1) if x >= 0], default=len(data))
+        if version <= at:
+            m = _VERSION.search(data, at + 1)
+            version = m.start() if m else len(data)
+        member = data.find(b"\x1f\x8b\x08", at + 1, version)
+        at = member if member >= 0 else version
     if gap is not None:
         yield gap, len(data), None, b"", reason
 
