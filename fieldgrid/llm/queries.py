@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, neighbours, simhash, token_files, warc
+from . import bpe, decontaminate, language, lines, neighbours, simhash, token_files, warc
 from .common import documents
 
 #: The vocabulary file of the token queries.
@@ -25,6 +25,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its lines, those that go as equal or near lines, and a digest of their numbers."""
+    docs = documents(spark, sf_dir)
+    gone = lines.duplicates(docs).groupBy("k", "r").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.array_join(F.array_sort(F.collect_set("p")).cast("array<string>"), ",").alias("gone"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("own"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return own.join(gone, F.expr("doc_id <=> k AND own = r"), "left").select("doc_id", "n_lines", zero("n_equal"), zero("n_near"), F.sha2(F.coalesce("gone", F.lit("")), 256).alias("gone_sha256"))
+
+
+#: A line goes as near if it shares one half with an earlier line of its length or one more or less, and one edit makes them equal.
+OP3_SQL = """
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
+counted AS (SELECT doc_id, count(*) AS n_lines FROM split GROUP BY doc_id),
+occ AS (SELECT * FROM split WHERE trim(translate(line, chr(9) || chr(13), '  ')) <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS n FROM occ),
+first AS (SELECT line, doc_id, p, length(line) AS len FROM ranked WHERE n = 1 AND length(line) >= 20),
+short AS (SELECT *, left(line, len // 2) AS a, right(line, len - len // 2) AS b, len AS size FROM first),
+long AS (SELECT *, left(line, (len - 1) // 2) AS a, right(line, len - 1 - (len - 1) // 2) AS b, len - 1 AS size FROM first WHERE len > 20),
+pairs AS (
+  SELECT s.line AS x, t.line AS y, s.doc_id AS xd, s.p AS xp, t.doc_id AS yd, t.p AS yp FROM short s JOIN short t ON s.size = t.size AND s.a = t.a AND s.line <> t.line
+  UNION SELECT s.line, t.line, s.doc_id, s.p, t.doc_id, t.p FROM short s JOIN short t ON s.size = t.size AND s.b = t.b AND s.line <> t.line
+  UNION SELECT s.line, t.line, s.doc_id, s.p, t.doc_id, t.p FROM short s JOIN long t ON s.size = t.size AND s.a = t.a
+  UNION SELECT s.line, t.line, s.doc_id, s.p, t.doc_id, t.p FROM short s JOIN long t ON s.size = t.size AND s.b = t.b),
+verified AS (SELECT * FROM pairs WHERE CASE WHEN length(x) = length(y)
+  THEN len(list_filter(range(1, length(x) + 1), lambda i: x[i] <> y[i])) <= 1
+  ELSE len(list_filter(range(0, length(y)), lambda i: left(y, i) || substr(y, i + 2) = x)) > 0 END),
+near AS (SELECT DISTINCT CASE WHEN (xd, xp) < (yd, yp) THEN y ELSE x END AS line FROM verified),
+gone AS (
+  SELECT r.doc_id, r.p, r.n = 1 AS near FROM ranked r LEFT JOIN near ON r.line = near.line WHERE r.n > 1 OR near.line IS NOT NULL),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE NOT near) AS n_equal, count(*) FILTER (WHERE near) AS n_near, string_agg(p::VARCHAR, ',' ORDER BY p) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(s.n_equal, 0)::BIGINT AS n_equal, coalesce(s.n_near, 0)::BIGINT AS n_near, sha256(coalesce(s.gone, '')) AS gone_sha256
+FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN sums s ON d.doc_id = s.doc_id
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of each document stand in windows of the benchmark, by binary search in suffix arrays."""
     found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -77,8 +112,8 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_decontamination, op5_token_files, op6_language, op8_simhash, op9_warc, op10_neighbours)}
+    return {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontamination, op5_token_files, op6_language, op8_simhash, op9_warc, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
