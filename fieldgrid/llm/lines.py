@@ -92,21 +92,23 @@ def banded_distance(a: Column, b: Column, band: int = 1) -> Column:
     return F.when(F.abs(n - F.size(b)) > band, band + 1).otherwise(last)
 
 
-def first_occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The written table of different lines: identity (h, g), first occurrence f (k, p, r), characters n, half keys."""
+def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The written table of all lines that aren't blank: identity (h, g), place (k, p, r), characters n, half keys; no texts."""
     n = F.char_length("line")
-    lines = _hashed(lines_of(docs, key, text)).select("h", "g", F.struct("k", "p", "r").alias("f"), n.alias("n"), _half_keys(F.col("line"), n).alias("keys"))
-    rows = lines.select("h", "g", "f", "n", *[F.col("keys")[i].alias(f"k{i}") for i in range(4)])
+    lines = _hashed(lines_of(docs, key, text)).select("h", "g", F.struct("k", "p", "r").alias("own"), n.alias("n"), _half_keys(F.col("line"), n).alias("keys"))
+    return written(lines.select("h", "g", "own", "n", *[F.col("keys")[i].alias(f"k{i}") for i in range(4)]), "lines")
+
+
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """The written table of different lines, f being their first place."""
     # Equal lines meet as partial minima of every task, so a line that many documents share moves once a task.
-    return written(rows.groupBy("h", "g").agg(F.min("f").alias("f"), *[F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]), "lines")
+    return written(lines.groupBy("h", "g").agg(F.min("own").alias("f"), *[F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]), "first")
 
 
-def _meeting(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows (key, role: 0 index, 1 probe, ...) whose key has an index row and another row: those of at most `most` rows, and of more."""
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The rows (key, role: 0 index, 1 probe, ...) whose key has an index row and another row, with c, the rows of the key."""
     counts = rows.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("i"), F.count("*").alias("c")).where("i >= 1 AND c >= 2")
-    if most is None:
-        return rows.join(counts.select("key"), "key", "left_semi"), None
-    return rows.join(counts.where(F.col("c") <= most).select("key"), "key", "left_semi"), rows.join(counts.where(F.col("c") > most).select("key"), "key", "left_semi")
+    return rows.join(counts.select("key", "c"), "key")
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
@@ -114,22 +116,17 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     long = distinct.where(F.col("n") >= MIN_CHARS)
     index = long.select(F.explode(F.array("k0", "k1")).alias("key"), F.lit(0).alias("role"), "h", "g", "f")
     probe = long.where(F.col("n") > MIN_CHARS).select(F.explode(F.array("k2", "k3")).alias("key"), F.lit(1).alias("role"), "h", "g", "f")
-    met, _ = _meeting(index.union(probe))
-    return written(met.select("h", "g", "f").distinct(), "candidates")
+    return written(_meeting(index.union(probe)).select("h", "g", "f").distinct(), "candidates")
 
 
 def _with_text(docs: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
     """(h, g, f, line) of the candidates, whose lines are cut from their documents again."""
     want = candidates.select("h", "g", "f", F.col("f.k").alias("fk"), F.col("f.r").alias("fr"), F.col("f.p").alias("fp"))
-    own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    if candidates.count() <= BROADCAST_ROWS:
-        lines = _hashed(lines_of(own, "k", "t"))
-        found = lines.join(F.broadcast(want.select("fk", "fr", "fp", "f")), F.expr("k <=> fk AND r = fr AND p = fp")).select("h", "g", "f", "line")
-    else:
-        need = want.select("fk", "fr").distinct()
-        some = own.withColumn("tr", F.xxhash64("t")).join(need, F.expr("k <=> fk AND tr = fr"), "left_semi")
-        lines = _hashed(lines_of(some.select("k", "t"), "k", "t"))
-        found = lines.join(want.select("fk", "fr", "fp", "f"), F.expr("k <=> fk AND r = fr AND p = fp")).select("h", "g", "f", "line")
+    small = F.broadcast if candidates.count() <= BROADCAST_ROWS else (lambda df: df)
+    own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("tr", F.xxhash64("t"))
+    some = own.join(small(want.select("fk", "fr").distinct()), F.expr("k <=> fk AND tr = fr"), "left_semi")
+    lines = _hashed(lines_of(some, "k", "t"))
+    found = lines.join(small(want.select("fk", "fr", "fp", "f")), F.expr("k <=> fk AND r = fr AND p = fp")).select("h", "g", "f", "line")
     return found.dropDuplicates(["h", "g"])
 
 
@@ -178,8 +175,8 @@ def _crowds(rows: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, distinct: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, g) of the different lines that are within one edit of a line with an earlier first occurrence."""
     rows = written(_pieces(_with_text(docs, _candidates(distinct), key, text)), "pieces")
-    few, many = _meeting(rows, CROWD)
-    return _pairs(few).union(_crowds(many)).distinct()
+    met = written(_meeting(rows), "met")
+    return _pairs(met.where(F.col("c") <= CROWD)).union(_crowds(met.where(F.col("c") > CROWD))).distinct()
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,11 +185,11 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Null and empty texts have no lines that go; blank lines stay. Rows of one key and text are one document: all of them lose the
     same lines. Null keys come first. Other columns don't take part.
     """
-    distinct = first_occurrences(docs, key, text)
+    lines = line_table(docs, key, text)
+    distinct = first_occurrences(lines)
     near = near_lines(docs, distinct, key, text).withColumn("near", F.lit(True))
     decided = distinct.select("h", "g", "f").join(near, ["h", "g"], "left")
-    lines = _hashed(lines_of(docs, key, text)).select("h", "g", F.struct("k", "p", "r").alias("own"))
-    gone = lines.join(decided, ["h", "g"]).where("own > f OR (own = f AND near)")
+    gone = lines.select("h", "g", "own").join(decided, ["h", "g"]).where("own > f OR (own = f AND near)")
     return gone.select("own.k", "own.r", "own.p", (F.col("own") == F.col("f")).alias("near")).distinct()
 
 
