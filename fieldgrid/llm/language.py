@@ -1,12 +1,13 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from labelled texts. A text is compressed in blocks with the
-dictionary of every language; the language with the smallest total wins, and a narrow margin over the next rejects.
+Each language has a zstandard raw-content dictionary cut from labelled texts. A text, as lower-case words without digits and
+marks, is compressed in blocks with the dictionary of every language; the language with the smallest total wins, and a narrow margin over the next rejects.
 Blocks are short, so that a long text doesn't become its own dictionary; all blocks of a text are coded.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +18,34 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import slices
 
 #: Bounds of the sample that a model is fitted on: texts of a language, and characters taken of each.
-TEXTS, CHARACTERS = 160, 1200
+TEXTS, CHARACTERS = 200, 400
 #: Bytes of a block, zstandard's level, and the least relative margin (of the second best total) that isn't rejected.
-BLOCK, LEVEL, MARGIN = 2048, 3, 0.004
+BLOCK, LEVEL, MARGIN = 1024, 9, 0.004
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", texts: int = TEXTS, characters: int = CHARACTERS) -> dict[str, bytes]:
     """The raw dictionary of each language: excerpts of `texts` rows with a label and a text, picked by a hash of their key.
 
-    Rows with a null or empty text or a null label aren't learned from; no rows give an empty model. Its size is at most
-    languages x texts x characters, so it is held by the driver.
+    Languages stand in the order of their labelled rows, most first. Rows with a null or empty text or a null label aren't learned
+    from; no rows give an empty model. Its size is at most languages x texts x characters, so it is held by the driver.
     """
     known = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (F.length(f"`{text}`") > 0))
-    picked = known.select(F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(f"`{key}`").alias("h"), F.substring(f"`{text}`", 1, characters).alias("t"))
+    rows = known.select(F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(f"`{key}`").alias("h"), F.substring(f"`{text}`", 1, 2 * characters).alias("t"))
     # row_number() <= n is cut to n rows a language in every task before the exchange.
-    first = picked.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= texts)
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= texts)
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     model: dict[str, list[tuple[int, str]]] = {}
     for r in first.collect():
-        model.setdefault(r.l, []).append((r.n, r.t))
-    return {k: "\n".join(t for _, t in sorted(v)).encode() for k, v in sorted(model.items())}
+        model.setdefault(r.l, []).append((r.n, plain(r.t)[:characters]))
+    return {k: " ".join(t for _, t in sorted(model[k])).encode() for k in sorted(model, key=lambda k: (-counts[k], k))}
+
+
+def plain(text: str) -> str:
+    """Lower-case words without digits and marks, one blank between."""
+    return _OTHER.sub(" ", text.lower())
+
+
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 class Compressors:
@@ -48,7 +58,7 @@ class Compressors:
             self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: str, block: int) -> list[int]:
-        data = text.encode()
+        data = plain(text).encode()
         parts = [data[i : i + block] for i in range(0, len(data), block)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.coders]
 
@@ -57,7 +67,7 @@ def predict(df: DataFrame, model: dict[str, bytes], key: str = "doc_id", text: s
     """Rows (key, lang_pred, score, rejected), one for each row of df.
 
     score is 1 - best / second best total (1 with a single language). A null text, one without a letter and an empty
-    model give `und`, score 0, rejected. Ties go to the label that sorts first and are rejected. Other columns don't take part.
+    model give `und`, score 0, rejected. Ties go to the model's first label and are rejected. Other columns don't take part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ def test_odd_rows(spark):
     german, french = "der die das und nicht ich über schön " * 8, "le la les des été où être français avec " * 8
     labelled = spark.createDataFrame([(1, german, "de"), (2, french, "fr"), (3, None, "fr"), (4, "x", None), (5, "", "es")], "doc_id long, text string, lang string")
     model = language.fit(labelled)
-    assert [*model] == ["de", "fr"]
+    assert [*model] == ["de", "fr"]  # as many rows of each
     docs = spark.createDataFrame([(1, german), (1, german), (2, french), (3, None), (4, ""), (5, "123 !?"), (None, french), (7, french * 3000)], "doc_id long, text string")
     rows = sorted((str(r.doc_id), r.lang_pred, r.rejected) for r in language.predict(docs, model).collect())
     assert [r[1] for r in rows] == ["de", "de", "fr", "und", "und", "und", "fr", "fr"]
