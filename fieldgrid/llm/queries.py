@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, lines, neighbours, simhash, token_files, warc
+from . import bpe, decontaminate, katz, language, licenses, lines, neighbours, simhash, token_files, warc
 from .common import documents
 
 #: The vocabulary file of the token queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def remainder(key: str, divisor: int):
+    """crc32 of the key as text, modulo the divisor; null keys have none."""
+    return F.crc32(F.col(key).cast("string")) % divisor
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_tokens, and digests of the ids and of the text decoded from them."""
     coded = bpe.round_trip(documents(spark, sf_dir), TOKENIZER)
@@ -25,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a Katz model of those that aren't held out."""
+    found = katz.score(documents(spark, sf_dir), ~(remainder("doc_id", 5) == 1))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document its lines, those that go as equal or near lines, and a digest of their numbers."""
     docs = documents(spark, sf_dir)
@@ -79,11 +90,6 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(spark, folder)
 
 
-def remainder(key: str, divisor: int):
-    """crc32 of the key as text, modulo the divisor; null keys have none."""
-    return F.crc32(F.col(key).cast("string")) % divisor
-
-
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages by compression with dictionaries that are cut from the texts not held out."""
     docs = documents(spark, sf_dir)
@@ -92,6 +98,49 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: Where a document stands as a file: a directory for its source, for each 500 of its number, and for each 50; every 50th is a licence file.
+PATH_SQL = "concat(source, '/', cast(floor(doc_id / 500) as int), '/', CASE WHEN doc_id % 500 = 0 THEN 'LICENSE' WHEN doc_id % 50 = 0 THEN concat(cast(floor(doc_id % 500 / 50) as int), '/LICENSE.txt') ELSE concat(cast(floor(doc_id % 500 / 50) as int), '/', doc_id, '.txt') END)"
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files, by header or licence file, or from the nearest ancestor directory."""
+    return licenses.scan(documents(spark, sf_dir).withColumn("path", F.expr(PATH_SQL)))
+
+
+def _op7_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    common = ", ".join(map(quoted, licenses.COMMON))
+    names = ", ".join(map(quoted, licenses.FILE_NAMES))
+    words = lambda t: f"list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')".replace("\\\\", "\\")
+    n = len(licenses.TEMPLATES)
+    return f"""
+WITH tpl(template, license, text) AS (VALUES {templates}),
+tt AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest({words("text")}) AS token FROM tpl) GROUP BY ALL),
+idf AS (SELECT token, ln({n + 1}.0::DOUBLE / (1 + count(*))) + 1 AS idf FROM tt GROUP BY token),
+tw AS (SELECT template, license, token, tf * idf AS w FROM tt JOIN idf USING (token)),
+shares AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS share FROM tw),
+files AS (SELECT doc_id, text, {PATH_SQL.replace("cast(floor(", "cast((").replace("doc_id / ", "doc_id // ").replace("% 500 / 50", "% 500 // 50")} AS path FROM documents),
+units AS (
+  SELECT doc_id, p, {words("line")} AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM files)
+  UNION ALL SELECT * FROM (SELECT doc_id, -1, {words("text")} AS words FROM files WHERE length(text) <= {40 * licenses.WHOLE_WORDS} AND contains(text, chr(10))) WHERE len(words) <= {licenses.WHOLE_WORDS}),
+some AS (SELECT * FROM units WHERE list_has_any(words, (SELECT list(token) FROM idf WHERE token NOT IN ({common})))),
+counts AS (SELECT doc_id, p, token, count(*) AS tf FROM (SELECT doc_id, p, unnest(words) AS token FROM some) GROUP BY ALL),
+weighed AS (SELECT doc_id, p, token, tf * coalesce(idf, ln({n + 1}.0::DOUBLE) + 1) AS w FROM counts LEFT JOIN idf USING (token)),
+sizes AS (SELECT doc_id, p, sqrt(sum(w * w)) AS size FROM weighed GROUP BY ALL),
+dots AS (SELECT doc_id, p, template, license, sum(w * share) AS dot FROM weighed JOIN shares USING (token) GROUP BY ALL),
+scored AS (SELECT doc_id, license, round(dot / size, 6) AS score FROM dots JOIN sizes USING (doc_id, p)),
+best AS (SELECT doc_id, license, score FROM scored WHERE score >= {licenses.COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+marked AS (SELECT f.doc_id, f.path, b.license, b.score, regexp_extract(lower(f.path), '([^/.]*)[^/]*$', 1) IN ({names}) AS named, regexp_replace(f.path, '/?[^/]*$', '') AS dir FROM files f LEFT JOIN best b ON f.doc_id = b.doc_id),
+licensed AS (SELECT dir AS at, license AS up, score AS up_score FROM marked WHERE named AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+nearest AS (SELECT dir, at, up, up_score FROM (SELECT DISTINCT dir FROM marked WHERE license IS NULL) JOIN licensed ON at = '' OR dir = at OR starts_with(dir, at || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(at) DESC) = 1)
+SELECT m.doc_id, m.path, coalesce(m.license, n.up) AS license, coalesce(m.score, n.up_score) AS score,
+  CASE WHEN m.license IS NOT NULL THEN CASE WHEN m.named THEN 'file' ELSE 'header' END WHEN n.up IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN m.license IS NULL THEN n.at END AS directory
+FROM marked m LEFT JOIN nearest n ON m.license IS NULL AND m.dir = n.dir
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints, and the components of their links, by vantage-point trees."""
     found = simhash.groups(simhash.fingerprint(documents(spark, sf_dir)))
@@ -112,8 +161,8 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontamination, op5_token_files, op6_language, op8_simhash, op9_warc, op10_neighbours)}
+    return {f.__name__: f for f in (op1_bpe, op2_katz, op3_line_dedup, op4_decontamination, op5_token_files, op6_language, op7_licenses, op8_simhash, op9_warc, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_licenses": _op7_sql()}
