@@ -32,7 +32,7 @@ from . import words
 from .common import slices, written
 
 #: Counts up to which are discounted, bytes of a chunk's texts, different words and bigrams that an owner is sent, most words whose bigrams are dealt by both words.
-MOST, CHUNK_BYTES, OWNED_WORDS, OWNED_BIGRAMS, FREQUENT = 5, 16 << 20, 1 << 20, 3 << 20, 1024
+MOST, CHUNK_BYTES, OWNED_WORDS, OWNED_BIGRAMS, FREQUENT = 5, 10 << 20, 1 << 20, 2 << 20, 1024
 #: The end of a text as a word, and its beginning as a context. No word's hash is 0.
 BOUNDARY = np.uint64(0)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
