@@ -116,7 +116,7 @@ def _op7_sql() -> str:
     n = len(licenses.TEMPLATES)
     return f"""
 WITH tpl(template, license, text) AS (VALUES {templates}),
-tt AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest({words("text")}) AS token FROM tpl) GROUP BY ALL),
+tt AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest({words("text")}) AS token FROM tpl) WHERE token NOT IN ({common}) GROUP BY ALL),
 idf AS (SELECT token, ln({n + 1}.0::DOUBLE / (1 + count(*))) + 1 AS idf FROM tt GROUP BY token),
 tw AS (SELECT template, license, token, tf * idf AS w FROM tt JOIN idf USING (token)),
 shares AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS share FROM tw),
@@ -124,19 +124,19 @@ files AS (SELECT doc_id, text, {PATH_SQL.replace("cast(floor(", "cast((").replac
 units AS (
   SELECT doc_id, p, {words("line")} AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM files)
   UNION ALL SELECT * FROM (SELECT doc_id, -1, {words("text")} AS words FROM files WHERE length(text) <= {40 * licenses.WHOLE_WORDS} AND contains(text, chr(10))) WHERE len(words) <= {licenses.WHOLE_WORDS}),
-some AS (SELECT * FROM units WHERE list_has_any(words, (SELECT list(token) FROM idf WHERE token NOT IN ({common})))),
-counts AS (SELECT doc_id, p, token, count(*) AS tf FROM (SELECT doc_id, p, unnest(words) AS token FROM some) GROUP BY ALL),
+picked AS (SELECT * FROM units WHERE list_has_any(words, (SELECT list(token) FROM idf))),
+counts AS (SELECT doc_id, p, token, count(*) AS tf FROM (SELECT doc_id, p, unnest(words) AS token FROM picked) WHERE token NOT IN ({common}) GROUP BY ALL),
 weighed AS (SELECT doc_id, p, token, tf * coalesce(idf, ln({n + 1}.0::DOUBLE) + 1) AS w FROM counts LEFT JOIN idf USING (token)),
 sizes AS (SELECT doc_id, p, sqrt(sum(w * w)) AS size FROM weighed GROUP BY ALL),
 dots AS (SELECT doc_id, p, template, license, sum(w * share) AS dot FROM weighed JOIN shares USING (token) GROUP BY ALL),
 scored AS (SELECT doc_id, license, round(dot / size, 6) AS score FROM dots JOIN sizes USING (doc_id, p)),
 best AS (SELECT doc_id, license, score FROM scored WHERE score >= {licenses.COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 marked AS (SELECT f.doc_id, f.path, b.license, b.score, regexp_extract(lower(f.path), '([^/.]*)[^/]*$', 1) IN ({names}) AS named, regexp_replace(f.path, '/?[^/]*$', '') AS dir FROM files f LEFT JOIN best b ON f.doc_id = b.doc_id),
-licensed AS (SELECT dir AS at, license AS up, score AS up_score FROM marked WHERE named AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
-nearest AS (SELECT dir, at, up, up_score FROM (SELECT DISTINCT dir FROM marked WHERE license IS NULL) JOIN licensed ON at = '' OR dir = at OR starts_with(dir, at || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(at) DESC) = 1)
+licensed AS (SELECT dir AS base, license AS up, score AS up_score FROM marked WHERE named AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+nearest AS (SELECT dir, base, up, up_score FROM (SELECT DISTINCT dir FROM marked WHERE license IS NULL) JOIN licensed ON base = '' OR dir = base OR starts_with(dir, base || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(base) DESC) = 1)
 SELECT m.doc_id, m.path, coalesce(m.license, n.up) AS license, coalesce(m.score, n.up_score) AS score,
   CASE WHEN m.license IS NOT NULL THEN CASE WHEN m.named THEN 'file' ELSE 'header' END WHEN n.up IS NOT NULL THEN 'inherited' END AS origin,
-  CASE WHEN m.license IS NULL THEN n.at END AS directory
+  CASE WHEN m.license IS NULL THEN n.base END AS directory
 FROM marked m LEFT JOIN nearest n ON m.license IS NULL AND m.dir = n.dir
 """
 
