@@ -175,34 +175,56 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     folder, depth = _prepared(benchmark, item, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = list(_first(_blocks(folder)))
+        measure = _Measure(folder, depth, window)
         for b in slices(batches, 1, SHARD_BYTES):
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            longest = max((k.longest for k in kept), default=0) if len(kept) < 2 else depth
-            shard = Shard(texts, min(depth, max(longest, window)))
-            change = np.zeros(len(shard.hashes) + 1, np.int64)
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            for bench in kept if len(kept) < 2 else _blocks(folder):
-                _, _, _, low, high = shard.search(bench, window)
-                use = np.flatnonzero(high > low)
-                place, of = shard.places(low[use], high[use])
-                of = use[of]
-                size = np.minimum(bench.size[of], window)
-                change += np.bincount(place, minlength=len(change)) - np.bincount(place + size, minlength=len(change))
-                both = np.unique(np.stack([shard.document[place], bench.item[of]]), axis=1)
-                pairs.append((both[0], bench.ids[both[1]]))
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(change)[:-1] > 0)])
-            n_hit = hit[shard.starts + shard.counts] - hit[shard.starts]
-            items: dict[int, set] = {}
-            for rows, ids in pairs:
-                for r, i in zip(rows.tolist(), ids.tolist(), strict=True):
-                    items.setdefault(r, set()).add(i)
-            lists = pa.array([sorted(items.get(r, ())) for r in range(len(texts))], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard.counts, pa.int64()), pa.array(n_hit, pa.int64()), lists], names=["key", "n_words", "n_hit", "items"])
+            counts, n_hit, items = measure(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["key", "n_words", "n_hit", "items"])
 
     return _run(docs, key, text, run, "n_words long, n_hit long, items array<string>")
 
 
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns; the rows stay where they are."""
+    folder, depth = _prepared(benchmark, item, item_text)
+    column = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = _Measure(folder, depth, window)
+        for b in slices(batches, column, SHARD_BYTES):
+            counts, n_hit, _ = measure(b.column(column))
+            yield b.filter(pa.array((n_hit == 0) | (20 * n_hit < counts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+class _Measure:
+    """A task's measure of texts: words, hit words and items of each. A benchmark of one block is kept for all shards."""
+
+    def __init__(self, folder: str, depth: int, window: int):
+        self.folder, self.depth, self.window = folder, depth, window
+        self.kept = list(_first(_blocks(folder)))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+        one = len(self.kept) < 2
+        longest = max((k.longest for k in self.kept), default=0) if one else self.depth
+        shard = Shard(texts, min(self.depth, max(longest, self.window)))
+        change = np.zeros(len(shard.hashes) + 1, np.int64)
+        items: dict[int, set] = {}
+        for bench in self.kept if one else _blocks(self.folder):
+            _, _, _, low, high = shard.search(bench, self.window)
+            use = np.flatnonzero(high > low)
+            place, of = shard.places(low[use], high[use])
+            of = use[of]
+            size = np.minimum(bench.size[of], self.window)
+            change += np.bincount(place, minlength=len(change)) - np.bincount(place + size, minlength=len(change))
+            both = np.unique(np.stack([shard.document[place], bench.item[of]]), axis=1)
+            for r, i in zip(both[0].tolist(), bench.ids[both[1]].tolist(), strict=True):
+                items.setdefault(r, set()).add(i)
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(change)[:-1] > 0)])
+        return shard.counts, hit[shard.starts + shard.counts] - hit[shard.starts], [sorted(items.get(r, ())) for r in range(len(texts))]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = WINDOW) -> DataFrame:
     """Longest verbatim matches: rows (key, item string, item_word, doc_word, n_words), words counted from 0.
 

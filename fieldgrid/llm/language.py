@@ -62,6 +62,28 @@ class Compressors:
         parts = [data[i : i + block] for i in range(0, len(data), block)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.coders]
 
+    def decide(self, text: str | None, block: int, margin: float) -> tuple[str, float, bool]:
+        """The language, the score, and whether it is rejected."""
+        if not self.labels or not text or not any(map(str.isalpha, text)):
+            return "und", 0.0, True
+        sizes = self.sizes(text, block)
+        best = int(np.argmin(sizes))
+        rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
+        score = 1.0 if rest is None else 1 - sizes[best] / rest
+        return self.labels[best], score, score < margin
+
+
+def keep_decided(df: DataFrame, model: dict[str, bytes], text: str = "text", block: int = BLOCK, level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
+    """The rows of df whose language isn't rejected, with all their columns; the rows stay where they are."""
+    column = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = Compressors(model, level)
+        for b in slices(batches, column):
+            yield b.filter(pa.array([not coders.decide(t, block, margin)[2] for t in b.column(column).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
 
 def predict(df: DataFrame, model: dict[str, bytes], key: str = "doc_id", text: str = "text", block: int = BLOCK, level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """Rows (key, lang_pred, score, rejected), one for each row of df.
@@ -73,18 +95,7 @@ def predict(df: DataFrame, model: dict[str, bytes], key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Compressors(model, level)
         for b in slices(batches, 1):
-            names, scores = [], []
-            for t in b.column(1).to_pylist():
-                if not coders.labels or not t or not any(map(str.isalpha, t)):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                sizes = coders.sizes(t, block)
-                best = int(np.argmin(sizes))
-                rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
-                names.append(coders.labels[best])
-                scores.append(1.0 if rest is None else 1 - sizes[best] / rest)
-            rejected = [n == "und" or s < margin for n, s in zip(names, scores, strict=True)]
+            names, scores, rejected = zip(*(coders.decide(t, block, margin) for t in b.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["key", "lang_pred", "score", "rejected"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -214,3 +214,10 @@ def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFra
     own = written(own, "roots")
     of_root = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(own.join(of_root, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of df without those whose group has a smaller key; rows of one key are one document, and rows with a null key go where their group has a key."""
+    found = groups(fingerprint(df, key, text, shingle), key, radius)
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone")).distinct()
+    return df.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
