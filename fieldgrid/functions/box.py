@@ -105,3 +105,13 @@ def recentre(b: Column, x: Column, y: Column, width: Column, height: Column) ->
     left = F.greatest(F.lit(0.0), F.least(width - w, x - w / 2))
     top = F.greatest(F.lit(0.0), F.least(height - h, y - h / 2))
     return corner(left, top, left + w, top + h)
+
+
+def scale_boxes(boxes: Column, source_w: Column, source_h: Column, target_w: Column, target_h: Column, most: int = 10) -> Column:
+    """The first boxes of an array of corner boxes in an image of another size: rounded, clamped, without those that lose their extent. Without valid source sizes they are taken as they are."""
+    scaled = F.coalesce((source_w > 0) & (source_h > 0), F.lit(False))
+    whole = lambda v: F.floor(v + 0.5).cast("double")
+    x = lambda v: F.greatest(F.lit(0.0), F.least(target_w.cast("double"), whole(F.when(scaled, v / source_w * target_w).otherwise(v))))
+    y = lambda v: F.greatest(F.lit(0.0), F.least(target_h.cast("double"), whole(F.when(scaled, v / source_h * target_h).otherwise(v))))
+    moved = F.transform(F.slice(boxes, 1, most), lambda b: corner(x(b.x1), y(b.y1), x(b.x2), y(b.y2)))
+    return F.filter(moved, lambda b: (b.x2 > b.x1) & (b.y2 > b.y1))

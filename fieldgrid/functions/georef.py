@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .geo import METRES_PROJECTION, clamp, haversine
+from .geo import METRES_PROJECTION, haversine
 
 #: A ray that descends less than this share of its length is too near the horizon.
 NEAR_HORIZON = 0.05
@@ -55,25 +55,26 @@ def ground_offset(x: Column, y: Column, camera: Column, pitch: Column, roll: Col
     return F.when(good, F.struct(down(own, "east").alias("east"), down(own, "north").alias("north"), down(centre, "east").alias("centre_east"), down(centre, "north").alias("centre_north")))
 
 
-def project_at_height(x: Column, y: Column, lat: Column, lon: Column, camera: Column, pitch: Column, roll: Column, yaw: Column, height: Column, most_offset: Column | None = None, target_lat: Column | None = None, target_lon: Column | None = None) -> Column:
-    """Struct (lat, lon, offset_m) of a pixel, or null.
+def project_pixels(df: DataFrame, x: Column, y: Column, lat: Column, lon: Column, camera: Column, pitch: Column, roll: Column, yaw: Column, height: Column, most_offset: Column | None = None, target_lat: Column | None = None, target_lon: Column | None = None, out: str = "geo") -> DataFrame:
+    """df with the struct (lat, lon, offset_m) of a pixel of each row, or null.
 
     With a laser target, the pixel's offset from the view's centre counts from the target. Places outside the globe and
-    offsets over most_offset give null.
+    offsets over most_offset give null. Steps are columns of their own, so that expressions don't multiply.
     """
-    o = ground_offset(x, y, camera, pitch, roll, yaw, height)
-    anchored = (target_lat.isNotNull() & target_lon.isNotNull()) if target_lat is not None else F.lit(False)
-    base_lat = F.when(anchored, target_lat).otherwise(lat) if target_lat is not None else lat
-    base_lon = F.when(anchored, target_lon).otherwise(lon) if target_lon is not None else lon
-    east = o.east - F.when(anchored, o.centre_east).otherwise(0.0)
-    north = o.north - F.when(anchored, o.centre_north).otherwise(0.0)
-    degree = METRES_PROJECTION * F.cos(F.radians(base_lat))
-    out_lat, out_lon = base_lat + north / METRES_PROJECTION, base_lon + east / degree
-    offset = F.hypot(o.east - o.centre_east, o.north - o.centre_north)
-    good = o.isNotNull() & (F.abs(degree) >= 1e-6) & out_lat.between(-90, 90) & out_lon.between(-180, 180)
-    if most_offset is not None:
-        good = good & (~positive(most_offset) | (offset <= most_offset))
-    return F.when(good, F.struct(out_lat.alias("lat"), out_lon.alias("lon"), offset.alias("offset_m")))
+    none = F.lit(None).cast("double")
+    given = {"x": x, "y": y, "lat": lat, "lon": lon, "camera": camera, "pitch": pitch, "roll": roll, "yaw": yaw, "height": height, "most": none if most_offset is None else most_offset, "tlat": none if target_lat is None else target_lat, "tlon": none if target_lon is None else target_lon}
+    c = {k: F.col(f"_geo_{k}") for k in (*given, "o", "at")}
+    staged = df.withColumns({f"_geo_{k}": v for k, v in given.items()})
+    staged = staged.withColumn("_geo_o", ground_offset(c["x"], c["y"], c["camera"], c["pitch"], c["roll"], c["yaw"], c["height"]))
+    o, anchored = c["o"], c["tlat"].isNotNull() & c["tlon"].isNotNull()
+    base = lambda own, target: F.when(anchored, c[target]).otherwise(c[own])
+    degree = METRES_PROJECTION * F.cos(F.radians(base("lat", "tlat")))
+    shift = lambda of, centre: o[of] - F.when(anchored, o[centre]).otherwise(0.0)
+    at = F.struct((base("lat", "tlat") + shift("north", "centre_north") / METRES_PROJECTION).alias("lat"), (base("lon", "tlon") + shift("east", "centre_east") / degree).alias("lon"), F.hypot(o.east - o.centre_east, o.north - o.centre_north).alias("offset_m"))
+    staged = staged.withColumn("_geo_at", F.when(o.isNotNull() & (F.abs(degree) >= 1e-6), at))
+    p = c["at"]
+    good = p.lat.between(-90, 90) & p.lon.between(-180, 180) & (~positive(c["most"]) | (p.offset_m <= c["most"]))
+    return staged.withColumn(out, F.when(good, p)).drop(*[f"_geo_{k}" for k in (*given, "o", "at")])
 
 
 def laser_height(distance: Column, pitch: Column, roll: Column, yaw: Column) -> Column:

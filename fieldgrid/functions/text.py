@@ -65,7 +65,7 @@ def parse_confidence(text: Column) -> Column:
     number = text.try_cast("double")
     share = F.when(number > 1, number / 100).otherwise(number)
     level = F.upper(F.trim(text))
-    return F.when(level.isin("CERTAIN", "LIKELY", "UNCERTAIN"), confidence_of_level(level)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.5)))
+    return F.when(level.isin("CERTAIN", "LIKELY", "UNCERTAIN"), confidence_of_level(level)).otherwise(F.coalesce(F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))), F.lit(0.5)))
 
 
 def csv_field(text: Column) -> Column:
@@ -87,14 +87,16 @@ def js_round(x: Column) -> Column:
 
 
 def to_fixed(x: Column, digits: int) -> Column:
-    """Decimal text of the exact binary value."""
-    return F.format_string(f"%.{digits}f", x)
+    """Decimal text of the exact binary value; an exact half goes away from zero."""
+    scaled = x * 2.0 ** (digits + 1)
+    half = (scaled == F.floor(scaled)) & (F.abs(x) * 10.0**digits % 1 == 0.5)
+    return F.call_function("format_number", F.when(half, x + F.signum(x) * 10.0 ** -(digits + 2)).otherwise(x), F.lit("0." + "0" * digits if digits else "0"))
 
 
 def failure_kind(code: Column, message: Column) -> Column:
-    """What kind of failure an error code or message tells of."""
-    text = F.lower(F.concat_ws(" ", code, message))
-    return F.when(text.contains("out of memory") | text.contains("oom"), "OOM").when(text.contains("timeout") | text.contains("timed out"), "TIMEOUT").when(text.contains("prepare"), "PREPARE_FAILED").otherwise("INFERENCE_FAILED")
+    """oom where an error's code or message speaks of memory or the graphics card, else inference_error."""
+    told = F.lower(F.concat_ws(" ", code, message))
+    return F.when(told.rlike("oom|memory|cuda"), "oom").otherwise("inference_error")
 
 
 def project_of_key(key: Column) -> Column:

@@ -98,3 +98,61 @@ def rollup_shards(children: DataFrame, parent: str = "parent_id") -> DataFrame:
     out = children.groupBy(parent).agg(F.count("*").alias("shards"), F.sum("processed").alias("processed"), F.sum("total").alias("total"), is_("COMPLETED").alias("completed"), is_("FAILED").alias("failed"), is_("CANCELLED").alias("cancelled"), over.alias("over"), F.min("started_at").alias("started_at"), F.max("ended_at").alias("last_end"))
     status = F.when(~F.col("over"), "RUNNING").when(F.col("completed") > 0, "COMPLETED").when(F.col("cancelled") == F.col("shards"), "CANCELLED").otherwise("FAILED")
     return out.withColumns({"status": status, "warnings": F.col("over") & (F.col("completed") > 0) & (F.col("completed") < F.col("shards")), "ended_at": F.when(F.col("over"), F.col("last_end"))}).drop("last_end", "over")
+
+
+def terminal_states(outcomes: DataFrame, key: str = "job_id") -> DataFrame:
+    """A row for each job of asset outcomes (job_id, outcome): how it ended, and its failures as text ("2 oom; 1 prepare error"), commonest first."""
+    failed = F.col("outcome").isin("oom", "inference_error", "prepare_error")
+    counts = outcomes.groupBy(key, "outcome").agg(F.count("*").alias("n"))
+    told = F.concat(F.col("n").cast("string"), F.lit(" "), F.replace("outcome", F.lit("_"), F.lit(" ")))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(failed, F.struct((-F.col("n")).alias("minus"), "outcome", told.alias("told"))))), lambda x: x.told)
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = counts.groupBy(key).agg(n(failed).alias("failures"), n(~failed).alias("successes"), n(F.col("outcome").isin("oom", "inference_error")).alias("inferred"), F.array_join(listed, "; ").alias("message"))
+    state = F.when(F.col("failures") == 0, "completed").when(F.col("successes") > 0, "completed_partial").when(F.col("inferred") > 0, "failed_inference").otherwise("failed_prepare")
+    return out.select(key, state.alias("state"), F.when(state.startswith("failed"), "FAILED").otherwise("COMPLETED").alias("status"), F.when(F.col("failures") > 0, F.col("message")).alias("message"))
+
+
+def stage_summaries(log: DataFrame, key: str = "job_id") -> DataFrame:
+    """A row for each job of a log (job_id, at, stage, asset_id, outcome, state, message): latest stage, state and message, and assets by their latest outcome."""
+    last = lambda value, when: F.max_by(value, F.when(when, F.col("at")))
+    stage = F.col("stage")
+    whole = log.groupBy(key).agg(last("stage", stage != "terminal").alias("latest_stage"), last("state", stage == "terminal").alias("state"), last("message", F.col("message").isNotNull()).alias("last_message"))
+    latest = log.where("asset_id IS NOT NULL AND outcome IS NOT NULL").groupBy(key, "asset_id").agg(F.max_by("outcome", "at").alias("outcome"))
+    kinds = ("success", "zero_detections", "oom", "inference_error", "prepare_error")
+    counts = latest.groupBy(key).agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
+    return whole.join(counts, key, "left").select(key, "latest_stage", "state", "last_message", *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in kinds])
+
+
+def leaderboard(models: DataFrame) -> DataFrame:
+    """Finished models with any metric, ranked by map50 (a missing one last), then the latest."""
+    metrics = F.coalesce(*[F.col(c) for c in ("map50", "map5095", "precision", "recall", "f1")]).isNotNull()
+    found = models.where(F.col("status").isin("READY", "ACTIVE", "ARCHIVED") & metrics)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("map50", F.lit(-1.0)).desc(), F.col("created_at").desc(), "model_id")))
+
+
+def class_metrics(models: DataFrame) -> DataFrame:
+    """Rows (model_id, class, precision, recall, map50) of JSON text `metrics`: an object of records by class, or an array of records with class or name; map50 also goes by mAP50."""
+    record = "map<string, string>"
+    listed = models.where(F.ltrim("metrics").startswith("[")).select("model_id", F.explode(F.from_json("metrics", f"array<{record}>")).alias("m")).select("model_id", F.coalesce(F.col("m")["class"], F.col("m")["name"]).alias("class"), "m")
+    mapped = models.where(F.ltrim("metrics").startswith("{")).select("model_id", F.explode(F.from_json("metrics", f"map<string, {record}>")).alias("class", "m"))
+    number = lambda *keys: F.coalesce(*[F.col("m")[k].try_cast("double") for k in keys])
+    return listed.unionByName(mapped).where("class IS NOT NULL").select("model_id", "class", number("precision").alias("precision"), number("recall").alias("recall"), number("mAP50", "map50").alias("map50"))
+
+
+def reconciled(versions: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """versions whose training began over so many hours before as_of are READY again."""
+    stuck = (F.col("status") == "TRAINING") & (F.col("updated_at") < F.to_timestamp(F.lit(as_of)) - F.make_interval(hours=F.lit(hours)))
+    return versions.withColumn("status", F.when(stuck, "READY").otherwise(F.col("status")))
+
+
+def feature_flag(features: Column, name: str) -> Column:
+    """A boolean of a JSON object's text; false where it isn't there."""
+    return F.coalesce(F.get_json_object(features, f"$.{name}") == "true", F.lit(False))
+
+
+def audit_of(log: DataFrame, entity: str, entity_id: str | None = None, most: int = 100) -> DataFrame:
+    """The latest audit rows of a kind of entity, or of one."""
+    found = log.where(F.col("entity") == entity)
+    if entity_id is not None:
+        found = found.where(F.col("entity_id") == entity_id)
+    return found.orderBy(F.col("at").desc(), "entity_id").limit(most)

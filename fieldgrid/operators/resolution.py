@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import box
 from ..functions.geo import METRES_PROJECTION, RADIUS, RADIUS_COUNTING
 from .spatial import clusters
 
@@ -70,7 +71,7 @@ def duplicate_groups(detections: DataFrame, metres: float = 1.8, by_class: bool
 def representatives(detections: DataFrame, groups: DataFrame) -> DataFrame:
     """A row for each group: its leader's columns, the mean place weighted by confidence (0.05 at least), the earliest time, and members."""
     joined = detections.join(groups, "id")
-    w = F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.05))
+    w = F.greatest(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.05))
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     sums = joined.groupBy("leader").agg(
         *[(F.sum(F.when(placed, w * F.col(c))) / F.sum(F.when(placed, w))).alias(f"mean_{c}") for c in ("lat", "lon")], F.min("created_at").alias("first_seen"), F.count("*").alias("members"),
@@ -112,7 +113,7 @@ def image_bias(detections: DataFrame, metres: float = 1.8, most: float = 1.6, le
     images, weighted by objects, is taken off, and a shift is held to `most` metres.
     """
     groups = duplicate_groups(detections, metres)
-    w = F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.05))
+    w = F.greatest(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.05))
     rows = _located(detections).join(groups, "id").withColumn("w", w)
     anchors = rows.groupBy("leader").agg((F.sum(F.col("w") * F.col("lat")) / F.sum("w")).alias("alat"), (F.sum(F.col("w") * F.col("lon")) / F.sum("w")).alias("alon"), F.count("*").alias("n")).where("n >= 2").drop("n")
     off = rows.join(anchors, "leader").select("asset_id", "w", ((F.col("alat") - F.col("lat")) * METRES_PROJECTION).alias("dy"), ((F.col("alon") - F.col("lon")) * METRES_PROJECTION * F.cos(F.radians("lat"))).alias("dx"), "lat")
@@ -158,3 +159,51 @@ def suppress(boxes: DataFrame, keys: tuple[str, ...], threshold: float, measure:
         return f.iloc[kept]
 
     return good.groupBy(*keys).applyInPandas(kernel, good.schema)
+
+
+def best_candidates(boxes: DataFrame, candidates: DataFrame, key: str = "asset_id", least: float = 0.1) -> DataFrame:
+    """Rows (box, candidate, iou): for each box (id, asset_id, x1..y2) the candidate of its image that it overlaps most, by at least so much; ties go to the smaller id."""
+    four = ("x1", "y1", "x2", "y2")
+    a = boxes.select(key, F.col("id").alias("box"), box.corner(*map(F.col, four)).alias("p"))
+    b = candidates.select(key, F.col("id").alias("candidate"), box.corner(*map(F.col, four)).alias("q"))
+    met = a.join(b, key).select(key, "box", "candidate", box.iou(F.col("p"), F.col("q")).alias("iou")).where(F.col("iou") >= least)
+    return met.groupBy(key, "box").agg(F.min(F.struct((-F.col("iou")).alias("minus"), "candidate")).alias("m")).select(key, "box", "m.candidate", (-F.col("m.minus")).alias("iou"))
+
+
+def merge_refined(candidates: DataFrame, refined: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Per image: refined boxes with their best candidate's confidence, and the candidates that no refined box took; all candidates where no refined box has one."""
+    best = best_candidates(refined, candidates, key)
+    score = candidates.select(key, F.col("id").alias("candidate"), F.col("confidence").alias("score"))
+    taken = refined.drop("confidence").join(best.withColumnRenamed("box", "id").drop("iou"), [key, "id"]).join(score, [key, "candidate"]).withColumnRenamed("score", "confidence")
+    left = candidates.join(best.select(key, F.col("candidate").alias("id")).distinct(), [key, "id"], "left_anti")
+    return taken.select(*candidates.columns).unionByName(left)
+
+
+def merge_anchors(anchors: DataFrame, found: DataFrame, key: str = "asset_id", least: float = 0.2, same: float = 0.9, most: int = 10) -> DataFrame:
+    """Per image: its anchors, then found boxes by confidence that cover or lie in an anchor by so much of the smaller one (any, without anchors) and equal none before, up to `most`."""
+    overlap, iou = _overlaps("smaller"), _overlaps("iou")
+    rows = anchors.withColumn("anchor", F.lit(True)).unionByName(found.withColumn("anchor", F.lit(False))).where("x2 > x1 AND y2 > y1")
+
+    def kernel(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.assign(c=-f["confidence"].fillna(0.0)).sort_values(["anchor", "c", "id"], ascending=[False, True, True], kind="stable").drop(columns="c")
+        b = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        own = np.flatnonzero(f["anchor"].to_numpy())
+        kept = own.tolist()
+        for i in range(len(own), len(f)):
+            if len(kept) >= most:
+                break
+            if len(own) and not (overlap(b[i], b[own]) >= least).any():
+                continue
+            if not (len(kept) and (iou(b[i], b[kept]) >= same).any()):
+                kept.append(i)
+        return f.iloc[kept[:most]]
+
+    return rows.groupBy(key).applyInPandas(kernel, rows.schema)
+
+
+def nearest_others(boxes: DataFrame, key: str = "asset_id", count: int = 4, reach: float = 2.0) -> DataFrame:
+    """Rows (id, other, distance): for each box the nearest centres of other boxes of its image within so many times its larger side."""
+    at = boxes.select(key, "id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("side"))
+    pairs = at.alias("p").join(at.alias("q"), F.expr(f"p.{key} = q.{key} AND p.id <> q.id")).select("p.id", F.col("q.id").alias("other"), F.hypot(F.expr("p.cx - q.cx"), F.expr("p.cy - q.cy")).alias("distance"), F.col("p.side").alias("side"))
+    near = pairs.where(F.col("distance") <= reach * F.col("side"))
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("n") <= count).select("id", "other", "distance")
