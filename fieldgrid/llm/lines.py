@@ -102,7 +102,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def first_occurrences(lines: DataFrame) -> DataFrame:
     """The written table of different lines, f being their first place."""
     # Equal lines meet as partial minima of every task, so a line that many documents share moves once a task.
-    return written(lines.groupBy("h", "g").agg(F.min("own").alias("f"), *[F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]), "first")
+    return written(lines.groupBy("h", "g").agg(F.min("own").alias("f"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]), "first")
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
@@ -188,8 +188,13 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     lines = line_table(docs, key, text)
     distinct = first_occurrences(lines)
     near = near_lines(docs, distinct, key, text).withColumn("near", F.lit(True))
-    decided = distinct.select("h", "g", "f").join(near, ["h", "g"], "left")
-    gone = lines.select("h", "g", "own").join(decided, ["h", "g"]).where("own > f OR (own = f AND near)")
+    decided = distinct.select("h", "g", "f", "copies").join(near, ["h", "g"], "left")
+    # A line of more than a thousandth of all occurrences is one of at most a thousand: those are broadcast, so no task gets them all.
+    many = max(1000, (distinct.agg(F.sum("copies")).first()[0] or 0) // 1000)
+    frequent = F.broadcast(decided.where(F.col("copies") > many))
+    all_lines = lines.select("h", "g", "own")
+    rest = all_lines.join(F.broadcast(distinct.where(F.col("copies") > many).select("h", "g")), ["h", "g"], "left_anti").join(decided.where(F.col("copies") <= many), ["h", "g"])
+    gone = all_lines.join(frequent, ["h", "g"]).unionByName(rest).where("own > f OR (own = f AND near)")
     return gone.select("own.k", "own.r", "own.p", (F.col("own") == F.col("f")).alias("near")).distinct()
 
 

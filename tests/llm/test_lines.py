@@ -84,3 +84,9 @@ def test_odd_rows(spark):
     # The null key comes first, so its line is the first of the near ones.
     assert rows == [("1", "", "a", 1), ("1", "", "a", 1), ("1", "other", "b", 2), ("2", "", "d", 4), ("None", line + "!", "c", 3)]
     assert lines.dedup(df.limit(0)).count() == 0
+
+
+def test_frequent_lines_are_decided_alike(spark):
+    docs = [(i, "this line is shared by very many documents\n" + f"own line number {i} of this text, {'abcdefghij'[i % 10] * 20}") for i in range(2500)]
+    got = sorted((r.k, r.p, r.near) for r in lines.duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got[:3] == [(1, 0, False), (2, 0, False), (3, 0, False)] and sum(p == 0 for _, p, _ in got) == 2499 and not any(n for _, p, n in got if p == 0)
