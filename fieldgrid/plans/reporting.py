@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text
 from ..functions.geo import valid_coordinate
 from ..operators import reporting as r
+from ..sinks.tables import audit_rows
 from ..sources.bridge import Bridge
 from .registry import query
 
@@ -204,3 +205,34 @@ def inserted_ignoring(t: Bridge) -> DataFrame:
 @query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS last_id FROM {events} WHERE ts < TIMESTAMP '2100-01-01' GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3""")
 def top_reasons(t: Bridge) -> DataFrame:
     return t.events.where("ts < timestamp'2100-01-01'").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max("event_id").alias("last_id")).orderBy(F.col("n").desc(), "event_type").limit(3)
+
+
+@query("""SELECT * FROM (SELECT 'manual' AS source, annotation_id AS id, asset_id FROM {manual} WHERE verified ORDER BY annotation_id LIMIT 20 OFFSET 20)
+  UNION ALL SELECT * FROM (SELECT 'suggestion', pending_id, asset_id FROM {pending} WHERE status = 'ACCEPTED' ORDER BY pending_id LIMIT 20 OFFSET 20)""")
+def annotation_export_page(t: Bridge) -> DataFrame:
+    """Each source is paged on its own, so a page holds up to twice its size."""
+    a = t.manual.where("verified").select(F.lit("manual").alias("source"), F.col("annotation_id").alias("id"), "asset_id")
+    b = t.pending.where("status = 'ACCEPTED'").select(F.lit("suggestion").alias("source"), F.col("pending_id").alias("id"), "asset_id")
+    return r.page(a, [F.col("id")], 2, 20).unionByName(r.page(b, [F.col("id")], 2, 20))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, p_type AS v FROM {part} WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_type END AS v FROM {part} WHERE p_partkey % 4 <> 0)
+  SELECT action, count(*) AS n FROM (SELECT CASE WHEN a.id IS NULL THEN 'CREATE' WHEN b.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action FROM a FULL JOIN b ON a.id = b.id WHERE a.v IS DISTINCT FROM b.v) GROUP BY action""")
+def audit_actions(t: Bridge) -> DataFrame:
+    k = F.col("p_partkey")
+    a = t.part.where(k % 3 != 0).select(k.alias("id"), F.col("p_type").alias("v"))
+    b = t.part.where(k % 4 != 0).select(k.alias("id"), F.when(k % 5 == 0, "x").otherwise(F.col("p_type")).alias("v"))
+    return audit_rows(a, b, "id", "part", "u", "2024-01-01").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(status, 'none') AS status, count(*) AS assets FROM (SELECT a.asset_id, p.status FROM {asset} a LEFT JOIN {pending} p ON a.asset_id = p.asset_id QUALIFY row_number() OVER (PARTITION BY a.asset_id ORDER BY p.created_at DESC, p.pending_id DESC) = 1) GROUP BY 1""")
+def latest_suggestion_status(t: Bridge) -> DataFrame:
+    last = r.latest_of(t.pending.select("asset_id", "created_at", "pending_id", "status"), "asset_id", ["created_at", "pending_id"])
+    return t.asset.select("asset_id").distinct().join(last, "asset_id", "left").groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("assets"))
+
+
+@query("""SELECT p.project_id, count(a.asset_id) AS accepted, round(sum(CAST(round(a.confidence * 100) AS BIGINT))::BIGINT / 100.0E0, 2) AS score FROM {project} p LEFT JOIN {detection} a ON p.project_id = a.project_id AND NOT a.rejected AND (a.verified OR a.user_corrected) AND a.created_at >= TIMESTAMP '1995-01-01' AND a.created_at < TIMESTAMP '1996-01-01' GROUP BY p.project_id""")
+def accepted_in_range(t: Bridge) -> DataFrame:
+    found = t.detection.where(r.accepted() & (F.col("created_at") >= "1995-01-01") & (F.col("created_at") < "1996-01-01"))
+    sums = found.groupBy("project_id").agg(F.count("*").alias("accepted"), F.round(F.sum(F.round(F.col("confidence") * 100).cast("long")) / 100, 2).alias("score"))
+    return t.project.select("project_id").join(sums, "project_id", "left").select("project_id", F.coalesce("accepted", F.lit(0)).cast("long").alias("accepted"), "score")
