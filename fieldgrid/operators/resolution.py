@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import box
 from ..functions.geo import METRES_PROJECTION, RADIUS, RADIUS_COUNTING
+from ..storage import written
 from .spatial import clusters
 
 
@@ -158,7 +159,16 @@ def suppress(boxes: DataFrame, keys: tuple[str, ...], threshold: float, measure:
                 kept.append(i)
         return f.iloc[kept]
 
-    return good.groupBy(*keys).applyInPandas(kernel, good.schema)
+    if budget is not None:
+        return good.groupBy(*keys).applyInPandas(kernel, good.schema)
+    # A box that overlaps no other of its group by the threshold is kept, and drops none: only the others meet the kernel.
+    rows = written(good.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), "id"))), "boxes")
+    shape = box.corner(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    a, b = rows.select(*keys, "_r", shape.alias("p")), rows.select(*keys, F.col("_r").alias("_o"), shape.alias("q"))
+    how_much = (box.iou if measure == "iou" else box.overlap_of_smaller)(F.col("p"), F.col("q"))
+    touching = a.join(b, list(keys)).where((F.col("_r") != F.col("_o")) & (how_much >= threshold - 1e-9)).select(*keys, "_r").distinct()
+    met = rows.join(touching, [*keys, "_r"]).select(*good.columns).groupBy(*keys).applyInPandas(kernel, good.schema)
+    return rows.join(touching, [*keys, "_r"], "left_anti").select(*good.columns).unionByName(met)
 
 
 def best_candidates(boxes: DataFrame, candidates: DataFrame, key: str = "asset_id", least: float = 0.1) -> DataFrame:

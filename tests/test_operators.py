@@ -262,3 +262,12 @@ def test_reporting_edges(spark, rows):
     assert reporting.insert_ignore(df, df, ["id"]).count() == len(rows)
     assert reporting.page(df, [F.col("id")], 1).count() == len(rows)
     assert reporting.latest_of(df, "id", ["n"]).count() == len(rows)
+
+
+def test_suppression_by_touching_boxes_equals_the_kernel(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), rng.choice([0.5, rng.random()]), x := rng.uniform(0, 40), y := rng.uniform(0, 40), x + rng.uniform(2, 15), y + rng.uniform(2, 15)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, image string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    for measure, inclusive in (("iou", True), ("iou", False), ("smaller", True)):
+        ids = [sorted(r.id for r in resolution.suppress(df, ("image",), 0.3, measure, inclusive, budget=b).collect()) for b in (None, 1000)]
+        assert ids[0] == ids[1] and 0 < len(ids[0]) < 200
