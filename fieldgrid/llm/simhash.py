@@ -70,16 +70,19 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE, seed: int = SE
     return np.packbits(full, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (key, fp long: the fingerprint's bits), one for each row of df; null, empty and blank texts have fingerprint 0."""
+def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """Rows (key, fp long: the fingerprint's bits), one for each row of df; null, empty and blank texts have fingerprint 0. With `hashed` also text_hash, the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 4 << 20):
-            found = fingerprints(b.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["key", "fp"])
+            found = pa.array(fingerprints(b.column(1).to_pylist(), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), found, *b.columns[2:]], names=names)
 
+    names = ["key", "fp", *(["text_hash"] if hashed else [])]
+    whole = F.col(f"`{text}`").cast("string")
+    own = df.select(F.col(f"`{key}`").alias("key"), whole.alias("text"), *([F.xxhash64(whole).alias("text_hash")] if hashed else []))
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return own.mapInArrow(run, f"key {kind}, fp long" + (", text_hash long" if hashed else "")).withColumnRenamed("key", key)
 
 
 def distance(a, b) -> np.ndarray:
@@ -203,7 +206,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Rows (key, fp, component_id): the smallest key whose fingerprint is reached by links, one row for each row of fps.
+    """fps (key, fp, ...) with component_id: the smallest key whose fingerprint is reached by links, one row for each row of fps.
 
     Rows with a null key have their fingerprint's component, which is null if no row of it has a key.
     """
@@ -213,11 +216,14 @@ def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFra
     own = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     own = written(own, "roots")
     of_root = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(own.join(of_root, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return fps.join(own.join(of_root, "root").select("fp", "component_id"), "fp").select(*fps.columns, "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of df without those whose group has a smaller key; rows of one key are one document, and rows with a null key go where their group has a key."""
-    found = groups(fingerprint(df, key, text, shingle), key, radius)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone")).distinct()
-    return df.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
+    """The rows of df without those whose group has a smaller key; rows of one key in one group are one document, and rows with a null key go where their group has a key.
+
+    Rows go by key and text, so another row of the same (or null) key stays if its own group has no smaller key.
+    """
+    found = groups(fingerprint(df, key, text, shingle, hashed=True), key, radius)
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    return df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("gone")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("gone_hash")), "left_anti")

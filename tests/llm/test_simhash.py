@@ -118,3 +118,11 @@ def test_odd_rows(spark):
     rows = sorted((str(r.doc_id), r.component_id) for r in simhash.groups(simhash.fingerprint(df)).collect())
     assert rows == [("2", 2), ("3", 3), ("4", 2), ("7", 7), ("7", 7), ("9", 2), ("None", 7)]
     assert simhash.groups(simhash.fingerprint(df.limit(0))).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    copy = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(3, copy), (None, copy), (None, "a text of its own without any key"), (5, copy), (5, "the other row of five is unlike all others"), (7, "seven stands alone here"), (None, None), (8, ""), (None, "words that two rows without key have"), (None, "words that two rows without key have")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, simhash.keep_one(df).collect()))
+    assert got == sorted(map(str, (df.where("text <> ''").filter(f"NOT (text = '{copy}' AND NOT doc_id <=> 3)").collect() + df.where("doc_id = 8").collect())))
