@@ -1,6 +1,6 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-Every record is a gzip member of its own. The reader checks each member and record; after a failed check it searches
+Every record is written as a gzip member of its own; the reader takes members of many records too. It checks each member and record; after a failed check it searches
 for the next member (or, in a plain archive, the next version line) that reads as a whole record, goes on from there,
 and logs the bytes between as a quarantined gap.
 """
@@ -27,7 +27,7 @@ REVISIT_BYTES, ARCHIVE_BYTES = 1000, 12 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_COLUMNS = "archive string, start long, stop long, kind string, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
+_COLUMNS = "archive string, start long, stop long, kind string, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string, inner_start long, inner_stop long"
 _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
@@ -125,56 +125,95 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     return fields, block, start + int(size)
 
 
-def _member(data: bytes, at: int, piece: int = 16 << 10) -> tuple[bytes, int] | str:
-    """The content and the end of the gzip member at a place; it is read by pieces, so the rest of the archive isn't touched."""
-    unpacker, out = zlib.decompressobj(31), []
+def _member(data: bytes, at: int, piece: int = 16 << 10) -> tuple[bytes, int, str]:
+    """The content and the end of the gzip member at a place, or what could be read of a damaged one, its place and what is wrong; it is read by pieces, so the rest of the archive isn't touched."""
+    unpacker, out, begin = zlib.decompressobj(31), [], at
     view = memoryview(data)
     try:
         while not unpacker.eof:
             if at >= len(data):
-                return "truncated gzip member"
+                return b"".join(out), begin, "truncated gzip member"
             out.append(unpacker.decompress(view[at : at + piece]))
             at += piece
     except zlib.error as e:
-        return f"bad gzip member: {e}"[:80]
-    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data)
+        return b"".join(out), begin, f"bad gzip member: {e}"[:80]
+    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data), ""
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(start, stop, fields, block, reason) of each record, or with fields None of each quarantined gap, in the order of the bytes."""
+def _inside(content: bytes, damaged: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """Like salvage, of a member's content. Of a damaged member only records with a block digest count."""
+    gap, reason, at = None, "", 0
+    while at < len(content):
+        found = parse(content, at)
+        if damaged and isinstance(found, tuple) and not found[0].get("warc-block-digest", "").startswith("sha1:"):
+            found = "no block digest in a damaged member"
+        if isinstance(found, tuple):
+            if gap is not None:
+                yield gap, at, None, b"", reason
+                gap = None
+            stop = found[2]
+            while content.startswith(b"\r\n", stop):
+                stop += 2
+            yield at, stop, found[0], found[1], ""
+            at = stop
+            continue
+        if gap is None:
+            gap, reason = at, found
+        m = _VERSION.search(content, at + 1)
+        at = m.start() if m else len(content)
+    if gap is not None:
+        yield gap, len(content), None, b"", reason
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str, int | None, int | None]]:
+    """(start, stop, fields, block, reason, inner start, inner stop) of each record, or with fields None of each quarantined gap, in the order of the bytes.
+
+    Inner places count bytes of the content of the gzip member from start to stop; they are null unless the member holds more than one record or
+    gap. Records that could be read of a damaged member have its start as stop, too: its bytes are a gap of their own.
+    """
     gap, reason, at = None, "", 0
     version = -1  # the next version line, looked for once
     while at < len(data):
+        rows = []
         if data.startswith(b"\x1f\x8b", at):
-            got = _member(data, at)
-            found = parse(got[0]) if isinstance(got, tuple) else got
-            stop = got[1] if isinstance(got, tuple) else at
+            content, stop, found = _member(data, at)
+            inside = [*_inside(content, bool(found))]
+            if any(r[2] is not None for r in inside):
+                sole = len(inside) == 1 and not found
+                rows = [(at, stop, *r[2:], *((None, None) if sole else r[:2])) for r in inside if not found or r[2] is not None]
+            found = found or (inside[0][4] if inside else "no version line")
         else:
             found = parse(data, at)
             stop = found[2] if isinstance(found, tuple) else at
             while isinstance(found, tuple) and data.startswith(b"\r\n", stop):
                 stop += 2
-        if isinstance(found, tuple):
+            if isinstance(found, tuple):
+                rows = [(at, stop, found[0], found[1], "", None, None)]
+        if rows:
             if gap is not None:
-                yield gap, at, None, b"", reason
+                yield gap, at, None, b"", reason, None, None
                 gap = None
-            yield at, stop, found[0], found[1], ""
+            yield from rows
+        if rows and stop > at:
             at = stop
             continue
         if gap is None:
             gap, reason = at, found
+        if stop > at:  # a whole member without a record
+            at = stop
+            continue
         if version <= at:
             m = _VERSION.search(data, at + 1)
             version = m.start() if m else len(data)
         member = data.find(b"\x1f\x8b\x08", at + 1, version)
         at = member if member >= 0 else version
     if gap is not None:
-        yield gap, len(data), None, b"", reason
+        yield gap, len(data), None, b"", reason, None, None
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*.warc*", payloads: bool = True) -> DataFrame:
     """Rows of all records and gaps of the archives under a path: archive, start, stop (bytes), kind ('record' or 'gap'), record_type, page_id,
-    uri, payload_bytes, payload_digest (lower-case hex SHA-1), refers_to, payload, reason (of a gap).
+    uri, payload_bytes, payload_digest (lower-case hex SHA-1), refers_to, payload, reason (of a gap), inner_start, inner_stop (see salvage).
 
     Size and digest are those of the whole payload: computed for records that hold it, stated for revisits. A record
     whose payload differs from its stated digest is a gap. Folders without an archive give no rows.
@@ -184,8 +223,8 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.warc*", payload
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, size = [], 0
-                for start, stop, fields, block, reason in salvage(content.as_py()):
-                    rows.append(_row(name, start, stop, fields, block, reason, payloads))
+                for start, stop, fields, block, reason, *inner in salvage(content.as_py()):
+                    rows.append((*_row(name, start, stop, fields, block, reason, payloads), *inner))
                     size += len(block)
                     if size > 4 << 20 or len(rows) >= 2000:
                         yield _batch(rows)

@@ -60,3 +60,28 @@ def test_salvage_of_plain_archives(spark, tmp_path):
     got = warc.read_archives(spark, f"file://{tmp_path}").collect()
     assert sorted(r.kind for r in got) == sorted("record" if r[2] else "gap" for r in rows)
     assert [*warc.salvage(b"")] == []
+
+
+def test_salvage_of_members_of_many_records(spark, tmp_path):
+    plain = [gzip.decompress(warc.page_record(i, f"http://h/{i}", bytes(f"page {i} {'x' * 50}", "utf-8"), None)) for i in range(5)]
+    bad = plain[0].replace(b"page 0", b"page 9")
+    content = bad + plain[1] + plain[2] + b"junk" + plain[3]
+    first, second = gzip.compress(content), gzip.compress(plain[4])
+    rows = [*warc.salvage(first + second)]
+    assert [r[2] and r[2]["x-page-id"] for r in rows] == [None, "1", "2", None, "3", "4"]
+    assert [r[:2] for r in rows] == [(0, len(first))] * 5 + [(len(first), len(first) + len(second))]
+    assert [r[5:] for r in rows[:1]] == [(0, len(bad))] and rows[-1][5:] == (None, None)
+    assert sum(r[6] - r[5] for r in rows[:5]) == len(content) and all(x[6] == y[5] for x, y in zip(rows[:4], rows[1:5], strict=True))
+    (tmp_path / "x.warc.gz").write_bytes(first + second)
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.page_id for r in got if r.kind == "record") == [1, 2, 3, 4] and sum(r.kind == "gap" for r in got) == 2
+
+
+def test_salvage_of_a_damaged_member_of_many_records():
+    plain = b"".join(gzip.decompress(warc.page_record(i, None, hashlib.sha512(bytes([i])).hexdigest().encode() * 40, None)) for i in range(40))
+    whole, last = gzip.compress(plain), warc.page_record(99, None, b"last", None)
+    cut = whole[: len(whole) // 2]
+    rows = [*warc.salvage(cut + last)]
+    ids = [r[2]["x-page-id"] for r in rows if r[2]]
+    assert ids[:3] == ["0", "1", "2"] and ids[-1] == "99" and len(ids) > 10
+    assert sum(r[1] - r[0] for r in rows) == len(cut + last)
