@@ -235,7 +235,7 @@ def treatment_missions(t: Bridge) -> DataFrame:
 @query()
 def launch_times(t: Bridge) -> DataFrame:
     flights = treatment_missions(t).groupBy("project_id", "mission").agg(F.first("minutes").alias("minutes"))
-    launches = t.forecast.orderBy("ts").select(F.col("ts").alias("launch")).limit(12)
+    launches = t.forecast.select(F.col("ts").alias("launch"))
     return planning.best_launch(flights, launches, t.forecast)
 
 

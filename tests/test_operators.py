@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldgrid.functions import box, geo, georef, text, weather
 from fieldgrid.operators import dataset, planning, reporting, resolution, spatial, temporal
 from fieldgrid.operators.components import components
+from fieldgrid.plans import analytics
 
 LAT0, LON0 = -27.0, 153.0
 
@@ -237,6 +238,17 @@ def test_zones_missions_and_launch(spark):
     assert best.launch.hour >= 6 and best.no_go == 0
 
 
+def test_the_first_36_launches_are_tried(spark, monkeypatch):
+    hours = [((pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime(), {29: 2.0, 37: 0.0}.get(h, 6.0), 2.0, 5.0, 20.0) for h in range(44)]
+    forecast = spark.createDataFrame(hours[::-1], "ts timestamp, wind double, gust double, precip double, temp double").coalesce(1)
+    launches = forecast.select(F.col("ts").alias("launch"))
+    flights = spark.createDataFrame([(1, 1, 10.0)], "project_id long, mission int, minutes double")
+    assert planning.best_launch(flights, launches.union(launches), forecast).first().launch == hours[29][0]
+    table = type("Tables", (), {"forecast": forecast})
+    monkeypatch.setattr(analytics, "treatment_missions", lambda t: flights)
+    assert analytics.launch_times(table).first().launch == hours[29][0]
+
+
 def test_dataset(spark):
     rows = [(i, 1000 + i % 7, "Class " + "ab"[i % 2], 0.9, True, False, False, 10, 20, 50, 80 + i % 3) for i in range(40)]
     det = spark.createDataFrame(rows, "detection_id long, asset_id long, class_name string, confidence double, verified boolean, rejected boolean, user_corrected boolean, x1 long, y1 long, x2 long, y2 long")
