@@ -105,9 +105,14 @@ def without_drafts(t: Bridge) -> DataFrame:
 
 @query("""SELECT a.asset_id, coalesce(n, 0) AS annotations, coalesce(v, 0) AS verified FROM {asset} a LEFT JOIN (SELECT asset_id, count(*) AS n, count(*) FILTER (WHERE verified) AS v FROM {manual} GROUP BY asset_id) m ON a.asset_id = m.asset_id WHERE a.asset_id % 3 = 0""")
 def asset_annotation_counts(t: Bridge) -> DataFrame:
+    return all_annotation_counts(t).where("asset_id % 3 = 0")
+
+
+@query("""SELECT a.asset_id, coalesce(n, 0) AS annotations, coalesce(v, 0) AS verified FROM {asset} a LEFT JOIN (SELECT asset_id, count(*) AS n, count(*) FILTER (WHERE verified) AS v FROM {manual} GROUP BY asset_id) m ON a.asset_id = m.asset_id""")
+def all_annotation_counts(t: Bridge) -> DataFrame:
     counts = t.manual.groupBy("asset_id").agg(F.count("*").alias("n"), F.count_if("verified").alias("v"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return t.asset.where("asset_id % 3 = 0").join(counts, "asset_id", "left").select("asset_id", zero("n", "annotations"), zero("v", "verified"))
+    return t.asset.join(counts, "asset_id", "left").select("asset_id", zero("n", "annotations"), zero("v", "verified"))
 
 
 @query("""WITH k AS (SELECT *, CASE WHEN trim(coalesce(flight_session, '')) <> '' THEN regexp_replace(regexp_replace(lower(trim(flight_session)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') ELSE 'date-' || strftime(flight_date, '%Y-%m-%d') END AS survey_key FROM {asset})

@@ -41,3 +41,11 @@ def test_query_equals_its_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
     registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_whole_tables_are_covered(spark):
+    sf = "/root/testdata/sf0.001"
+    assets = registry.Bridge(spark, sf).asset
+    assert registry.QUERIES["all_annotation_counts"](spark, sf).count() == assets.count()
+    cover = registry.QUERIES["all_survey_coverage"](spark, sf)
+    assert {(r.project_id, r.survey_id) for r in cover.collect()} == {tuple(r) for r in assets.select("project_id", "survey_id").distinct().collect()}
