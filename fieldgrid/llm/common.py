@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: the shared scratch folder, written tables, batches of bounded size."""
+"""What the operators of this subpackage share: batches of bounded size, lists, and the library's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import join_hot, scratch, shared_base, written  # noqa: F401
+
 #: Bytes of text that a Python worker holds at a time (one longer text is held alone).
 BATCH_BYTES = 8 << 20
 
 
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fieldgrid.scratch", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fieldgrid-")
-        spark.conf.set("fieldgrid.scratch", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_base(spark)}/fieldgrid/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table: later reads don't compute it again, and its lineage is cut."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

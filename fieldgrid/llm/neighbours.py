@@ -2,8 +2,11 @@
 
 Distinct vectors are dealt to shards by hash. Each shard's graph is built by batches of insertions: a greedy beam search
 proposes neighbours, relaxed distance pruning keeps diverse edges, and reverse edges are pruned again where they are too
-many. The index (vectors, keys, edges) is a written table. To search, each shard's index rows and then all queries stream
-through a task in blocks; the nearest of all shards are ranked by exact double-precision distances.
+many. The index (vectors, keys, edges) is a written table. To search, the task that holds a shard reads all queries in blocks
+from a written table, so they aren't shuffled; the nearest of all shards are ranked by exact double-precision distances.
+
+Distances are sums of squared differences in double precision, so they hold for vectors off the origin and for tight groups; a shard's
+vectors are first multiplied by a power of two, so that neither very large nor very small ones over- or underflow.
 """
 
 from __future__ import annotations
@@ -12,29 +15,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import scratch, written
 
 #: Distinct vectors of a shard, most edges of a node, beam widths of building and search, pruning slack, nodes expanded a step, insertions a batch.
 SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, EXPAND, BATCH = 9000, 28, 56, 96, 1.2, 4, 512
+#: Pairs whose differences are held at a time, queries of a block.
+PAIRS, BLOCK = 16_384, 256
+
+
+def _scale(vectors: np.ndarray) -> float:
+    """A power of two that brings the largest component to about 1; a double itself."""
+    most = float(np.abs(vectors).max(initial=0.0))
+    return float(2.0 ** -max(-1000, min(1000, int(np.frexp(most)[1])))) if most > 0 else 1.0
+
+
+def euclidean(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Distances of the query, without the over- and underflow of squares: differences are multiplied by a power of two of their own."""
+    with np.errstate(over="ignore"):
+        away = vectors - query
+    most = np.abs(away).max(1, initial=0.0)
+    power = np.where(np.isfinite(most), np.frexp(most)[1], 0)
+    away = np.ldexp(away, -power[:, None])
+    return np.ldexp(np.sqrt((away * away).sum(1)), power)
 
 
 class Graph:
-    """Vectors and their out-edges, -1 where a node has fewer."""
+    """Vectors and their out-edges, -1 where a node has fewer. Vectors and queries are multiplied by `scale`."""
 
     def __init__(self, vectors: np.ndarray, edges: np.ndarray | None = None, degree: int = DEGREE):
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.squares = (self.x * self.x).sum(1)
+        self.scale = _scale(vectors)
+        self.x = np.ascontiguousarray(vectors, np.float64) * self.scale
         self.degree = degree
         self.start = int(np.argmin(((self.x - self.x.mean(0)) ** 2).sum(1))) if len(self.x) else 0
         self.edges = np.full((len(self.x), degree), -1, np.int32) if edges is None else edges
 
     def distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared, of each query to its row of ids; infinite for -1."""
-        products = np.matmul(self.x[ids], queries[:, :, None])[:, :, 0]
-        out = np.maximum(self.squares[ids] - 2 * products + (queries * queries).sum(1)[:, None], 0)
-        out[ids < 0] = np.inf
+        out = np.full(ids.shape, np.inf)
+        row, column = np.nonzero(ids >= 0)
+        for i in range(0, len(row), PAIRS):
+            r, c = row[i : i + PAIRS], column[i : i + PAIRS]
+            away = self.x[ids[r, c]]
+            away -= queries[r]
+            out[r, c] = np.einsum("ij,ij->i", away, away)
         return out
 
     def beam(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +69,7 @@ class Graph:
         b = len(queries)
         width = min(width, len(self.x))
         ids = np.full((b, width), -1, np.int32)
-        far = np.full((b, width), np.inf, np.float32)
+        far = np.full((b, width), np.inf)
         done = np.zeros((b, width), bool)
         ids[:, 0] = self.start
         far[:, :1] = self.distances(queries, ids[:, :1])
@@ -79,8 +106,8 @@ class Graph:
         far = self.distances(self.x[nodes], candidates)
         by = np.argsort(far, axis=1, kind="stable")
         candidates, far = np.take_along_axis(candidates, by, 1), np.take_along_axis(far, by, 1)
-        x = self.x[candidates]
-        s = self.squares[candidates]
+        x = self.x[candidates] - self.x[nodes][:, None, :]  # seen from the node, so products cancel little
+        s = (x * x).sum(2)
         between = np.maximum(s[:, :, None] + s[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1)), 0)
         alive = candidates >= 0
         out = np.full((len(nodes), self.degree), -1, np.int32)
@@ -171,34 +198,32 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
 def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest keys found for each query row, without its own; ties go to the smaller key.
 
-    Queries that are no valid vectors, or for whose length there is no index, have no rows. Repeated query rows count once.
+    A query whose beam finds fewer than k in a shard that has more compares with the whole shard, so every query has k rows or one for
+    each candidate. Queries that are no valid vectors, or for whose length there is no index, have no rows. Repeated query rows
+    count once. Distances beyond the range of a double are infinite.
     """
-    asked = _valid(queries, key, vector).distinct()
-    shards = index.select("dim", "shard").distinct()
-    # Every shard sees every query: index rows come first (i >= 0), then the queries in blocks.
-    empty = F.array().cast
-    rows = index.select("shard", F.lit(0).alias("kind"), "i", "v", "keys", "edges").union(asked.join(shards, "dim").select("shard", F.lit(1), "k", "v", empty("array<long>"), empty("array<int>")))
-    number = max(1, shards.count())
-    streamed = rows.repartitionByRange(number, "shard").sortWithinPartitions("shard", "kind", "i")
+    spark = index.sparkSession
+    folder = scratch(spark, "queries")
+    _valid(queries, key, vector).distinct().write.parquet(folder)
+    number = max(1, index.select("shard").distinct().count())
+    ordered = index.repartitionByRange(number, "shard").sortWithinPartitions("shard", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, graph = None, [], None
+        shard, held = None, []
         for b in batches:
-            cuts = np.flatnonzero(np.diff(b.column(0).to_numpy()) | np.diff(b.column(1).to_numpy())) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                part = b.slice(lo, hi - lo)
-                if part.column(0)[0].as_py() != shard:
-                    shard, held, graph = part.column(0)[0].as_py(), [], None
-                if part.column(1)[0].as_py() == 0:
-                    held.append(part)
-                    continue
-                if graph is None:
-                    graph = _Loaded(held)
-                    held = []
-                for i in range(0, part.num_rows, 256):
-                    yield graph.answer(part.slice(i, 256), k, beam)
-
-    found = streamed.mapInArrow(run, "query_id long, vec_id long, score double")
+            own = b.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    if held and own[lo] != shard:
+                        yield from _Loaded(held).answers(folder, k, beam)
+                        held = []
+                    shard = own[lo]
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from _Loaded(held).answers(folder, k, beam)
+
+    found = ordered.mapInArrow(run, "query_id long, vec_id long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -213,6 +238,7 @@ class _Loaded:
     def __init__(self, parts: list[pa.RecordBatch]):
         table = pa.Table.from_batches(parts).combine_chunks()
         self.v = _matrix(table.column("v").chunk(0), table.num_rows)
+        self.dim = table.column("dim")[0].as_py()
         self.keys = table.column("keys").to_pylist()
         edges = np.full((table.num_rows, DEGREE), -1, np.int32)
         lists = table.column("edges").chunk(0)
@@ -221,14 +247,29 @@ class _Loaded:
         edges[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = lists.flatten().to_numpy(zero_copy_only=False)
         self.graph = Graph(self.v, edges)
 
+    def answers(self, folder: str, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+        """Answers to all written queries of the shard's length, a block at a time."""
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for b in ds.dataset(base, filesystem=fs, format="parquet", exclude_invalid_files=True).to_batches(batch_size=BLOCK, filter=ds.field("dim") == self.dim):
+            if b.num_rows:
+                yield self.answer(b, k, beam)
+
+    def exact(self, query: np.ndarray, wanted: int) -> np.ndarray:
+        """The nearest of the whole shard, by blocks."""
+        far = np.concatenate([euclidean(self.v[i : i + PAIRS], query) for i in range(0, len(self.v), PAIRS)])
+        return np.argsort(far, kind="stable")[:wanted]
+
     def answer(self, queries: pa.RecordBatch, k: int, beam: int) -> pa.RecordBatch:
-        q = _matrix(queries.column(3), queries.num_rows)
-        ids, _ = self.graph.beam(q.astype(np.float32), max(beam, k + 1))
+        q = _matrix(queries.column("v"), queries.num_rows)
+        wanted = min(max(beam, k + 1), len(self.v))
+        with np.errstate(over="ignore", invalid="ignore"):
+            ids, far = self.graph.beam(q * self.graph.scale, wanted)
         out: list[tuple[int, int, float]] = []
-        for own, query, near in zip(queries.column(2).to_pylist(), q, ids, strict=True):
-            near = near[near >= 0]
-            exact = np.sqrt(((self.v[near] - query) ** 2).sum(1))
-            rows = sorted((s, key) for s, i in zip(exact.tolist(), near.tolist(), strict=True) for key in self.keys[i] if key != own)[:k]
+        for own, query, near, d in zip(queries.column("k").to_pylist(), q, ids, far, strict=True):
+            near = near[(near >= 0) & np.isfinite(d)]
+            if len(near) < min(k + 1, len(self.v)):
+                near = self.exact(query, wanted)
+            rows = sorted((s, key) for s, i in zip(euclidean(self.v[near], query).tolist(), near.tolist(), strict=True) for key in self.keys[i] if key != own)[:k]
             out += [(own, key, s) for s, key in rows]
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, written
-from .components import components
+from ..operators.components import components
 from .words import NOT_BLANK, cut
 
 #: Words of a shingle, bits in which linked fingerprints may differ, seed of the shingle hash.
