@@ -147,6 +147,15 @@ class Shard:
         return self.suffixes[np.repeat(low, size) + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)], of
 
 
+def _runs(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of consecutive entries whose sizes sum to at most `most`, or of one entry."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def _blocks(folder: str) -> Iterator[Benchmark]:
     """The written benchmark, BLOCK_ROWS at a time; the tasks read it from the shared folder."""
     fs, base = pafs.FileSystem.from_uri(folder)
@@ -170,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A word is hit if it lies in an
     occurrence of `window` consecutive words of a benchmark text, or of a whole text of fewer; items are the ids, as
     strings, of the texts that occur so. Null texts have no words, null ids count as the empty id. An empty benchmark
-    hits nothing. Other columns don't take part.
+    hits nothing. Other columns don't take part. Repeated words and windows cost memory in proportion to the texts.
     """
     folder, depth = _prepared(benchmark, item, item_text)
 
@@ -214,13 +223,24 @@ class _Measure:
         for bench in self.kept if one else _blocks(self.folder):
             _, _, _, low, high = shard.search(bench, self.window)
             use = np.flatnonzero(high > low)
-            place, of = shard.places(low[use], high[use])
-            of = use[of]
-            size = np.minimum(bench.size[of], self.window)
-            change += np.bincount(place, minlength=len(change)) - np.bincount(place + size, minlength=len(change))
-            both = np.unique(np.stack([shard.document[place], bench.item[of]]), axis=1)
-            for r, i in zip(both[0].tolist(), bench.ids[both[1]].tolist(), strict=True):
-                items.setdefault(r, set()).add(i)
+            # Equal windows stand in one range, whose places are taken once; ranges of one size don't share places.
+            size = np.minimum(bench.size[use], self.window)
+            ranges, of = np.unique(np.stack([low[use], high[use], size]), axis=1, return_inverse=True)
+            wanted = np.unique(np.stack([of.ravel(), bench.item[use]]), axis=1)
+            first = np.searchsorted(wanted[0], np.arange(ranges.shape[1] + 1))
+            for some in _runs(ranges[1] - ranges[0]):
+                place, at = shard.places(ranges[0, some], ranges[1, some])
+                at += some.start
+                change += np.bincount(place, minlength=len(change)) - np.bincount(place + ranges[2, at], minlength=len(change))
+                met = np.unique(np.stack([at, shard.document[place]]), axis=1)
+                many = first[met[0] + 1] - first[met[0]]
+                for part in _runs(many):
+                    n = many[part]
+                    document = np.repeat(met[1, part], n)
+                    item = wanted[1, np.repeat(first[met[0, part]], n) + np.arange(len(document)) - np.repeat(np.cumsum(n) - n, n)]
+                    both = np.unique(np.stack([document, item]), axis=1)
+                    for r, i in zip(both[0].tolist(), bench.ids[both[1]].tolist(), strict=True):
+                        items.setdefault(r, set()).add(i)
         hit = np.concatenate([[0], np.cumsum(np.cumsum(change)[:-1] > 0)])
         return shard.counts, hit[shard.starts + shard.counts] - hit[shard.starts], [sorted(items.get(r, ())) for r in range(len(texts))]
 
@@ -240,17 +260,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
             for bench in _blocks(folder):
                 length, low, high, _, _ = shard.search(bench, least)
                 use = np.flatnonzero(length >= np.minimum(bench.size, least))
-                place, of = shard.places(low[use], high[use])
-                of = use[of]
-                word = bench.size[of] - bench.left[of]
-                before = np.where(place > 0, shard.hashes[place - 1], 0)
-                inner = (word > 0) & (before == bench.hashes[of - 1]) & (before != 0)
-                place, of, word = place[~inner], of[~inner], word[~inner]
-                document = shard.document[place]
-                for i in range(0, len(place), 50_000):
-                    s = slice(i, i + 50_000)
-                    d = document[s]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(bench.ids[bench.item[of[s]]].tolist(), pa.string()), pa.array(word[s]), pa.array(place[s] - shard.starts[d]), pa.array(length[of[s]])], names=["key", "item", "item_word", "doc_word", "n_words"])
+                for some in _runs(high[use] - low[use]):
+                    place, of = shard.places(low[use[some]], high[use[some]])
+                    of = use[some][of]
+                    word = bench.size[of] - bench.left[of]
+                    before = np.where(place > 0, shard.hashes[place - 1], 0)
+                    inner = (word > 0) & (before == bench.hashes[of - 1]) & (before != 0)
+                    place, of, word = place[~inner], of[~inner], word[~inner]
+                    document = shard.document[place]
+                    for i in range(0, len(place), 50_000):
+                        s = slice(i, i + 50_000)
+                        d = document[s]
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(bench.ids[bench.item[of[s]]].tolist(), pa.string()), pa.array(word[s]), pa.array(place[s] - shard.starts[d]), pa.array(length[of[s]])], names=["key", "item", "item_word", "doc_word", "n_words"])
 
     return _run(docs, key, text, run, "item string, item_word long, doc_word long, n_words long")
 
