@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch, slices
+from .common import join_hot, scratch, slices, written
 
 #: Payload bytes from which equal payloads are stored once; bytes after which a task starts its next archive.
 REVISIT_BYTES, ARCHIVE_BYTES = 1000, 12 << 20
@@ -67,9 +67,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").cast("string").alias("u"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("t")).withColumn("d", F.sha1("t"))
     long = rows.where(F.octet_length("t") >= least).select("k", "d")
-    last = long.groupBy("d").agg(F.max("k").alias("r"), F.count("*").alias("n")).where("n > 1").select("d", "r")
-    # Keys and digests alone meet by digest; the payloads are joined by key, so equal payloads stay spread.
-    revisits = long.distinct().join(last, "d").where("r IS NOT NULL AND NOT (k <=> r)")
+    last = long.groupBy("d").agg(F.max("k").alias("r"), F.count("*").alias("n")).where("n > 1")
+    # Keys and digests alone meet by digest, those of many pages by a broadcast; the payloads are joined by key, so equal payloads stay spread.
+    revisits = join_hot(long.distinct(), written(last, "digests"), "d", "n").drop("n").where("r IS NOT NULL AND NOT (k <=> r)")
     marked = rows.alias("p").join(revisits.alias("v"), F.expr("p.k <=> v.k AND p.d = v.d"), "left").select("p.k", "p.u", "p.t", "v.r").sortWithinPartitions("k", "u", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,10 @@ def _hex(digest: str) -> str | None:
 
 
 def _int(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
+    """A whole number of 64 bits."""
+    if not text or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return int(text) if -(1 << 63) <= int(text) < 1 << 63 else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

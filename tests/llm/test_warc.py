@@ -28,7 +28,7 @@ def test_whole_table(spark):
 
 def test_odd_rows(spark, tmp_path):
     long = "é" * 600
-    rows = [(1, None), (2, ""), (3, long), (4, long), (4, long), (None, long), (5, "x" * 999), (6, "x" * 999), (7, "a\r\n\r\nWARC/1.1\r\n" * 100), (8, "y" * 3_000_000)]
+    rows = [(1, None), (2, ""), (3, long), (4, long), (4, long), (None, long), (5, "x" * 999), (6, "x" * 999), (7, "a\r\n\r\nWARC/1.1\r\n" * 100), (8, "y" * 3_000_000), (1234567890123456789, long), (-(1 << 63), "z" * 1000), ((1 << 63) - 1, "z" * 1000)]
     df = spark.createDataFrame([(k, f"http://h/{k}", h, "z") for k, h in rows], "page_id long, url string, html string, d string")
     folder = warc.archives(df, f"file://{tmp_path}/a")
     got = warc.read_archives(spark, folder).where("record_type IN ('response', 'revisit')").collect()
