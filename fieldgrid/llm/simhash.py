@@ -15,14 +15,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, written
+from .common import join_hot, slices, written
 from ..operators.components import components
 from .words import NOT_BLANK, cut
 
 #: Words of a shingle, bits in which linked fingerprints may differ, seed of the shingle hash.
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints wanted in a leaf, levels of the dealing tree, fingerprints of the sample that sets the tree, those in a leaf's smallest bucket.
-LEAF, LEVELS, SAMPLE, BUCKET = 2500, 12, 20_000, 64
+#: Fingerprints wanted in a leaf, and those in a leaf's smallest bucket.
+LEAF, BUCKET = 2500, 64
+#: The dealing tree grows with the table: the sample that sets it has SAMPLE fingerprints, and PER_LEAF for each leaf if that is more. The driver
+#: holds it, so there are at most 2 ** LEVELS leaves (8 MB of tree, 64 MB of sample); with more than 2 ** LEVELS * LEAF fingerprints leaves are split into blocks.
+SAMPLE, PER_LEAF, LEVELS = 20_000, 16, 19
 
 
 def bit_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -186,23 +189,36 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     distinct = written(fps.select("fp").where("fp IS NOT NULL").distinct(), "fingerprints")
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / LEAF)))))
+    wanted = max(SAMPLE, PER_LEAF << levels)
+    # A share of the fingerprints, by their hash.
+    share = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(np.ceil((1 << 30) * min(1.0, wanted / max(n, 1)))))
+    sample = np.sort(share.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
     tree = Tree(sample, levels)
+    # How many blocks a leaf's home is split into, by its part of the sample.
+    _, leaf, home = tree.deal(sample, -1)
+    expected = np.bincount(leaf[home], minlength=2**levels) * (n / max(len(sample), 1))
+    blocks = np.maximum(1, np.ceil(expected / (8 * LEAF))).astype(np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 5000):
                 own = b.column(0).slice(i, 5000).to_numpy().view(np.uint64)
                 index, leaf, home = tree.deal(own, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(own[index].view(np.int64)), pa.array(leaf), pa.array(home)], names=["fp", "leaf", "home"])
+                # Each block holds its part of the home, and all others of the leaf as visitors.
+                many = blocks[leaf]
+                row = np.repeat(np.arange(len(index)), many)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                fp = own[index[row]]
+                at_home = home[row] & (block == (fp % many[row].astype(np.uint64)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(leaf[row]), pa.array(block), pa.array(at_home)], names=["fp", "leaf", "block", "home"])
 
     def search(table: pa.Table) -> pa.Table:
         a, b = links(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(), radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.mapInArrow(deal, "fp long, leaf long, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
+    dealt = distinct.mapInArrow(deal, "fp long, leaf long, block long, home boolean")
+    return dealt.groupBy("leaf", "block").applyInArrow(search, "a long, b long")
 
 
 def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -211,12 +227,14 @@ def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFra
     Rows with a null key have their fingerprint's component, which is null if no row of it has a key.
     """
     fps = written(fps, "fingerprints")
-    least = fps.groupBy("fp").agg(F.min(key).alias("least"))
+    least = fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
     roots = components(near_links(fps, radius))
-    own = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = least.join(roots, least.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     own = written(own, "roots")
     of_root = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(own.join(of_root, "root").select("fp", "component_id"), "fp").select(*fps.columns, "component_id")
+    found = written(own.join(of_root, "root").select("fp", "rows", "component_id"), "components")
+    # Blank texts, or copies of one text, may be most rows.
+    return join_hot(fps, found, "fp", "rows").select(*fps.columns, "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -225,5 +243,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     Rows go by key and text, so another row of the same (or null) key stays if its own group has no smaller key.
     """
     found = groups(fingerprint(df, key, text, shingle, hashed=True), key, radius)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
-    return df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("gone")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("gone_hash")), "left_anti")
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone_key"), F.col("text_hash").alias("gone_hash")).distinct()
+    own = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    ck, ct = f"c{df.columns.index(key)}", f"c{df.columns.index(text)}"
+    kept = own.join(gone, F.col(ck).eqNullSafe(F.col("gone_key")) & F.xxhash64(F.col(ct).cast("string")).eqNullSafe(F.col("gone_hash")), "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
@@ -126,3 +127,20 @@ def test_keep_one_by_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(str, simhash.keep_one(df).collect()))
     assert got == sorted(map(str, (df.where("text <> ''").filter(f"NOT (text = '{copy}' AND NOT doc_id <=> 3)").collect() + df.where("doc_id = 8").collect())))
+
+
+@pytest.mark.parametrize("levels", [1, 12])
+def test_blocks_of_large_leaves(spark, monkeypatch, levels):
+    for name, n in (("LEAF", 40), ("LEVELS", levels), ("SAMPLE", 200)):
+        monkeypatch.setattr(simhash, name, n)
+    fps = clustered(3000, np.random.default_rng(4))
+    df = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64).tolist())], "doc_id long, fp long")
+    want = roots(list(range(len(fps))), fps.tolist())
+    assert {r.doc_id: r.component_id for r in simhash.groups(df).collect()} == want
+
+
+def test_keep_one_of_clashing_columns(spark):
+    copy = "the quick brown fox jumps over the lazy dog and runs away"
+    df = spark.createDataFrame([(3, copy, "x", 1, 2), (5, copy, "y", 1, 2), (6, "another text", "z", 3, None)], "doc_id long, text string, gone string, gone_hash int, fp int")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.where("doc_id <> 5").collect()))
