@@ -17,25 +17,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import slices
 
-#: Bounds of the sample that a model is fitted on: texts of a language, and characters taken of each.
-TEXTS, CHARACTERS = 200, 400
+#: Bounds of the sample that a model is fitted on: languages (those of most rows), texts of a language, and characters taken of each.
+LANGUAGES, TEXTS, CHARACTERS = 256, 200, 400
 #: Bytes of a block, zstandard's level, and the least relative margin (of the second best total) that isn't rejected.
 BLOCK, LEVEL, MARGIN = 1024, 9, 0.004
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", texts: int = TEXTS, characters: int = CHARACTERS) -> dict[str, bytes]:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", texts: int = TEXTS, characters: int = CHARACTERS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """The raw dictionary of each language: excerpts of `texts` rows with a label and a text, picked by a hash of their key.
 
-    Languages stand in the order of their labelled rows, most first. Rows with a null or empty text or a null label aren't learned
-    from; no rows give an empty model. Its size is at most languages x texts x characters, so it is held by the driver.
+    An excerpt begins anywhere in its text, by a hash of key and text. The `languages` labels of most rows are learned (ties: the first
+    name), and stand in that order. Rows with a null or empty text or a null label aren't learned from; no rows give an empty
+    model. Its size is at most languages x texts x characters, so it is held by the driver.
     """
     known = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (F.length(f"`{text}`") > 0))
-    rows = known.select(F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(f"`{key}`").alias("h"), F.substring(f"`{text}`", 1, 2 * characters).alias("t"))
+    offset = F.pmod(F.xxhash64(f"`{key}`", f"`{text}`"), F.greatest(F.length(f"`{text}`") - 2 * characters, F.lit(0)) + 1).cast("int")
+    rows = known.select(F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(f"`{key}`").alias("h"), F.substring(F.col(f"`{text}`"), offset + 1, F.lit(2 * characters)).alias("t"))
+    counts = {r.l: r.n for r in known.groupBy(F.col(f"`{label}`").cast("string").alias("l")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(languages).collect()}
     # row_number() <= n is cut to n rows a language in every task before the exchange.
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= texts)
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    first = rows.where(F.col("l").isin(*counts)).withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= texts)
     model: dict[str, list[tuple[int, str]]] = {}
-    for r in first.collect():
+    for r in first.collect() if counts else ():
         model.setdefault(r.l, []).append((r.n, plain(r.t)[:characters]))
     return {k: " ".join(t for _, t in sorted(model[k])).encode() for k in sorted(model, key=lambda k: (-counts[k], k))}
 
