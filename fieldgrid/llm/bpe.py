@@ -21,8 +21,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import list_array, slices
 
-#: Chunks that a worker remembers; it forgets all when full.
-MEMO_CHUNKS = 400_000
+#: Chunks that a worker remembers (it forgets all when full), and their most characters: longer ones are encoded each time, so a memo's bytes are bounded.
+MEMO_CHUNKS, MEMO_CHARACTERS = 400_000, 64
+
+
+#: Normalizer and pre-tokenizer of the tokenizer files that Bpe reads.
+KIND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def byte_characters() -> dict[int, str]:
@@ -36,12 +49,14 @@ def byte_characters() -> dict[int, str]:
 
 
 class Bpe:
-    """A tokenizer file of the kind: NFC, blanks to one space, lower case; pattern split; byte-level BPE with a word end."""
+    """A tokenizer file of the kind: NFC, blanks to one space, lower case; pattern split; byte-level BPE with a word end. Others raise an error."""
 
     def __init__(self, path: str, memo: int = MEMO_CHUNKS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if model["type"] != "BPE" or any(spec[part] != value for part, value in KIND.items()):
+            raise ValueError(f"{path} is another kind of tokenizer file")
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -96,9 +111,11 @@ class Bpe:
             part = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
             for word in self.pattern.findall(part):
                 if (known := self.words.get(word)) is None:
-                    if len(self.words) >= self.most:
-                        self.words.clear()
-                    known = self.words[word] = self.word(word)
+                    known = self.word(word)
+                    if len(word) <= MEMO_CHARACTERS:
+                        if len(self.words) >= self.most:
+                            self.words.clear()
+                        self.words[word] = known
                 ids += known
         return np.array(ids, "<i4").tobytes()
 
@@ -106,9 +123,11 @@ class Bpe:
         out, memo = [], self.memo
         for chunk in chunks(text):
             if (known := memo.get(chunk)) is None:
-                if len(memo) >= self.most:
-                    memo.clear()
-                known = memo[chunk] = self.chunk(chunk)
+                known = self.chunk(chunk)
+                if len(chunk) <= MEMO_CHARACTERS:
+                    if len(memo) >= self.most:
+                        memo.clear()
+                    memo[chunk] = known
             out.append(known)
         return b"".join(out)
 

@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import byte_characters
+from .bpe import KIND, MEMO_CHARACTERS, byte_characters
 from .common import list_array, scratch, slices
 
 MAGIC = b"FGTOKS8B"
@@ -140,9 +140,33 @@ def read_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, in
     return doc_ids, counts, ids, number, part
 
 
+def read_span(data: bytes, start: int, stop: int) -> np.ndarray:
+    """The ids from place start to stop (excluded) of a file: only the blocks that hold them are unpacked."""
+    if data[:8] != MAGIC:
+        raise ValueError("not a token file")
+    docs, n, blocks, size, _, _ = np.frombuffer(data, "<i8", 6, 8).tolist()
+    if not 0 <= start <= stop <= n:
+        raise ValueError("no such place")
+    if start == stop:
+        return np.zeros(0, np.uint64)
+    at = 8 + 48 + 16 * docs
+    first = np.append(np.frombuffer(data, "<i8", blocks, at), size)
+    lo, hi = start // BLOCK_IDS, -(-stop // BLOCK_IDS)
+    words = np.frombuffer(data, "<u8", int(first[hi] - first[lo]), at + 8 * blocks + 8 * int(first[lo]))
+    return unpack(words)[start - lo * BLOCK_IDS : stop - lo * BLOCK_IDS]
+
+
+def read_document(data: bytes, place: int) -> tuple[int, np.ndarray]:
+    """Key and ids of the document at a place of a file, counted from 0."""
+    docs = int.from_bytes(data[8:16], "little")
+    counts = np.frombuffer(data, "<i8", docs, 56 + 8 * docs)
+    start = int(counts[:place].sum())
+    return int(np.frombuffer(data, "<i8", docs, 56)[place]), read_span(data, start, start + int(counts[place]))
+
+
 #: Texts of these characters alone are in normal form, have no blank but ASCII's, and are lower-cased one by one.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ¡¿«»‘’“”–—…€]*")
-#: On such a lower-cased text, what the tokenizer's own pattern finds.
+#: On such a lower-cased text, what the pattern of bpe.KIND finds.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
@@ -154,21 +178,23 @@ class Words(dict):
         self.byte = byte_characters()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.former = dict(self)
-            self.clear()
         if (ids := self.former.get(word)) is None:
             spelt = word if word.isascii() else "".join([self.byte[b] for b in word.encode()])
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        self[word] = ids
+        if len(word) <= MEMO_CHARACTERS:
+            if len(self) >= self.most:
+                self.former = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library. A worker remembers the ids of words, so that each is encoded about once.
 
-    Words of a plain text are cut here and encoded by the library's model, without its normalizer and pattern, which would
-    leave them as they are. Every other text goes through the library whole.
+    Where the file's normalizer and pre-tokenizer are those of bpe.KIND, words of a plain text are cut here and encoded by the library's
+    model, without its normalizer and pattern, which would leave them as they are. Every other text, and every text of another
+    kind of file, goes through the library whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -179,7 +205,9 @@ class LibraryEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.specials = [x["content"] for x in json.load(f)["added_tokens"]]
+            spec = json.load(f)
+        self.specials = [x["content"] for x in spec["added_tokens"]]
+        self.known = all(spec[part] == value for part, value in KIND.items()) and spec["model"]["type"] == "BPE"
         self.words = Words(self.whole.model, most)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -187,7 +215,7 @@ class LibraryEncoder:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif _PLAIN.fullmatch(t) and not any(map(t.__contains__, self.specials)):
+            elif self.known and _PLAIN.fullmatch(t) and not any(map(t.__contains__, self.specials)):
                 out.append(b"".join(map(of, _PIECES.findall(t.lower()))))
             else:
                 out.append(array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes())
@@ -207,11 +235,12 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
     """Encode the texts, append end_id, and write the files in ascending key order; the result lists the written files.
 
     Null text is the empty text; rows with a null key are not written (a file's keys are integers); repeated keys stand
-    side by side, in the order of their texts. An empty table writes no file.
+    side by side, in the order of a hash of their texts, and may go to several files. An empty table writes no file.
     """
     picked = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     number = files or max(1, picked.rdd.getNumPartitions())
-    ordered = picked.repartitionByRange(number, "k").sortWithinPartitions("k", "t")
+    hashed = picked.withColumn("h", F.xxhash64("t"))
+    ordered = hashed.repartitionByRange(number, "k", "h").sortWithinPartitions("k", "h", "t").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)

@@ -12,7 +12,7 @@ from fieldgrid.llm import bpe, token_files
 from fieldgrid.llm.queries import op1_bpe, op5_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 ODD = [None, "", " \n\t", "Hello, World! it's 1234", "a\x1cb \x1d c", "x<|endoftext|>y <|startoftext|>", "ÉÀ é İΣΑΣ ﬁ", "日本語 テスト 🙂🙂", "a" * 5000, " wide space　", "don't WE'LL 'S"]
 
 
@@ -105,3 +105,48 @@ def test_token_files_odd_rows(spark, library, tmp_path):
 
 def test_sha_of_empty_ids(spark):
     assert spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), " "), 256).alias("s")).first().s == hashlib.sha256(b"").hexdigest()
+
+
+def test_parts_of_files_by_offset(library):
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 900, 40)
+    ids = np.where(rng.random(counts.sum()) < 0.01, 2**40, rng.integers(0, 50_000, counts.sum())).astype(np.uint64)
+    data = token_files.file_bytes(np.arange(40) * 7, counts, ids, 0, 0)
+    for start, stop in [(0, 0), (0, len(ids)), (511, 513), (512, 1024), (5000, 5001), (len(ids) - 1, len(ids))]:
+        assert token_files.read_span(data, start, stop).tolist() == ids[start:stop].tolist()
+    ends = counts.cumsum()
+    for place in (0, 17, 39):
+        key, own = token_files.read_document(data, place)
+        assert key == place * 7 and own.tolist() == ids[ends[place] - counts[place] : ends[place]].tolist()
+    with pytest.raises(ValueError):
+        token_files.read_span(data, 0, len(ids) + 1)
+
+
+def test_other_kinds_of_tokenizer_files(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()  # no lower case
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    for path in (str(tmp_path / "t.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        lib = Tokenizer.from_file(path)
+        for t in ("Hello World", "it's 12 Ärger"):
+            assert np.frombuffer(token_files.LibraryEncoder(path).encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        with pytest.raises(ValueError):
+            bpe.Bpe(path)
+
+
+def test_memos_leave_long_words_out(library):
+    own, other = bpe.Bpe(PATH), token_files.LibraryEncoder(PATH)
+    texts = ["ab" * 5000, "short words", "x-" * 4000]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<i4").tolist() == np.frombuffer(other.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert max(map(len, [*own.memo, *own.words, *other.words])) <= bpe.MEMO_CHARACTERS
+
+
+def test_repeated_keys_spread(spark, library, tmp_path):
+    df = spark.createDataFrame([(7, f"text number {i}") for i in range(300)] + [(1, "first"), (9, "last")], "doc_id long, text string")
+    folder = token_files.token_files(df, PATH, f"file://{tmp_path}/c", files=4)
+    rows = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [1, *[7] * 300, 9]
+    assert len(list((tmp_path / "c").glob("*.s8b"))) == 4
