@@ -7,9 +7,10 @@ Near lines are found in three steps, each an equi join or a grouping, and texts
 
 1. Halves. One edit leaves one of threshold + 1 = 2 segments as it is. Hashes of (length, prefix half) and (length,
    suffix half) are an index; each line also probes it as the longer line of a pair. Lines that meet no other stop here.
-2. Pieces. For each of PIECES pieces of a line, a hash of all the rest is the key and the piece itself the value. Lines
-   with a common key differ in that piece alone, so their edit distance is that of the pieces, and a banded
-   bit-parallel automaton verifies it.
+2. Pieces. For each of PIECES pieces of a line (of PIECE characters each, in longer lines), a hash of all the rest is the key and the
+   piece itself the value. Lines with a common key differ in that piece alone, so their edit distance is that of the
+   pieces, and a banded bit-parallel automaton verifies it. Hashes of the rest are put together from chains of hashes, so a
+   long line costs time and rows in proportion to its length.
 3. Keys that many lines share aren't paired: each line gives its piece with every single character taken out. Lines
    of one length that agree there are one edit apart, so the first of them decides for all. This is a grouping, not a join.
 """
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
 
-#: Characters from which near lines count, pieces of a line, and lines of a key from which pairs give way to groups.
-MIN_CHARS, PIECES, CROWD = 20, 24, 12
+#: Characters from which near lines count, pieces of a line and their most characters, and lines of a key from which pairs give way to groups.
+MIN_CHARS, PIECES, PIECE, CROWD = 20, 24, 64, 12
 #: Candidates up to which their keys are broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -134,7 +135,7 @@ def _pieces(lines: DataFrame) -> DataFrame:
     """(key, role, h, g, f, piece): for each piece of a line, the hash of all the rest, as a line of its own length (role 0) and as the longer one of a pair (role 1)."""
     n = F.char_length("line")
 
-    def rows(role: int) -> Column:
+    def short(role: int) -> Column:
         size = n - role
 
         def one(i: Column) -> Column:
@@ -144,6 +145,26 @@ def _pieces(lines: DataFrame) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), one)
 
+    def chain(parts: Column) -> Column:
+        """Hashes of the first 0, 1, 2, ... parts."""
+        return F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), x))))
+
+    def long(role: int) -> Column:
+        size = n - role
+        count = F.ceil(size / PIECE).cast("int")
+        cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        whole, later = cut(F.col("line")), cut(F.substring(F.col("line"), F.lit(1 + role), n))  # what follows a longer piece is one character on
+
+        def one(parts: Column, before: Column, after: Column, i: Column) -> Column:
+            piece = F.get(parts, i) if not role else F.concat(F.get(parts, i), F.coalesce(F.left(F.get(parts, i + 1), F.lit(1)), F.lit("")))
+            return F.struct(F.xxhash64(size, i, F.get(before, i), F.get(after, count - 1 - i)).alias("key"), F.lit(role).alias("role"), piece.alias("piece"))
+
+        every = lambda parts, before, after: F.transform(F.sequence(F.lit(0), count - 1), lambda i: one(parts, before, after, i))
+        return _let(whole, lambda parts: _let(chain(parts), lambda before: _let(chain(F.reverse(later)), lambda after: every(parts, before, after))))
+
+    def rows(role: int) -> Column:
+        return F.when(n - role > PIECES * PIECE, long(role)).otherwise(short(role))
+
     both = F.when(n > MIN_CHARS, F.concat(rows(0), rows(1))).otherwise(rows(0))
     return lines.select("h", "g", "f", F.explode(both).alias("x")).select("x.key", "x.role", "h", "g", "f", "x.piece")
 

@@ -90,3 +90,38 @@ def test_frequent_lines_are_decided_alike(spark):
     docs = [(i, "this line is shared by very many documents\n" + f"own line number {i} of this text, {'abcdefghij'[i % 10] * 20}") for i in range(2500)]
     got = sorted((r.k, r.p, r.near) for r in lines.duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert got[:3] == [(1, 0, False), (2, 0, False), (3, 0, False)] and sum(p == 0 for _, p, _ in got) == 2499 and not any(n for _, p, n in got if p == 0)
+
+
+def test_long_lines(spark):
+    """Lines about and over PIECES x PIECE characters, against a plain comparison."""
+    rng = random.Random(9)
+    docs, k = [], 0
+    for size in (1534, 1535, 1536, 1537, 1538, 1600, 1601, 2048, 2049, 5000):
+        base = "".join(rng.choice("abcdefgh é🙂") for _ in range(size))
+        for x in [base, *(edit(rng, base) for _ in range(6)), edit(rng, edit(rng, base)), base + "z", "z" + base, base[:-1], base[1:]]:
+            docs.append((k, x))
+            k += 1
+    at = rng.randrange(3000)
+    crowd = "".join(rng.choice("abcdefgh") for _ in range(4000))
+    docs += [(k + i, crowd[:at] + c + crowd[at + 1 :]) for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVW")]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+    first = {}
+    for key, t in sorted(docs):
+        first.setdefault(t, key)
+    want = sorted((key, 0, first[t] == key) for key, t in docs if first[t] != key or any(f < key and near(o, t) for o, f in first.items() if o != t))
+    assert sorted((r.k, r.p, r.near) for r in lines.duplicates(df).collect()) == want and len(want) > 60
+
+
+def test_very_long_lines_that_differ_in_one_piece(spark):
+    base = "".join(random.Random(2).choices("abcdefgh ", k=300_000))
+    rows = [(i, base[:1000] + f"{i:06d}" + base[1006:]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.k for r in lines.duplicates(df).collect()) == [i for i in range(20) if i % 10 or i == 10]
