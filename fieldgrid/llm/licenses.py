@@ -1,7 +1,8 @@
 """Licence scans in DataFrame functions alone.
 
-Every line of a file, and the whole of a short file, is a sparse TF-IDF vector; its licence is the template with the largest
-cosine. Files without a licence of their own take that of the licence file in their nearest ancestor directory, found
+Every line of a file, and every window of 2 to LINES consecutive lines with at most WORDS words, is a sparse TF-IDF vector; the file's
+licence is the template with the largest cosine to one of them. So headers, whose sentences may be wrapped, and licence files, by
+their titles and grants, are found in files of any size. Files without a licence of their own take that of the licence file in their nearest ancestor directory, found
 by joins of paths. The templates are fixed and few, so they are broadcast; nothing else is.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import written
 
-#: Least cosine of a licence, most words of a file that is compared as a whole.
-COSINE, WHOLE_WORDS = 0.6, 400
+#: Least cosine of a licence, most lines and words of a window of several lines.
+COSINE, LINES, WORDS = 0.6, 8, 120
 #: Names of licence files (lower case, before a dot), stop words, which have no weight, notices in use.
 FILE_NAMES = ("license", "licence", "copying", "unlicense")
 COMMON = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "de", "for", "from", "in", "is", "it", "of", "on", "or", "our", "that", "the", "this", "to", "was", "with", "you")
@@ -47,6 +48,22 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("Proprietary", "All rights reserved. No part may be reproduced without permission"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of"),
+    ("MIT", "The MIT License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
 )
 
 
@@ -108,23 +125,54 @@ def may_reach(words: Column, shares: dict[str, list[float]], least: float = COSI
         d = F.size(F.array_distinct(words)) - F.size(shared)
         return sums * n * n / (n * n + d) >= least * least - 1e-9
 
-    # Each is bound once, for a lambda would compute it again for every element.
-    let = lambda value, then: F.transform(F.array(value), then)[0]
-    return let(words, lambda ws: let(F.array_intersect(ws, F.array(*map(F.lit, shares))), lambda shared: judged(ws, shared)))
+    return _let(words, lambda ws: _let(F.array_intersect(ws, F.array(*map(F.lit, shares))), lambda shared: judged(ws, shared)))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once: a lambda would compute it again for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
+def units(text: Column, touching: Column, telling: Column) -> Column:
+    """The lines and windows of a text that may have a licence: an array of (p: first line, size: lines, words).
+
+    A unit needs one of the telling words. A window whose first or last line has no word of a template is left out, for the window without
+    that line has a larger cosine.
+    """
+
+    def line(words: Column) -> Column:
+        touch = F.arrays_overlap(words, touching)
+        return F.struct(words.alias("w"), touch.alias("touch"), F.when(touch, F.arrays_overlap(words, telling)).otherwise(False).alias("tell"), F.size(words).alias("n"))
+
+    def windows(lines: Column) -> Column:
+        def wanted(p: Column, size: Column) -> Column:
+            some = F.slice(lines, p, size)
+            short = (size == 1) | (F.aggregate(some, F.lit(0), lambda s, x: s + x.n) <= WORDS)
+            return (p + size - 1 <= F.size(lines)) & F.coalesce(F.get(lines, p + size - 2).touch, F.lit(False)) & F.exists(some, lambda x: x.tell) & short
+
+        def unit(p: Column, size: Column) -> Column:
+            return F.struct(p.alias("p"), size.alias("size"), F.flatten(F.transform(F.slice(lines, p, size), lambda x: x.w)).alias("words"))
+
+        def from_line(x: Column, i: Column) -> Column:
+            sizes = F.filter(F.sequence(F.lit(1), F.lit(LINES)), lambda size: wanted(i + 1, size))
+            return F.when(x.touch, F.transform(sizes, lambda size: unit(i + 1, size)))
+
+        found = F.filter(F.transform(lines, from_line), lambda x: x.isNotNull())
+        return F.when(F.exists(lines, lambda x: x.tell), F.flatten(found))
+
+    return _let(F.transform(F.split(text, "\n"), lambda x: _let(tokens(x), line)), windows)
 
 
 def own_licenses(files: DataFrame, key: str, text: str, least: float = COSINE, templates=TEMPLATES) -> DataFrame:
     """Rows (k, r, license, score) of files with a licence: key, hash of the text, the best template's licence (ties: the first name) and its cosine."""
     parts = squared_shares(templates)
-    known = F.array(*map(F.lit, telling_words(parts, least)))
+    touching, telling = F.array(*map(F.lit, parts)), F.array(*map(F.lit, telling_words(parts, least)))
     own = files.select(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("r"), F.col(f"`{text}`").cast("string").alias("t"))
-    lines = own.select("k", "r", F.posexplode(F.split("t", "\n")).alias("p", "line")).select("k", "r", "p", tokens(F.col("line")).alias("words"))
-    # A file of at most WHOLE_WORDS words has fewer than so many times 40 characters, or words that no template has.
-    whole = own.where((F.length("t") <= 40 * WHOLE_WORDS) & F.col("t").contains("\n")).select("k", "r", F.lit(-1).alias("p"), tokens(F.col("t")).alias("words")).where(F.size("words") <= WHOLE_WORDS)
-    some = lines.union(whole).where(F.arrays_overlap("words", known)).withColumn("words", content(F.col("words")))
-    units = written(some.where(may_reach(F.col("words"), parts, least)).distinct(), "licences")
+    found = own.select("k", "r", F.explode(units(F.col("t"), touching, telling)).alias("u"))
+    some = found.select("k", "r", (F.col("u.p").cast("long") * (LINES + 1) + F.col("u.size")).alias("p"), content(F.col("u.words")).alias("words"))
+    units_ = written(some.where(may_reach(F.col("words"), parts, least)).distinct(), "licences")
     idf, shares = template_table(files.sparkSession, templates)
-    counts = units.select("k", "r", "p", F.explode("words").alias("token")).groupBy("k", "r", "p", "token").agg(F.count("*").alias("tf"))
+    counts = units_.select("k", "r", "p", F.explode("words").alias("token")).groupBy("k", "r", "p", "token").agg(F.count("*").alias("tf"))
     weighed = counts.join(F.broadcast(idf), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + len(templates))) + 1))
     dots = weighed.join(F.broadcast(shares), "token", "left")
     sums = dots.groupBy("k", "r", "p", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))

@@ -121,9 +121,9 @@ idf AS (SELECT token, ln({n + 1}.0::DOUBLE / (1 + count(*))) + 1 AS idf FROM tt
 tw AS (SELECT template, license, token, tf * idf AS w FROM tt JOIN idf USING (token)),
 shares AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS share FROM tw),
 files AS (SELECT doc_id, text, {PATH_SQL.replace("cast(floor(", "cast((").replace("doc_id / ", "doc_id // ").replace("% 500 / 50", "% 500 // 50")} AS path FROM documents),
-units AS (
-  SELECT doc_id, p, {words("line")} AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM files)
-  UNION ALL SELECT * FROM (SELECT doc_id, -1, {words("text")} AS words FROM files WHERE length(text) <= {40 * licenses.WHOLE_WORDS} AND contains(text, chr(10))) WHERE len(words) <= {licenses.WHOLE_WORDS}),
+split AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda line: {words("line")}) AS ls FROM files),
+starts AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM split),
+units AS (SELECT doc_id, p * {licenses.LINES + 1} + n AS p, flatten(ls[p : p + n - 1]) AS words FROM (SELECT doc_id, ls, p, unnest(range(1, 1 + least({licenses.LINES}, len(ls) - p + 1))) AS n FROM starts) WHERE n = 1 OR len(flatten(ls[p : p + n - 1])) <= {licenses.WORDS}),
 picked AS (SELECT * FROM units WHERE list_has_any(words, (SELECT list(token) FROM idf))),
 counts AS (SELECT doc_id, p, token, count(*) AS tf FROM (SELECT doc_id, p, unnest(words) AS token FROM picked) WHERE token NOT IN ({common}) GROUP BY ALL),
 weighed AS (SELECT doc_id, p, token, tf * coalesce(idf, ln({n + 1}.0::DOUBLE) + 1) AS w FROM counts LEFT JOIN idf USING (token)),

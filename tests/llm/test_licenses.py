@@ -46,3 +46,16 @@ def test_the_bounds_lose_nothing(spark):
     finally:
         licenses.squared_shares = parts
     assert got == want and 20 < len(got) < len(texts)
+
+
+def test_wrapped_headers_in_files_of_any_size(spark):
+    mit = ["# Permission is hereby granted, free of charge, to any person", "# obtaining a copy of this software and associated documentation files", "# (the Software), to deal in the Software without restriction"]
+    short = ["// Licensed under the", "// Apache License,", "// Version 2.0"]
+    code = [f"value_{i} = compute(alpha_{i}, beta, gamma)" for i in range(2000)]
+    rows = []
+    for i, n in enumerate((0, 5, 60, 2000)):
+        rows += [(10 * i + j, "x.py", "\n".join([*code[: n // 2], *head, *code[n // 2 : n]])) for j, head in enumerate((mit, short))]
+    rows += [(100, "y", "\n".join(["                    GNU GENERAL PUBLIC LICENSE", "                       Version 3, 29 June 2007", "", *code[:50]])), (101, "z", "\n".join(code))]
+    got = {r.k: (r.license, r.score) for r in licenses.own_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "text").collect()}
+    assert {k: v[0] for k, v in got.items()} == {**{10 * i: "MIT" for i in range(4)}, **{10 * i + 1: "Apache-2.0" for i in range(4)}, 100: "GPL-3.0"}
+    assert len({got[10 * i][1] for i in range(4)}) == len({got[10 * i + 1][1] for i in range(4)}) == 1
