@@ -135,8 +135,8 @@ def _pieces(lines: DataFrame) -> DataFrame:
     """(key, role, h, g, f, piece): for each piece of a line, the hash of all the rest, as a line of its own length (role 0) and as the longer one of a pair (role 1)."""
     n = F.char_length("line")
 
-    def short(role: int) -> Column:
-        size = n - role
+    def short(size: Column, role: int) -> Column:
+        n = size + role
 
         def one(i: Column) -> Column:
             start, rest = F.floor(i * size / PIECES).cast("int"), (size - F.floor((i + 1) * size / PIECES)).cast("int")
@@ -149,8 +149,8 @@ def _pieces(lines: DataFrame) -> DataFrame:
         """Hashes of the first 0, 1, 2, ... parts."""
         return F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), x))))
 
-    def long(role: int) -> Column:
-        size = n - role
+    def long(size: Column, role: int) -> Column:
+        n = size + role
         count = F.ceil(size / PIECE).cast("int")
         cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
         whole, later = cut(F.col("line")), cut(F.substring(F.col("line"), F.lit(1 + role), n))  # what follows a longer piece is one character on
@@ -162,8 +162,8 @@ def _pieces(lines: DataFrame) -> DataFrame:
         every = lambda parts, before, after: F.transform(F.sequence(F.lit(0), count - 1), lambda i: one(parts, before, after, i))
         return _let(whole, lambda parts: _let(chain(parts), lambda before: _let(chain(F.reverse(later)), lambda after: every(parts, before, after))))
 
-    def rows(role: int) -> Column:
-        return F.when(n - role > PIECES * PIECE, long(role)).otherwise(short(role))
+    def rows(role: int) -> Column:  # characters are counted once
+        return _let(n - role, lambda size: F.when(size > PIECES * PIECE, long(size, role)).otherwise(short(size, role)))
 
     both = F.when(n > MIN_CHARS, F.concat(rows(0), rows(1))).otherwise(rows(0))
     return lines.select("h", "g", "f", F.explode(both).alias("x")).select("x.key", "x.role", "h", "g", "f", "x.piece")
