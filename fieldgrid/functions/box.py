@@ -82,6 +82,14 @@ def tile_plan(width: Column, height: Column, tile: int = 1536, overlap: int = 51
     return F.flatten(F.transform(ys, one))
 
 
+def fixed_tiles(width: Column, height: Column, tile: int = 2048, overlap: int = 256) -> Column:
+    """Array of structs (x, y, width, height): a tile at every step, the last ones of a row or column as small as what is left."""
+    step = max(1, tile - overlap)
+    starts = lambda side: F.when(side > 0, F.sequence(F.lit(0), side.cast("int") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    side = lambda whole, start: F.least(F.lit(tile), whole.cast("int") - start)
+    return F.flatten(F.transform(starts(height), lambda y: F.transform(starts(width), lambda x: F.struct(x.alias("x"), y.alias("y"), side(width, x).alias("width"), side(height, y).alias("height")))))
+
+
 def should_tile(width: Column, height: Column, enabled: Column, least: int = 2048, tile: int = 1536) -> Column:
     return F.coalesce(enabled & (width > 0) & (height > 0) & (F.greatest(width, height) >= max(least, tile + 1)), F.lit(False))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 #: Earth radii of the general and the counting distance, metres of a degree in planning and in projection.
@@ -86,11 +84,7 @@ def slope_degrees(lat1: Column, lon1: Column, h1: Column, lat2: Column, lon2: Co
 
 
 def estimated_elevation(lat: Column, lon: Column) -> Column:
-    """Where no elevation table has the place."""
-    return F.lit(100.0)
-
-
-def degrees_of(metres: float, latitude: float) -> tuple[float, float]:
-    """Sizes of a bucket in degrees of latitude and longitude that no pair so many metres apart skips, up to a latitude, with a margin of a hundredth."""
-    dlat = metres * 1.01 / (math.pi * RADIUS / 180)
-    return dlat, dlat / max(0.01, math.cos(math.radians(min(89.0, abs(latitude) + dlat))))
+    """Where no elevation table has the place: by fixed regions, first the coast's cities, then the range and what lies inland of it."""
+    within = lambda south, north, west, east: lat.between(south, north) & lon.between(west, east)
+    cities = F.when(within(-28, -26, 152, 154), 50.0).when(within(-35, -32, 150, 152), 100.0).when(within(-39, -36, 144, 146), 150.0)
+    return cities.when(lon.between(147, 153), 300.0).when(lon < 147, 200.0).otherwise(100.0)

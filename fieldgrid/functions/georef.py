@@ -83,6 +83,24 @@ def laser_height(distance: Column, pitch: Column, roll: Column, yaw: Column) ->
     return F.when(positive(distance) & descends(centre), distance * -centre.up)
 
 
+def geoid_height(lat: Column, lon: Column) -> Column:
+    """Metres of the geoid over the ellipsoid, by fixed boxes of places."""
+    within = lambda south, north, west, east: lat.between(south, north) & lon.between(west, east)
+    return F.when(within(-30, -25, 150, 155), 30.0).when(within(-35, -30, 150, 155), 32.0).when(within(-40, -35, 145, 150), 28.0).otherwise(30.0)
+
+
+def box_polygon(df: DataFrame, x: Column, y: Column, width: Column, height: Column, lat: Column, lon: Column, camera: Column, pitch: Column, roll: Column, yaw: Column, ground: Column, out: str = "polygon") -> DataFrame:
+    """df with the closed ring of structs (lat, lon) of a box of pixels on the ground, or null where a corner has no place."""
+    corners = ((x, y), (x + width, y), (x + width, y + height), (x, y + height))
+    for i, (cx, cy) in enumerate(corners):
+        df = project_pixels(df, cx, cy, lat, lon, camera, pitch, roll, yaw, ground, out=f"_corner_{i}")
+    at = [F.struct(F.col(f"_corner_{i}.lat").alias("lat"), F.col(f"_corner_{i}.lon").alias("lon")) for i in (0, 1, 2, 3, 0)]
+    whole = F.lit(True)
+    for i in range(4):
+        whole = whole & F.col(f"_corner_{i}").isNotNull()
+    return df.withColumn(out, F.when(whole, F.array(*at))).drop(*[f"_corner_{i}" for i in range(4)])
+
+
 def cascade_height(laser: Column, given: Column, relative: Column, absolute: Column, geoid: Column, ground: Column, default: float = 100.0) -> Column:
     """Struct (height, method): the first that is positive of laser, given height, relative altitude, absolute altitude over geoid and ground, default."""
     steps = [("lrf", laser), ("provided_height", given), ("relative_altitude", relative), ("absolute_altitude", absolute - geoid - ground)]

@@ -54,8 +54,8 @@ def class_ids(labels: DataFrame) -> DataFrame:
 
 
 def manifest(labels: DataFrame) -> DataFrame:
-    """Rows (asset_id, n_labels, checksum): SHA-256 of an image's labels as JSON in order of their ids."""
-    row = F.to_json(F.struct("id", "class", "x", "y", "w", "h"))
+    """Rows (asset_id, n_labels, checksum): SHA-256 of an image's labels as JSON, with six places, in order of their ids."""
+    row = F.to_json(F.struct("id", "class", *[F.col(c).cast("decimal(10,6)").alias(c) for c in ("x", "y", "w", "h")]))
     return labels.groupBy("asset_id").agg(F.count("*").alias("n_labels"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", row.alias("j")))), lambda x: x.j), "\n"), 256).alias("checksum"))
 
 

@@ -51,6 +51,12 @@ def review_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("source").agg(n("pending"), n("accepted"), n("rejected"), F.count("*").alias("total"))
 
 
+def session_summaries(scope: DataFrame, found: DataFrame) -> DataFrame:
+    """review_summary of each session (scope: session_id, asset_id) in one query over all of them."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return scope.distinct().join(found, "asset_id").groupBy("session_id", "source").agg(n("pending"), n("accepted"), n("rejected"), F.count("*").alias("total"))
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50, most: int = 200) -> DataFrame:
     """A page, counted from 1, of at most `most` rows."""
     size = max(1, min(size, most))

@@ -1,7 +1,7 @@
 """One object seen several times: duplicates across images, counting by leaders, per-image bias, and overlapping boxes.
 
-Greedy rules look at neighbours only, so they run exactly within the components of a near graph: Spark finds the components and
-groups them, and a small kernel walks each group in its order.
+Greedy rules look at neighbours only, so they run exactly within the components of a near graph: Spark finds near pairs and components,
+and a small kernel walks each group in its order.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import box
-from ..functions.geo import METRES_PROJECTION, RADIUS, RADIUS_COUNTING
+from ..functions.geo import METRES_PROJECTION, RADIUS_COUNTING
 from ..storage import written
-from .spatial import clusters
+from .components import components
+from .spatial import clusters, near_edges
 
 
 def _metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray, radius: float) -> np.ndarray:
@@ -27,46 +28,63 @@ def _located(df: DataFrame) -> DataFrame:
     return df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
 
 
-def _by_component(df: DataFrame, metres: float, keys: tuple[str, ...], kernel: Callable, **options) -> DataFrame:
-    """Rows (id, leader): kernel(frame) gives each row's leader. Rows without a place or alone in their component lead themselves and meet no kernel."""
-    near = clusters(_located(df), metres, keys, **options)
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-    grouped = _located(df).join(near.join(sizes, "cluster"), "id")
-    kind = df.schema["id"].dataType.simpleString()
-    led = grouped.groupBy("cluster").applyInPandas(lambda f: pd.DataFrame({"id": f["id"], "leader": kernel(f)})[["id", "leader"]], f"id {kind}, leader {kind}")
-    return df.select("id").join(led, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))
-
-
 def duplicate_groups(detections: DataFrame, metres: float = 1.8, by_class: bool = True, across_images: bool = True) -> DataFrame:
     """Rows (id, leader) of detections (id, asset_id, class_name, confidence, lat, lon, created_at): groups whose members are all within so many metres of each other.
 
     Seeds go by confidence, then time, then id; a member joins the first seed that it may, of its class and of no image that the
-    group has. Metres are held to 0.2 to 6.
+    group has. Metres are held to 0.2 to 6. Rows without a place or without a near row lead themselves. A component of near
+    rows is one group of a task, which gets the near pairs that Spark found, so it compares no places.
     """
     metres = min(6.0, max(0.2, metres))
-
-    def kernel(f: pd.DataFrame) -> np.ndarray:
-        order = f.assign(c=-f["confidence"].fillna(0.0)).sort_values(["c", "created_at", "id"], kind="stable").index.to_numpy()
-        lat, lon, ids, images = (f[c].to_dict() for c in ("lat", "lon", "id", "asset_id"))
-        lats, lons = f["lat"].to_numpy(), f["lon"].to_numpy()
-        place = {label: i for i, label in enumerate(f.index)}
-        leader: dict = {}
-        for seed in order:
-            if seed in leader:
+    keys = ("class_name",) if by_class else ()
+    rest = [c for c in detections.columns if c != "id"]
+    one = detections.groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select("id", "r.*")  # rows of one id are one detection
+    placed = written(_located(one), "placed")
+    edges = written(near_edges(placed, metres, keys).select("a", "b"), "near")
+    members = components(edges).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    order = Window.partitionBy("cluster").orderBy(F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.0)).desc(), "created_at", "id")
+    image = F.dense_rank().over(Window.partitionBy("cluster").orderBy("asset_id"))
+    rows = written(placed.join(members, "id").select("cluster", "id", (F.row_number().over(order) - 1).alias("place"), (image - 1).alias("image")), "members")
+    of = lambda side: rows.select(F.col("id").alias(side), F.col("place").alias(f"place_{side}"), *(["cluster"] if side == "a" else []))
+    pairs = edges.join(of("a"), "a").join(of("b"), "b").select("cluster", "place_a", "place_b")
+
+    def kernel(members: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        n = len(members)
+        image = np.empty(n, np.int64)
+        image[members["place"]] = members["image"]
+        one, two = near["place_a"].to_numpy(), near["place_b"].to_numpy()
+        both = np.stack([np.concatenate([one, two]), np.concatenate([two, one])])
+        both = both[:, np.lexsort((both[1], both[0]))]
+        start = np.searchsorted(both[0], np.arange(n + 1))
+        beside = both[1]
+        leader = np.full(n, -1)
+        may = np.zeros(n, np.int64)  # which members of the present group a row is near to, as a count
+        for seed in range(n):
+            if leader[seed] >= 0:
                 continue
-            leader[seed] = ids[seed]
-            members, seen = [seed], {images[seed]}
-            from_seed = _metres(lat[seed], lon[seed], lats, lons, RADIUS)
-            for other in order:
-                if other in leader or from_seed[place[other]] > metres or (across_images and images[other] in seen):
-                    continue
-                if all(_metres(lat[m], lon[m], np.array([lat[other]]), np.array([lon[other]]), RADIUS)[0] <= metres for m in members[1:]):
-                    leader[other] = ids[seed]
-                    members.append(other)
-                    seen.add(images[other])
-        return np.array([leader[i] for i in f.index])
-
-    return _by_component(detections, metres, ("class_name",) if by_class else (), kernel)
+            leader[seed] = seed
+            reach = beside[start[seed] : start[seed + 1]]
+            reach = reach[leader[reach] < 0]
+            if across_images:
+                reach = reach[image[reach] != image[seed]]
+            may[reach] = 0
+            size = 0
+            while len(reach):
+                first = reach[0]
+                leader[first] = seed
+                size += 1
+                may[beside[start[first] : start[first + 1]]] += 1
+                reach = reach[1:]
+                reach = reach[may[reach] == size]  # near to every member so far
+                if across_images:
+                    reach = reach[image[reach] != image[first]]
+        return pd.DataFrame({"cluster": members["cluster"].iloc[0], "place": np.arange(n), "leader": leader}) if n else pd.DataFrame({"cluster": [], "place": [], "leader": []})
+
+    kind = rows.schema["cluster"].dataType.simpleString()
+    led = rows.groupBy("cluster").cogroup(pairs.groupBy("cluster")).applyInPandas(kernel, f"cluster {kind}, place int, leader int")
+    own = rows.select("cluster", "place", "id").join(led, ["cluster", "place"]).select("cluster", "id", F.col("leader").alias("place"))
+    named = own.join(rows.select("cluster", "place", F.col("id").alias("leader")), ["cluster", "place"]).select("id", "leader")
+    return one.select("id").join(named, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))
 
 
 def representatives(detections: DataFrame, groups: DataFrame) -> DataFrame:
@@ -91,20 +109,30 @@ def leader_counts(detections: DataFrame, metres: float) -> DataFrame:
     if not metres or metres <= 0:
         return _located(detections).select("id", F.col("id").alias("leader"))
 
-    def kernel(f: pd.DataFrame) -> np.ndarray:
-        means, out = [], {}
-        for row in f.sort_values(["created_at", "id"], ascending=[False, True], kind="stable").itertuples():
-            for m in means:
-                if _metres(row.lat, row.lon, np.array([m[0]]), np.array([m[1]]), RADIUS_COUNTING)[0] <= metres:
-                    m[0], m[1], m[2] = (m[0] * m[2] + row.lat) / (m[2] + 1), (m[1] * m[2] + row.lon) / (m[2] + 1), m[2] + 1
-                    out[row.Index] = m[3]
-                    break
-            else:
-                means.append([row.lat, row.lon, 1, row.id])
-                out[row.Index] = row.id
-        return np.array([out[i] for i in f.index])
-
-    return _by_component(_located(detections), 2.02 * metres, (), kernel, radius=RADIUS_COUNTING)
+    def kernel(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["created_at", "id"], ascending=[False, True], kind="stable")
+        lat, lon = f["lat"].to_numpy(), f["lon"].to_numpy()
+        mean, size, of = np.empty((2, len(f))), np.zeros(len(f), np.int64), np.empty(len(f), np.int64)
+        opened: list[int] = []  # the rows that opened clusters
+        for i in range(len(f)):
+            n = len(opened)
+            far = _metres(lat[i], lon[i], mean[0, :n], mean[1, :n], RADIUS_COUNTING)
+            near = np.flatnonzero(far <= metres)
+            k = int(near[0]) if len(near) else n
+            if k == n:
+                opened.append(i)
+                mean[:, n] = 0.0
+            mean[:, k] = (mean[:, k] * size[k] + (lat[i], lon[i])) / (size[k] + 1)
+            size[k] += 1
+            of[i] = opened[k]
+        return pd.DataFrame({"id": f["id"], "leader": f["id"].to_numpy()[of]})
+
+    found = _located(detections)
+    near = clusters(found, 2.02 * metres, (), radius=RADIUS_COUNTING)
+    sizes = near.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    kind = found.schema["id"].dataType.simpleString()
+    led = found.select("id", "lat", "lon", "created_at").join(near.join(sizes, "cluster"), "id").groupBy("cluster").applyInPandas(kernel, f"id {kind}, leader {kind}")
+    return found.select("id").join(led, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))
 
 
 def image_bias(detections: DataFrame, metres: float = 1.8, most: float = 1.6, least_points: int = 4, least_anchors: int = 3) -> DataFrame:
@@ -137,7 +165,7 @@ def _overlaps(kind: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return measure
 
 
-def suppress(boxes: DataFrame, keys: tuple[str, ...], threshold: float, measure: str = "iou", inclusive: bool = True, order: tuple[str, ...] = ("-confidence", "id"), budget: int | None = None) -> DataFrame:
+def suppress(boxes: DataFrame, keys: tuple[str, ...], threshold: float, measure: str = "iou", inclusive: bool = True, order: tuple[str, ...] = ("-confidence", "id", "x1", "y1", "x2", "y2"), budget: int | None = None) -> DataFrame:
     """The boxes (id, keys, confidence, x1, y1, x2, y2) that no box kept before them overlaps by the threshold, within keys (an image, and a class or none).
 
     measure is 'iou' or 'smaller' (intersection over the smaller area); a budget keeps the first so many. Boxes without an extent or a
@@ -152,23 +180,24 @@ def suppress(boxes: DataFrame, keys: tuple[str, ...], threshold: float, measure:
         b = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
         kept: list[int] = []
         for i in range(len(b)):
-            if budget is not None and len(kept) >= budget:
-                break
             o = overlap(b[i], b[kept]) if kept else np.zeros(0)
             if not ((o >= threshold) if inclusive else (o > threshold)).any():
                 kept.append(i)
         return f.iloc[kept]
 
-    if budget is not None:
-        return good.groupBy(*keys).applyInPandas(kernel, good.schema)
+    by = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o) for o in order]
     # A box that overlaps no other of its group by the threshold is kept, and drops none: only the others meet the kernel.
-    rows = written(good.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), "id"))), "boxes")
+    rows = written(good.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))), "boxes")
     shape = box.corner(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     a, b = rows.select(*keys, "_r", shape.alias("p")), rows.select(*keys, F.col("_r").alias("_o"), shape.alias("q"))
     how_much = (box.iou if measure == "iou" else box.overlap_of_smaller)(F.col("p"), F.col("q"))
     touching = a.join(b, list(keys)).where((F.col("_r") != F.col("_o")) & (how_much >= threshold - 1e-9)).select(*keys, "_r").distinct()
     met = rows.join(touching, [*keys, "_r"]).select(*good.columns).groupBy(*keys).applyInPandas(kernel, good.schema)
-    return rows.join(touching, [*keys, "_r"], "left_anti").select(*good.columns).unionByName(met)
+    kept_ = rows.join(touching, [*keys, "_r"], "left_anti").select(*good.columns).unionByName(met)
+    if budget is None:
+        return kept_
+    # Whether a box is kept doesn't depend on later ones, so a budget is the beginning of what is kept.
+    return kept_.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_n") <= budget).drop("_n")
 
 
 def best_candidates(boxes: DataFrame, candidates: DataFrame, key: str = "asset_id", least: float = 0.1) -> DataFrame:

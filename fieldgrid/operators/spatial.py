@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
 
-from ..functions.geo import RADIUS, degrees_of, haversine
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.geo import RADIUS, haversine
 from ..storage import written
 from .components import components
 
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, keys: tuple[str, ...] = (), id_: str = "id", latitude: float = 60.0, radius: float = RADIUS) -> DataFrame:
-    """Rows (keys, a, b, distance) of places (id, lat, lon, keys) within so many metres that agree in keys.
+def _columns(row: Column, metres: float, dlat: float) -> Column:
+    """How many buckets a row of latitude has around the globe: each at least as wide as a pair in it or in the rows beside can be; one near the poles."""
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * dlat)
+    shrink = F.cos(F.radians(edge))
+    return F.when(shrink <= 10 * metres / RADIUS, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * shrink / dlat))).cast("long")
+
 
-    Buckets are a little larger than the distance up to a latitude, so a row meets those of nine buckets; the left rows are
-    spread over them. Null coordinates or keys meet nothing.
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, keys: tuple[str, ...] = (), id_: str = "id", radius: float = RADIUS) -> DataFrame:
+    """Rows (keys, a, b, distance) of places (id, lat, lon, keys) within so many metres that agree in keys, anywhere on the globe.
+
+    Rows of buckets are a little higher than the distance, and each is cut into as many buckets as its latitude allows, around the globe;
+    a place meets those of nine buckets, over which the left rows are spread. Null coordinates or keys meet nothing.
     """
-    dlat, dlon = degrees_of(metres, latitude)
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
-    around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    a = left.select(*keys, F.col(id_).alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), around.alias("o")).select(*keys, "a", "lat_a", "lon_a", (F.floor(F.col("lat_a") / dlat).cast("long") + F.col("o.i")).alias("cy"), (F.floor(F.col("lon_a") / dlon).cast("long") + F.col("o.j")).alias("cx"))
-    b = right.select(*keys, F.col(id_).alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), cell("lat", dlat).alias("cy"), cell("lon", dlon).alias("cx"))
+    dlat = metres * 1.01 / (math.pi * RADIUS / 180)
+
+    def bucket(lon: Column, many: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * many).cast("long"), many)
+
+    rows = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("lat_a") / dlat).cast("long") + i))
+    own = left.select(*keys, F.col(id_).alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    spread = own.select("*", rows.alias("cy")).withColumn("many", _columns(F.col("cy"), metres, dlat)).withColumn("at", bucket(F.col("lon_a"), F.col("many")))
+    beside = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(F.col("at") + i, F.col("many"))))
+    a = spread.select(*keys, "a", "lat_a", "lon_a", "cy", F.explode(beside).alias("cx"))
+    b = right.select(*keys, F.col(id_).alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")).withColumn("cy", F.floor(F.col("lat_b") / dlat).cast("long"))
+    b = b.withColumn("cx", bucket(F.col("lon_b"), _columns(F.col("cy"), metres, dlat)))
     met = a.join(b, [*keys, "cy", "cx"]).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), radius))
     return met.where(F.col("distance") <= metres).select(*keys, "a", "b", "distance")
 
@@ -51,26 +69,64 @@ def grid_clusters(points: DataFrame, keys: tuple[str, ...], cell: str = "cell")
     return points.join(named, [*keys, "cx", "cy"])
 
 
+#: Rounds of mutual firsts before what is left is split into components, and rows of a component that one task walks.
+ROUNDS, WALKED = 2, 200_000
+
+
+def _mutual_firsts(rows: DataFrame) -> DataFrame:
+    """The rows (a, b, cost) that are the first of both their sides by (cost, a, b)."""
+    first = lambda side: rows.groupBy(side).agg(F.min(F.struct("cost", "a", "b")).alias("m")).select("m.*")
+    return first("a").join(first("b"), ["cost", "a", "b"]).select("a", "b", "cost")
+
+
+def _without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    return rows.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti").select("a", "b", "cost")
+
+
+def _walk(rows: DataFrame) -> DataFrame:
+    """The greedy walk of each component (g, a, b, cost), whose rows one task holds."""
+
+    def kernel(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["cost", "na", "nb"], kind="stable")
+        used_a, used_b = np.zeros(f["na"].max() + 1, bool), np.zeros(f["nb"].max() + 1, bool)
+        kept = np.zeros(len(f), bool)
+        for i, (a, b) in enumerate(zip(f["na"].to_numpy(), f["nb"].to_numpy(), strict=True)):
+            if not used_a[a] and not used_b[b]:
+                kept[i] = used_a[a] = used_b[b] = True
+        return f.loc[kept, ["g", "na", "nb"]]
+
+    # Sides are numbered in their order within a component, so ids of any type are compared by Spark.
+    place = lambda side: F.dense_rank().over(Window.partitionBy("g").orderBy(side))
+    numbered = written(rows.withColumns({"na": place("a"), "nb": place("b")}), "numbered")
+    walked = numbered.select("g", "na", "nb", "cost").groupBy("g").applyInPandas(kernel, "g long, na int, nb int")
+    return numbered.join(walked, ["g", "na", "nb"]).select("a", "b", "cost")
+
+
 def match_one_to_one(candidates: DataFrame) -> DataFrame:
     """Of rows (a, b, cost, ...) those that a greedy walk by (cost, a, b) takes, each a and b once.
 
     Rounds take all rows that are the first of both their sides, and drop the rows that touch them; with a strict order that is
-    what the greedy walk takes. Each round is written, so the plan doesn't grow.
+    what the greedy walk takes. After ROUNDS rounds few rows are left: those of small components are walked by a task each, and
+    only components of over WALKED rows go on in rounds. Each round is written, so the plan doesn't grow.
     """
-    left = written(candidates, "candidates")
-    taken = []
-    order = ("cost", "a", "b")
-    while True:
-        first = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(*order))
-        now = written(left.withColumns({"na": first("a"), "nb": first("b")}).where("na = 1 AND nb = 1").drop("na", "nb"), "matched")
-        if now.isEmpty():
-            break
-        taken.append(now)
-        left = written(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select(*candidates.columns), "candidates")
-    out = candidates.limit(0)
-    for t in taken:
-        out = out.union(t)
-    return out
+    whole = written(candidates, "candidates")
+    left, taken = whole.select("a", "b", "cost").distinct(), []
+    for _ in range(ROUNDS):
+        taken.append(written(_mutual_firsts(left), "matched"))
+        left = written(_without(left, taken[-1]), "candidates")
+    node = lambda side: F.xxhash64(F.lit(side), F.col(side))
+    roots = written(components(left.select(node("a").alias("na"), node("b").alias("nb")), "na", "nb"), "components")
+    grouped = written(left.join(roots, node("a") == F.col("node")).select(F.col("root").alias("g"), "a", "b", "cost"), "grouped")
+    large = grouped.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > WALKED).select("g")
+    taken.append(written(_walk(grouped.join(large, "g", "left_anti")), "matched"))
+    left = written(grouped.join(large, "g").select("a", "b", "cost"), "candidates")
+    while not left.isEmpty():
+        taken.append(written(_mutual_firsts(left), "matched"))
+        left = written(_without(left, taken[-1]), "candidates")
+    found = taken[0]
+    for t in taken[1:]:
+        found = found.union(t)
+    return whole.join(found, ["a", "b", "cost"]).select(*candidates.columns).dropDuplicates(["a", "b"])
 
 
 def nearest(points: DataFrame, truth: DataFrame, metres: float, id_: str = "id", **options) -> DataFrame:

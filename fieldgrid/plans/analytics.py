@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import box, geo, georef, text, weather
 from ..operators import dataset, planning, resolution, spatial, temporal
@@ -85,14 +85,12 @@ def projected_offsets(t: Bridge) -> DataFrame:
     return at.select("detection_id", F.round(F.col("o.east") * 100).cast("long").alias("east_cm"), F.round(F.col("o.north") * 100).cast("long").alias("north_cm"))
 
 
-@query("""WITH s AS (SELECT detection_id, (x1 % 5) * 0.2E0 AS a FROM {detection})
-  SELECT a.asset_id, CASE WHEN altitude % 7 = 0 THEN 'medium' ELSE CASE WHEN a.asset_id % 4 = 0 THEN 'low' ELSE 'high' END END AS quality,
-   array_to_string(list_filter([CASE WHEN a.asset_id % 4 = 0 AND altitude % 7 <> 0 THEN 'altitude' END, CASE WHEN altitude % 7 = 0 THEN 'gimbal angles' END], lambda x: x IS NOT NULL), ',') AS missing FROM {asset} a""")
+@query("""SELECT a.asset_id, CASE WHEN flight_session IS NULL THEN 'missing' WHEN altitude < 30 THEN 'low' WHEN gimbal_pitch > -75 THEN 'medium' ELSE 'high' END AS quality,
+   CASE WHEN flight_session IS NULL THEN 'gps' ELSE array_to_string(list_filter([CASE WHEN altitude < 30 THEN 'altitude' END, CASE WHEN gimbal_pitch > -75 THEN 'gimbal angles' END], lambda x: x IS NOT NULL), ',') END AS missing FROM {asset} a""")
 def geo_quality(t: Bridge) -> DataFrame:
-    no_gimbal = F.col("altitude") % 7 == 0
-    no_altitude = (F.col("asset_id") % 4 == 0) & ~no_gimbal
     yes = F.lit(True)
-    return t.asset.select("asset_id", georef.geo_quality(yes, yes, ~no_altitude, ~no_gimbal, yes, yes, F.lit(False)).alias("q")).select("asset_id", "q.quality", F.array_join("q.missing", ",").alias("missing"))
+    found = georef.geo_quality(F.col("flight_session").isNotNull(), F.col("image_w") > 0, F.col("altitude") >= 30, F.col("gimbal_pitch") <= -75, F.col("camera_fov").isNotNull(), yes, F.lit(False))
+    return t.asset.select("asset_id", found.alias("q")).select("asset_id", "q.quality", F.array_join("q.missing", ",").alias("missing"))
 
 
 @query("""SELECT class_name, regexp_replace(regexp_replace(trim(lower(class_name)), '\\s+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS clean, count(*) AS n FROM {detection} GROUP BY class_name""")
@@ -103,7 +101,7 @@ def sanitised_classes(t: Bridge) -> DataFrame:
 _TYPES = ["Lantana", " lantana  camara", "W", "acacia", "BELLYACHE-bush", "pine sapling 3", "rubber_bush", "weeping fig", "", "Other", "sap", "unknown thing"]
 
 
-@query()
+@query("""SELECT detection_id, CASE detection_id % 12 WHEN 0 THEN 'Lantana' WHEN 1 THEN 'Lantana' WHEN 2 THEN 'Wattle' WHEN 3 THEN 'Wattle' WHEN 4 THEN 'Bellyache Bush' WHEN 5 THEN 'Pine Sapling' WHEN 6 THEN 'Calitropis' WHEN 7 THEN 'Weeping Fig' WHEN 10 THEN 'Pine Sapling' ELSE 'Unknown' END AS type FROM {detection}""")
 def detection_types(t: Bridge) -> DataFrame:
     return t.detection.select("detection_id", text.detection_type(F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("detection_id") % len(_TYPES) + 1).cast("int"))).alias("type"))
 
@@ -128,7 +126,11 @@ def dataset_split(t: Bridge) -> DataFrame:
     return dataset.split(t.asset.select("asset_id")).groupBy("split").agg(F.count("*").alias("images"))
 
 
-@query()
+@query("""WITH l AS (SELECT asset_id, detection_id AS id, regexp_replace(regexp_replace(trim(lower(class_name)), '\\s+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS class, least(1.0E0, greatest(0.0E0, (x1 + x2) / 2.0E0 / 4000)) AS x, least(1.0E0, greatest(0.0E0, (y1 + y2) / 2.0E0 / 3000)) AS y,
+    least(1.0E0, greatest(0.0E0, (x2 - x1) / 4000.0E0)) AS w, least(1.0E0, greatest(0.0E0, (y2 - y1) / 3000.0E0)) AS h FROM {detection} WHERE NOT rejected AND (verified OR user_corrected)),
+  o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY asset_id, class, round(x, 4), round(y, 4), round(w, 4), round(h, 4) ORDER BY id) = 1),
+  j AS (SELECT asset_id, id, '{"id":' || id || ',"class":"' || class || '","x":' || CAST(CAST(x AS DECIMAL(10,6)) AS VARCHAR) || ',"y":' || CAST(CAST(y AS DECIMAL(10,6)) AS VARCHAR) || ',"w":' || CAST(CAST(w AS DECIMAL(10,6)) AS VARCHAR) || ',"h":' || CAST(CAST(h AS DECIMAL(10,6)) AS VARCHAR) || '}' AS j FROM o)
+  SELECT asset_id, count(*) AS n_labels, sha256(string_agg(j, chr(10) ORDER BY id, j)) AS checksum FROM j GROUP BY asset_id""")
 def dataset_manifest(t: Bridge) -> DataFrame:
     return dataset.manifest(dataset.one_of_equal(dataset.boxed_labels(t.detection)))
 
@@ -160,17 +162,29 @@ def _boxes(t: Bridge) -> DataFrame:
     return t.detection.select(F.col("detection_id").alias("id"), "asset_id", "class_name", "confidence", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query()
+def _nms(keys: str, o: str, test: str, most: int) -> str:
+    """The greedy walk of each group as a recursion over its ranks, with the boxes kept so far as a list."""
+    both = "greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1))"
+    a, b = "(k.x2 - k.x1) * (k.y2 - k.y1)", "(r.x2 - r.x1) * (r.y2 - r.y1)"
+    share = f"{both} / ({a} + {b} - {both} + 0.0E0)" if o == "iou" else f"{both} / (least({a}, {b}) + 0.0E0)"
+    return f"""WITH RECURSIVE r AS (SELECT detection_id AS id, asset_id, class_name, confidence, x1, y1, x2, y2, row_number() OVER (PARTITION BY {keys} ORDER BY confidence DESC, detection_id, x1, y1, x2, y2) AS n, dense_rank() OVER (ORDER BY {keys}) AS g FROM {{detection}} WHERE confidence IS NOT NULL),
+  w(g, n, kept) AS (SELECT DISTINCT g, 0::BIGINT, []::STRUCT(n BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[] FROM r
+    UNION ALL SELECT w.g, r.n, CASE WHEN len(w.kept) < {most} AND len(list_filter(w.kept, lambda k: {share} {test})) = 0 THEN list_append(w.kept, {{'n': r.n, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) ELSE w.kept END FROM w JOIN r ON r.g = w.g AND r.n = w.n + 1),
+  last AS (SELECT g, kept FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1), k AS (SELECT g, unnest(kept).n AS n FROM last)
+  SELECT r.id, asset_id, class_name, confidence, x1 + 0.0E0 AS x1, y1 + 0.0E0 AS y1, x2 + 0.0E0 AS x2, y2 + 0.0E0 AS y2 FROM r JOIN k ON r.g = k.g AND r.n = k.n"""
+
+
+@query(_nms("asset_id, class_name", "iou", ">= 0.45E0", 1_000_000))
 def suppressed_boxes(t: Bridge) -> DataFrame:
     return resolution.suppress(_boxes(t), ("asset_id", "class_name"), 0.45)
 
 
-@query()
+@query(_nms("asset_id", "iou", "> 0.5E0", 400))
 def suppressed_concepts(t: Bridge) -> DataFrame:
     return resolution.suppress(_boxes(t), ("asset_id",), 0.5, inclusive=False, budget=400)
 
 
-@query()
+@query(_nms("asset_id", "smaller", "> 0.5E0", 1_000_000))
 def merged_tiles(t: Bridge) -> DataFrame:
     return resolution.suppress(_boxes(t), ("asset_id",), 0.5, "smaller", inclusive=False)
 
@@ -183,8 +197,8 @@ def deduplicated_detections(t: Bridge) -> DataFrame:
 
 @query()
 def counted_objects(t: Bridge) -> DataFrame:
-    found = _good(t).where("class_name LIKE 'SMALL%'").select(F.col("detection_id").alias("id"), "lat", "lon", "created_at")
-    return resolution.leader_counts(found, 1.0).groupBy("leader").agg(F.count("*").alias("n"))
+    found = _good(t).select(F.col("detection_id").alias("id"), "lat", "lon", "created_at")
+    return resolution.leader_counts(found, 2.0).groupBy("leader").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -241,16 +255,17 @@ def launch_times(t: Bridge) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity + 15) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wait_min FROM {lineitem}""")
 def schedule_cursor(t: Bridge) -> DataFrame:
-    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.coalesce(F.sum(F.col("l_quantity") + 15).over(before), F.lit(0.0)).alias("wait_min"))
+    stop = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    flights = t.lineitem.select(F.col("l_orderkey").alias("project_id"), stop.alias("mission"), F.col("l_quantity").alias("minutes"), F.timestamp_seconds(F.lit(0)).alias("launch"))
+    found = planning.schedule(flights)
+    return found.select(F.col("project_id").alias("l_orderkey"), F.col("mission.l_linenumber").alias("l_linenumber"), (F.unix_micros("start") / 60_000_000).alias("wait_min"))
 
 
 @query(f"""WITH p AS (SELECT asset_id, gps_lat AS lat, gps_lon AS lon, project_id, lag(gps_lat) OVER w AS plat, lag(gps_lon) OVER w AS plon FROM {{asset}} WINDOW w AS (PARTITION BY project_id ORDER BY flight_date, asset_id)),
   d AS (SELECT project_id, {_HAVERSINE} AS m FROM (SELECT project_id, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2) AS s FROM p)) SELECT project_id, sum(CAST(round(coalesce(m, 0) * 1000) AS BIGINT))::BIGINT AS route_mm FROM d GROUP BY project_id""")
 def route_lengths(t: Bridge) -> DataFrame:
-    w = Window.partitionBy("project_id").orderBy("flight_date", "asset_id")
-    step = geo.haversine(F.lag("gps_lat").over(w), F.lag("gps_lon").over(w), F.col("gps_lat"), F.col("gps_lon"))
-    return t.asset.select("project_id", F.round(F.coalesce(step, F.lit(0.0)) * 1000).cast("long").alias("mm")).groupBy("project_id").agg(F.sum("mm").alias("route_mm"))
+    legs = planning.route_legs(t.asset, ("project_id",), ("flight_date", "asset_id"), "gps_lat", "gps_lon")
+    return legs.select("project_id", F.round(F.col("leg_m") * 1000).cast("long").alias("mm")).groupBy("project_id").agg(F.sum("mm").alias("route_mm"))
 
 
 @query("""SELECT detection_id, concat_ws(',', detection_id, class_name, printf('%.8f', lat), printf('%.8f', lon), coalesce(printf('%.1f%%', confidence * 100), '')) AS line FROM {detection} WHERE NOT rejected AND (verified OR user_corrected)""")

@@ -74,6 +74,8 @@ def with_bridge(sql: str) -> str:
     put = lambda text: _fill(text, fill)
     ctes = [f"{t} AS ({put(TABLES[t])})" for t in need]
     body = put(sql).strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join([*ctes, body[5:]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

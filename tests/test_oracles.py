@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fieldgrid.plans import analytics, quality, registry, reporting  # noqa: F401
+from fieldgrid.plans import analytics, imagery, quality, registry, reporting, sources  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 
