@@ -46,7 +46,7 @@ def duplicate_groups(detections: DataFrame, metres: float = 1.8, by_class: bool
     image = F.dense_rank().over(Window.partitionBy("cluster").orderBy("asset_id"))
     rows = written(placed.join(members, "id").select("cluster", "id", (F.row_number().over(order) - 1).alias("place"), (image - 1).alias("image")), "members")
     of = lambda side: rows.select(F.col("id").alias(side), F.col("place").alias(f"place_{side}"), *(["cluster"] if side == "a" else []))
-    pairs = edges.join(of("a"), "a").join(of("b"), "b").select("cluster", "place_a", "place_b")
+    pairs = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("cluster").alias("of"), "place_a", "place_b")
 
     def kernel(members: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         n = len(members)
@@ -81,7 +81,7 @@ def duplicate_groups(detections: DataFrame, metres: float = 1.8, by_class: bool
         return pd.DataFrame({"cluster": members["cluster"].iloc[0], "place": np.arange(n), "leader": leader}) if n else pd.DataFrame({"cluster": [], "place": [], "leader": []})
 
     kind = rows.schema["cluster"].dataType.simpleString()
-    led = rows.groupBy("cluster").cogroup(pairs.groupBy("cluster")).applyInPandas(kernel, f"cluster {kind}, place int, leader int")
+    led = rows.groupBy("cluster").cogroup(pairs.groupBy("of")).applyInPandas(kernel, f"cluster {kind}, place int, leader int")
     own = rows.select("cluster", "place", "id").join(led, ["cluster", "place"]).select("cluster", "id", F.col("leader").alias("place"))
     named = own.join(rows.select("cluster", "place", F.col("id").alias("leader")), ["cluster", "place"]).select("id", "leader")
     return one.select("id").join(named, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))

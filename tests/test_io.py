@@ -44,7 +44,7 @@ def test_forecast_elevation_and_sessions(spark):
     assert [(r.ts.hour, r.wind, r.precip) for r in got] == [(0, 1.0, 1.0), (1, 0.0, 100.0)]
     places = spark.createDataFrame([(1, -27.0, 153.0), (2, -28.0, 153.0)], "id int, lat double, lon double")
     known = spark.createDataFrame([(-27.0000001, 153.0, 55.0)], "lat double, lon double, elevation double")
-    assert {r.id: r.elevation for r in readers.with_elevation(places, known).collect()} == {1: 55.0, 2: 100.0}
+    assert {r.id: r.elevation for r in readers.with_elevation(places, known).collect()} == {1: 55.0, 2: 50.0}
     sessions = spark.createDataFrame([("s", ["a", "b"], ["j"]), ("t", [], ["j", "k"]), ("u", None, None)], "session_id string, asset_ids array<string>, job_ids array<string>")
     found = readers.session_assets(sessions, spark.createDataFrame([("j", "x"), ("k", "y"), ("j", "x")], "job_id string, asset_id string"))
     assert sorted(map(tuple, found.collect())) == [("s", "a"), ("s", "b"), ("t", "x"), ("t", "y")]

@@ -117,6 +117,41 @@ def test_near_pairs_equal_brute_force(spark):
         assert got == {(x[0], y[0]) for x in a for y in b if metres(x[1:], y[1:]) <= reach} and got
 
 
+@pytest.mark.parametrize("lat,lon", [(-27.0, 153.0), (65.0, 20.0), (75.0, -100.0), (-85.0, 10.0), (0.0, 180.0), (70.0, -180.0), (89.9995, 0.0)])
+def test_near_pairs_anywhere(spark, lat, lon):
+    rng = random.Random(8)
+
+    def some(n, base):
+        high = 60 / 111_195
+        wide = min(180.0, high / max(1e-6, math.cos(math.radians(lat))))
+        out = []
+        for i in range(n):
+            y, x = lat + rng.uniform(-high, high), lon + rng.uniform(-wide, wide)
+            out.append((base + i, min(90.0, y), (x + 180) % 360 - 180))
+        return out
+
+    a, b = some(150, 0), some(150, 1000)
+    df = lambda p: spark.createDataFrame(p, "id long, lat double, lon double")
+    got = [(r.a, r.b) for r in spatial.near_pairs(df(a), df(b), 12.0).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(x[0], y[0]) for x in a for y in b if metres(x[1:], y[1:]) <= 12.0} and got
+
+
+def test_large_matchings_go_on_in_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(a, b, round(rng.random(), 2)) for a in range(30) for b in range(30) if rng.random() < 0.3]
+    used, want = set(), set()
+    for a, b, c in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            want.add((a, b))
+    for walked in (3, 200_000):
+        monkeypatch.setattr(spatial, "WALKED", walked)
+        got = spatial.match_one_to_one(spark.createDataFrame([*rows, *rows], "a long, b long, cost double")).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    assert spatial.match_one_to_one(spark.createDataFrame([], "a long, b long, cost double")).count() == 0
+
+
 def test_clusters_and_components(spark):
     chain = [(i, north(19 * i), LON0) for i in range(40)] + [(100, north(5000), LON0)]
     got = {r.id: r.cluster for r in spatial.clusters(spark.createDataFrame(chain, "id long, lat double, lon double"), 20.0).collect()}
