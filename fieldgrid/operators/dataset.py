@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import box
+from ..functions import box, polygon
 from ..functions.text import sanitised_class
 
 
@@ -59,6 +59,36 @@ def manifest(labels: DataFrame) -> DataFrame:
     return labels.groupBy("asset_id").agg(F.count("*").alias("n_labels"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", row.alias("j")))), lambda x: x.j), "\n"), 256).alias("checksum"))
 
 
+def all_boxed_labels(detections: DataFrame, manual: DataFrame, pending: DataFrame, least: float = 0.0, use: tuple[str, ...] = ("ai", "manual", "suggestion")) -> DataFrame:
+    """boxed_labels of three sources, before one_of_equal: detections, labels by hand (annotation_id, asset_id, weed_type, ring of pixels x, y) and accepted suggestions (pending_id, asset_id, weed_type, confidence, x1..y2). Rings of fewer than three points and boxes without an extent go."""
+    a = boxed_labels(detections, least)
+    ring = polygon.extent(F.col("ring"))
+    sized = lambda b: box.normalised(b, F.lit(4000), F.lit(3000))
+
+    def rows(df: DataFrame, id_: str, source: str, b: Column) -> DataFrame:
+        found = df.withColumn("b", b).where("b IS NOT NULL").select("asset_id", F.col(id_).alias("id"), F.lit(source).alias("source"), sanitised_class(F.col("weed_type")).alias("class"), sized(F.col("b")).alias("n"))
+        return found.where("class <> ''").select("asset_id", "id", "source", "class", "n.x", "n.y", "n.w", "n.h")
+
+    corner = box.corner(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    c = pending.where((F.col("status").isNull() | (F.col("status") == "ACCEPTED")) & (F.col("confidence").isNull() | (F.col("confidence") >= least)))
+    every = a.unionByName(rows(manual, "annotation_id", "manual", ring)).unionByName(rows(c, "pending_id", "suggestion", F.when(box.valid(corner), corner)))
+    return every.where(F.col("source").isin(*use))
+
+
+def create_versions(requests: DataFrame, versions: DataFrame, labels: DataFrame) -> DataFrame:
+    """New rows of versions for requests (project_id, request_key, requested_at): versions (project_id, request_key, version, snapshot_at, n_labels, n_images).
+
+    A request whose key a project's version has, or an earlier request of the same key, makes none; the others are numbered on from the project's last version in
+    the order of their time and key. A version holds the labels (project_id, asset_id, created_at) made up to its request.
+    """
+    once = requests.groupBy("project_id", "request_key").agg(F.min("requested_at").alias("requested_at")).join(versions.select("project_id", "request_key"), ["project_id", "request_key"], "left_anti")
+    last = versions.groupBy("project_id").agg(F.max("version").alias("last"))
+    number = F.row_number().over(Window.partitionBy("project_id").orderBy("requested_at", "request_key"))
+    made = once.withColumn("n", number).join(last, "project_id", "left").select("project_id", "request_key", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("long").alias("version"), F.col("requested_at").alias("snapshot_at"))
+    held = made.join(labels.select(F.col("project_id").alias("of"), "asset_id", "created_at"), F.expr("project_id = of AND created_at <= snapshot_at")).groupBy("project_id", "version").agg(F.count("*").alias("n_labels"), F.countDistinct("asset_id").alias("n_images"))
+    return made.join(held, ["project_id", "version"], "left").select("project_id", "request_key", "version", "snapshot_at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_labels", "n_images")])
+
+
 def compare_versions(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: images of two versions (asset_id, class), those in both, and classes added and removed."""
     images = a.select("asset_id").distinct().withColumn("a", F.lit(1)).join(b.select("asset_id").distinct().withColumn("b", F.lit(1)), "asset_id", "full")

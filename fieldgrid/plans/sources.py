@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.settings import change_mix
 from ..functions.text import to_fixed
-from ..operators import dataset, lists, reporting, signals, temporal
+from ..operators import dataset, lists, planning, reporting, signals, temporal
 from ..sinks import export, tables
 from ..sources import readers
 from ..sources.bridge import Bridge
@@ -284,3 +284,33 @@ def told_numbers(t: Bridge) -> DataFrame:
     from ..functions.text import js_round
 
     return t.detection.select(F.col("detection_id").alias("id"), to_fixed(F.col("x1") / 7, 3).alias("t3"), js_round(F.col("x1") / 2).cast("long").alias("rounded"))
+
+
+@query(f"""WITH h AS (SELECT *, coalesce(mean_risk, priority) AS risk FROM ({_HOTSPOTS}) WHERE n_new + n_persistent > 0 AND coalesce(mean_risk, priority) >= 0.3E0 AND corners > 0)
+  SELECT cluster % 7 AS project_id, row_number() OVER (PARTITION BY cluster % 7 ORDER BY priority DESC, cluster)::INTEGER AS sequence, cluster, n_new + n_persistent AS detections, round(CASE WHEN corners = 1 THEN 0.0001E0 ELSE corners / 10.0E0 END * CASE WHEN species = '2-HIGH' THEN 12.5E0 ELSE 20.0E0 END, 6) AS litres,
+   corners + CASE WHEN corners = 1 THEN 0 ELSE 1 END AS points, CASE WHEN species = '2-HIGH' THEN 'chemical-recommendation' ELSE 'default-dose' END AS dose_source FROM h""")
+def change_zones(t: Bridge) -> DataFrame:
+    rows = _hotspots(t).withColumns({"project_id": F.col("cluster") % 7, "area_ha": F.when(F.col("corners") > 1, F.col("corners") / 10.0), "mean_confidence": F.lit(None).cast("double"), "lat": F.lit(-27.0), "lon": F.lit(153.0)})
+    doses = t.spark.createDataFrame([("2-high", 12.5)], "species string, dose double")
+    found = planning.change_zones(lists.eligible_hotspots(rows, threshold=0.3), doses)
+    return found.select("project_id", "sequence", "cluster", "detections", F.round("litres", 6).alias("litres"), F.size("ring").cast("long").alias("points"), "dose_source")
+
+
+@query("""SELECT l_orderkey AS plan_id, l_linenumber AS mission, concat_ws(',', l_linenumber, 'Mission ' || l_linenumber, 3, printf('%.4f', l_partkey / 7.0E0), printf('%.3f', l_suppkey / 7.0E0), printf('%.1f', l_partkey / 3.0E0), printf('%.1f', l_quantity / 3.0E0), printf('%.1f', l_partkey / 1.5E0), printf('%.1f', l_partkey / 3.0E0), printf('%.1f', l_partkey / 1.5E0 - l_partkey / 3.0E0), CASE WHEN l_partkey > 0 THEN '50.00' ELSE '0.00' END, 'GO', '0.333', strftime(l_shipdate, '%Y-%m-%dT00:00:00Z'), '', '1.43', '2.14', '3.3') AS line FROM {lineitem}""")
+def mission_csv(t: Bridge) -> DataFrame:
+    third = lambda c, n: F.col(c) / n
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("mission"), F.lit(3).alias("zones"), third("l_partkey", 7.0).alias("area_ha"), third("l_suppkey", 7.0).alias("litres"), third("l_quantity", 3.0).alias("minutes"), third("l_partkey", 1.5).alias("distance_before_m"),
+        third("l_partkey", 3.0).alias("distance_m"), F.lit("GO").alias("decision"), F.lit(1 / 3).alias("score"), F.col("l_shipdate").cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("end"), F.lit(10 / 7).alias("mean_wind"), F.lit(15 / 7).alias("max_gust"), F.lit(10 / 3).alias("max_precip"),
+    )
+    return export.mission_lines(rows).select("plan_id", "mission", F.col("value").alias("line"))
+
+
+@query("""WITH v AS (SELECT project_id, asset_id AS version, asset_id AS k, flight_date FROM {asset} WHERE asset_id % 40 = 0), q AS (SELECT DISTINCT project_id, CASE WHEN asset_id % 80 = 0 THEN asset_id ELSE asset_id % 100 END AS k, flight_date AS d FROM {asset} WHERE asset_id % 20 = 0),
+  o AS (SELECT project_id, k, min(d) AS d FROM q WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.project_id = q.project_id AND v.k = q.k) GROUP BY project_id, k), n AS (SELECT o.*, coalesce((SELECT max(version) FROM v WHERE v.project_id = o.project_id), 0) + row_number() OVER (PARTITION BY project_id ORDER BY d, k) AS version FROM o)
+  SELECT n.project_id, n.k AS request_key, n.version, count(l.asset_id) AS n_labels, count(DISTINCT l.asset_id) AS n_images FROM n LEFT JOIN {detection} l ON l.project_id = n.project_id AND l.created_at <= n.d GROUP BY n.project_id, n.k, n.version""")
+def created_versions(t: Bridge) -> DataFrame:
+    i = F.col("asset_id")
+    versions = t.asset.where(i % 40 == 0).select("project_id", i.alias("request_key"), i.alias("version"))
+    requests = t.asset.where(i % 20 == 0).select("project_id", F.when(i % 80 == 0, i).otherwise(i % 100).alias("request_key"), F.col("flight_date").alias("requested_at"))
+    return dataset.create_versions(requests, versions, t.detection.select("project_id", "asset_id", "created_at")).drop("snapshot_at")

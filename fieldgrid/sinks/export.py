@@ -63,6 +63,60 @@ def geojson(points: DataFrame) -> DataFrame:
     return points.select("id", F.to_json(feature).alias("value"))
 
 
+#: The headers of a mission pack's tables.
+MISSION_HEADER = (
+    "mission_sequence", "mission_name", "zone_count", "total_area_ha", "chemical_liters", "estimated_distance_m", "estimated_duration_min", "route_baseline_distance_m", "route_optimized_distance_m", "route_saved_distance_m", "route_saved_pct",
+    "weather_decision", "weather_risk_score", "planned_start_utc", "planned_end_utc", "avg_wind_mps", "max_gust_mps", "max_precip_prob_pct",
+)
+ZONE_HEADER = ("zone_id", "mission_sequence", "species", "detection_count", "avg_confidence", "priority_score", "area_ha", "recommended_dose_l_per_ha", "recommended_liters", "centroid_lat", "centroid_lon", "recommendation_source")
+
+
+def mission_lines(missions: DataFrame) -> DataFrame:
+    """Rows (plan_id, mission, value): a line of a mission pack's missions.csv for each mission (plan_id, mission, zones, area_ha, litres, minutes, distance_before_m, distance_m, and, or null, decision, score, start, end, mean_wind, max_gust, max_precip)."""
+    fixed = lambda c, digits: to_fixed(F.col(c), digits)
+    saved = F.col("distance_before_m") - F.col("distance_m")
+    share = F.when(F.col("distance_before_m") > 0, saved / F.col("distance_before_m") * 100).otherwise(0.0)
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = csv_line(
+        F.col("mission"), F.concat(F.lit("Mission "), F.col("mission")), F.col("zones"), fixed("area_ha", 4), fixed("litres", 3), fixed("distance_m", 1), fixed("minutes", 1), fixed("distance_before_m", 1), fixed("distance_m", 1), to_fixed(saved, 1), to_fixed(share, 2),
+        F.col("decision"), fixed("score", 3), time("start"), time("end"), fixed("mean_wind", 2), fixed("max_gust", 2), fixed("max_precip", 1),
+    )
+    return missions.select("plan_id", "mission", line.alias("value"))
+
+
+def zone_lines(zones: DataFrame) -> DataFrame:
+    """Rows (plan_id, sequence, value): a line of a mission pack's zones.csv for each zone (plan_id, sequence, mission or null, species, detections, mean_confidence, priority, area_ha, dose_per_ha, litres, centroid_lat, centroid_lon, dose_source)."""
+    fixed = lambda c, digits: to_fixed(F.col(c), digits)
+    line = csv_line(
+        F.col("sequence"), F.col("mission"), F.col("species"), F.col("detections"), fixed("mean_confidence", 3), fixed("priority", 3), fixed("area_ha", 4), fixed("dose_per_ha", 3), fixed("litres", 3), fixed("centroid_lat", 7), fixed("centroid_lon", 7), F.col("dose_source"),
+    )
+    return zones.select("plan_id", "sequence", line.alias("value"))
+
+
+def mission_folder(stops: DataFrame) -> DataFrame:
+    """Rows (plan_id, mission, value): a KML folder for each mission of stops (plan_id, mission, stop, species, lat, lon): its route, if it has two stops or more, and a place for each stop, in order."""
+    at = lambda x: F.concat_ws(",", x.lon.cast("string"), x.lat.cast("string"), F.lit("0"))
+    listed = F.array_sort(F.collect_list(F.struct("stop", "lat", "lon", "species")))
+    name = F.concat(F.lit("Mission "), F.col("mission").cast("string"))
+    route = F.concat(F.lit("<Placemark><name>"), name, F.lit(" Route</name><LineString><tessellate>1</tessellate><coordinates>"), F.array_join(F.transform("s", at), " "), F.lit("</coordinates></LineString></Placemark>"))
+    places = F.array_join(F.transform("s", lambda x: F.concat(F.lit("<Placemark><name>"), xml_text(x.species), F.lit("</name><Point><coordinates>"), at(x), F.lit("</coordinates></Point></Placemark>"))), "")
+    rows = stops.groupBy("plan_id", "mission").agg(listed.alias("s"))
+    return rows.select("plan_id", "mission", F.concat(F.lit("<Folder><name>"), name, F.lit("</name>"), F.when(F.size("s") > 1, route).otherwise(""), places, F.lit("</Folder>")).alias("value"))
+
+
+def write_mission_pack(missions: DataFrame, zones: DataFrame, stops: DataFrame, path: str) -> None:
+    """Folders missions.csv, zones.csv, missions.kml and manifest.json under a path, each with a folder of text for each plan."""
+    header = lambda names: F.lit(",".join(names))
+    for name, lines, order, head in (("missions.csv", mission_lines(missions), "mission", MISSION_HEADER), ("zones.csv", zone_lines(zones), "sequence", ZONE_HEADER)):
+        whole = lines.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(order, "value"))).alias("v"))
+        whole.select("plan_id", F.concat_ws("\n", header(head), F.transform("v", lambda x: x.value)).alias("value")).write.partitionBy("plan_id").text(f"{path}/{name}")
+    folders = mission_folder(stops).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("mission", "value"))).alias("v"))
+    kml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), F.array_join(F.transform("v", lambda x: x.value), ""), F.lit("</Document></kml>"))
+    folders.select("plan_id", kml.alias("value")).write.partitionBy("plan_id").text(f"{path}/missions.kml")
+    counts = missions.groupBy("plan_id").agg(F.count("*").alias("missions"), F.sum("area_ha").alias("area_ha")).join(zones.groupBy("plan_id").agg(F.count("*").alias("zones")), "plan_id", "left")
+    counts.select("plan_id", F.to_json(F.struct("missions", "zones", "area_ha")).alias("value")).write.partitionBy("plan_id").text(f"{path}/manifest.json")
+
+
 def manifest(points: DataFrame, skipped: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: exported and skipped rows, the three commonest reasons, and how many rows groups (id, leader) merged."""
     total = points.agg(F.count("*").alias("exported"))
