@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The thin queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, katz, language, licenses, lines, neighbours, simhash, token_files, warc
+from . import audit, bpe, decontaminate, infill, katz, language, licenses, lines, neighbours, sharding, simhash, token_files, warc
 from .common import documents
 
 #: The vocabulary file of the token queries.
@@ -160,9 +160,76 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(neighbours.build_index(vectors), vectors.where("vec_id % 100 = 0"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, alone and together, in each of their 120 orders, for each source."""
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP11_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM docs),
+firsts AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(c.doc_id > least, false)::INT AS mask
+  FROM cut c JOIN firsts USING (text) LEFT JOIN known k ON c.doc_id = k.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS letter, (1 << (ascii(filter_order[step]) - 65))::INT AS bit,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS earlier
+  FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders)),
+sums AS (
+  SELECT part, filter_order, step, letter,
+    sum(n) FILTER (WHERE mask & (coalesce(earlier, 0) | bit) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (WHERE mask & coalesce(earlier, 0) <> 0 AND mask & bit <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(good) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0) AS good_lost,
+    sum(toxic) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM sums
+"""
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle forms of all texts, and the texts rebuilt from them."""
+    found = infill.restore(infill.transform(documents(spark, sf_dir)))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+OP12_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units, sha256('42:' || doc_id) AS digest FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || digest[1:8])::BIGINT AS h1, ('0x' || digest[9:16])::BIGINT AS h2, ('0x' || digest[17:24])::BIGINT AS h3, ('0x' || digest[25:32])::BIGINT AS h4 FROM cut),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+pieces AS (
+  SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS p, coalesce(array_to_string(units[low + 1:high], ''), '') AS m, coalesce(array_to_string(units[high + 1:], ''), '') AS s FROM formed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to 16 shards and read back; the shard follows from doc_id and the number of shards."""
+    return sharding.sharded(documents(spark, sf_dir), 16).withColumn("law", F.lit("key"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_katz, op3_line_dedup, op4_decontamination, op5_token_files, op6_language, op7_licenses, op8_simhash, op9_warc, op10_neighbours)}
+    return {f.__name__: f for f in (op1_bpe, op2_katz, op3_line_dedup, op4_decontamination, op5_token_files, op6_language, op7_licenses, op8_simhash, op9_warc, op10_neighbours, op11_audit, op12_infill, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_licenses": _op7_sql()}
+    return {"op3_line_dedup": OP3_SQL, "op7_licenses": _op7_sql(), "op11_audit": OP11_SQL, "op12_infill": OP12_SQL}
