@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .georef import positive
 
@@ -123,3 +123,78 @@ def exif_camera(metadata: Column) -> Column:
         F.coalesce(some("GimbalRollDegree"), F.lit(0.0)).alias("roll"), F.coalesce(some("GimbalYawDegree", "FlightYawDegree"), F.lit(0.0)).alias("yaw"), F.coalesce(some("FieldOfView"), F.lit(DEFAULT_FOV)).alias("fov"),
         some("ImageWidth", "ExifImageWidth").alias("width"), some("ImageHeight", "ExifImageHeight").alias("height"),
     )
+
+
+def valid_place(lat: Column, lon: Column) -> Column:
+    """Both are finite, and on the globe."""
+    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
+
+
+def valid_altitude(x: Column) -> Column:
+    """Within -500 to 50,000 m, or not known."""
+    return x.isNull() | F.coalesce(x.between(-500, 50_000) & ~F.isnan(x), F.lit(False))
+
+
+def _named(entries: Column, *parts: str, never: tuple[str, ...] = ()) -> Column:
+    """The first number of a map's entries whose name holds all parts and none of `never`, in any case."""
+    name = lambda e: F.lower(e.key)
+
+    def fits(e: Column) -> Column:
+        good = e.value.isNotNull()
+        for p in parts:
+            good = good & F.contains(name(e), F.lit(p))
+        for p in never:
+            good = good & ~F.contains(name(e), F.lit(p))
+        return good
+
+    return F.get(F.filter(F.transform(F.filter(entries, fits), lambda e: _finite(F.trim(e.value).try_cast("double"))), lambda x: x.isNotNull()), F.lit(0))
+
+
+#: What a camera's profile adds to an image's metadata.
+PROFILE = {"focal": "CalibratedFocalLength", "centre_x": "CalibratedOpticalCenterX", "centre_y": "CalibratedOpticalCenterY", "fov_scale": "GeoFovScale", "altitude_scale": "GeoAltitudeScale", "yaw_offset": "GeoYawOffsetDeg"}
+
+
+def with_profile(metadata: Column, profile: Column) -> Column:
+    """The map with the values of a profile (a struct of PROFILE's fields, null or with nulls) in place of its own."""
+    own = F.create_map(*[x for field, name in PROFILE.items() for x in (F.lit(name), profile[field].cast("string"))])
+    given = F.map_filter(own, lambda _, v: v.isNotNull())
+    rest = F.map_filter(metadata, lambda k, _: ~F.coalesce(F.map_contains_key(given, k), F.lit(False)))
+    return F.map_concat(rest, given)
+
+
+def ingest(df: DataFrame, exif: str = "exif", xmp: str = "xmp", profile: str | None = None, out: str = "asset") -> DataFrame:
+    """df with the struct `out` of what an asset takes from its file's EXIF and XMP maps (see sources.images), and the map full_metadata.
+
+    Position and altitude come from EXIF and, where that has none or bad ones, from the first fitting XMP names; the names that say a
+    laser's target or a height are no positions. XMP gives the gimbal and the laser. Places off the globe are dropped as pairs, altitudes outside
+    -500 to 50,000 m as well. Then a profile joins the metadata, sides are the largest that any name gives, and altitude is the first positive one of
+    relative, own and absolute altitude, scaled. `warnings` lists what was dropped. Steps are columns of their own, so expressions don't multiply.
+    """
+    entries = F.map_entries(F.coalesce(F.col(xmp), F.create_map().cast("map<string,string>")))
+    value = lambda name: _finite(F.trim(F.element_at(F.col(exif), name)).try_cast("double"))
+    df = df.withColumns({"_e": entries, "_lat0": value("GPSLatitude"), "_lon0": value("GPSLongitude"), "_alt0": value("GPSAltitude")})
+    good = valid_place(F.col("_lat0"), F.col("_lon0"))
+    e = F.col("_e")
+    never = ("altitude", "relative", "lrf", "laser")
+    df = df.withColumns({
+        "_lat": F.coalesce(F.when(good, F.col("_lat0")), _named(e, "lat", never=never)), "_lon": F.coalesce(F.when(good, F.col("_lon0")), _named(e, "lon", never=never)),
+        "_alt": F.coalesce(F.when(valid_altitude(F.col("_alt0")), F.col("_alt0")), _named(e, "altitude")), "_ld": _named(e, "lrf", "distance"), "_llat": _named(e, "lrf", "lat"), "_llon": _named(e, "lrf", "lon"),
+        "_full": F.map_concat(F.map_filter(F.col(exif), lambda k, _: ~F.coalesce(F.map_contains_key(F.col(xmp), k), F.lit(False))), F.coalesce(F.col(xmp), F.create_map().cast("map<string,string>"))),
+    })
+    df = df.withColumn("full_metadata", with_profile(F.col("_full"), F.col(profile)) if profile else F.col("_full"))
+    df = df.withColumn("_m", read(F.col("full_metadata")))
+    m, found, laser = F.col("_m"), valid_place(F.col("_lat"), F.col("_lon")), valid_place(F.col("_llat"), F.col("_llon"))
+    no_target = F.col("_llat").isNull() | F.col("_llon").isNull()
+    angle = lambda name: _finite(F.trim(F.element_at(F.col("full_metadata"), name)).try_cast("double"))
+    high = F.when(valid_altitude(F.col("_alt")), F.col("_alt"))
+    said = F.array_compact(F.array(
+        F.when(F.col("_lat0").isNull() | F.col("_lon0").isNull(), "no position in EXIF").when(~good, "bad position in EXIF"), F.when(~valid_altitude(F.col("_alt0")), "bad altitude in EXIF"),
+        F.when(~found & (F.col("_lat").isNotNull() | F.col("_lon").isNotNull()), "bad position"), F.when(~valid_altitude(F.col("_alt")), "bad altitude"), F.when(~no_target & ~laser, "bad laser target"),
+    ))
+    side = lambda own, name: image_side(own, m, name)
+    made = F.struct(
+        F.when(found, F.col("_lat")).alias("lat"), F.when(found, F.col("_lon")).alias("lon"), altitude(high, m).alias("altitude"), side(value("ExifImageWidth"), "width").alias("width"), side(value("ExifImageHeight"), "height").alias("height"),
+        F.coalesce(angle("GimbalPitchDegree"), _named(e, "gimbal", "pitch")).alias("pitch"), angle("GimbalRollDegree").alias("roll"), angle("GimbalYawDegree").alias("yaw"),
+        F.col("_ld").alias("laser_distance"), F.when(no_target | laser, F.col("_llat")).alias("laser_lat"), F.when(no_target | laser, F.col("_llon")).alias("laser_lon"), said.alias("warnings"),
+    )
+    return df.withColumn(out, made).drop("_e", "_lat0", "_lon0", "_alt0", "_lat", "_lon", "_alt", "_ld", "_llat", "_llon", "_full", "_m")

@@ -12,15 +12,15 @@ GREEN, SAMPLES = 0.12, 256
 
 def green_mask(pixels: bytes, width: int, height: int, box: tuple[float, float, float, float], samples: int = SAMPLES) -> np.ndarray:
     """Which of the nearest-sampled pixels of a box are green; empty outside the image."""
-    image = np.frombuffer(pixels, np.uint8)[: width * height * 3].reshape(height, width, 3).astype(float)
+    image = np.frombuffer(pixels, np.uint8, width * height * 3).reshape(height, width, 3)
     x1, y1, x2, y2 = max(0, int(np.floor(box[0]))), max(0, int(np.floor(box[1]))), min(width, int(np.ceil(box[2]))), min(height, int(np.ceil(box[3])))
     if x2 <= x1 or y2 <= y1:
         return np.zeros((0, 0), bool)
     xs = x1 + np.floor((np.arange(min(samples, x2 - x1)) + 0.5) * (x2 - x1) / min(samples, x2 - x1)).astype(int)
     ys = y1 + np.floor((np.arange(min(samples, y2 - y1)) + 0.5) * (y2 - y1) / min(samples, y2 - y1)).astype(int)
-    part = image[np.ix_(ys, xs)]
-    total = part.sum(2)
-    return np.divide(2 * part[:, :, 1] - part[:, :, 0] - part[:, :, 2], total, out=np.zeros(total.shape), where=total > 0) > GREEN
+    red, green, blue = image[ys[:, None], xs[None, :]].transpose(2, 0, 1).astype(float)
+    total = red + green + blue
+    return np.divide(2 * green - red - blue, total, out=np.zeros(total.shape), where=total > 0) > GREEN
 
 
 @F.pandas_udf(T.DoubleType())
@@ -33,27 +33,57 @@ def green_fraction(pixels: pd.Series, width: pd.Series, height: pd.Series, x1: p
     return pd.Series(out, dtype="float64")
 
 
+def patch_centre(pixels: bytes, width: int, height: int, box: tuple[float, float, float, float]) -> tuple[float, float] | None:
+    """Middle of the largest patch of green pixels (touching by sides, on a grid of at most 64) of a box; None if it is under three pixels or half a per cent."""
+    mask = green_mask(pixels, width, height, box, 64)
+    around = np.zeros((mask.shape[0] + 2, mask.shape[1] + 2), np.int64)
+    label = around[1:-1, 1:-1]
+    label[mask] = np.flatnonzero(mask) + 1
+    while mask.any():  # the largest label of each patch spreads over it
+        new = label.copy()
+        for side in (around[:-2, 1:-1], around[2:, 1:-1], around[1:-1, :-2], around[1:-1, 2:]):
+            np.maximum(new, side, out=new)
+        new *= mask
+        if (new == label).all():
+            break
+        label[:] = new
+    counts = np.bincount(label[label > 0]) if mask.any() else np.zeros(1, int)
+    if counts.max() < max(3, 0.005 * mask.size):
+        return None
+    ys, xs = np.nonzero(label == counts.argmax())
+    left, top, right, bottom = max(0, box[0]), max(0, box[1]), min(width, box[2]), min(height, box[3])
+    return float(left + (xs.mean() + 0.5) * (right - left) / mask.shape[1]), float(top + (ys.mean() + 0.5) * (bottom - top) / mask.shape[0])
+
+
+def within_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Which places are in a ring, by crossings of a ray to the right."""
+    inside = np.zeros(np.broadcast(x, y).shape, bool)
+    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, 1, axis=0), strict=True):
+        if y1 != y2:
+            inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return inside
+
+
+def ring_share(pixels: bytes, width: int, height: int, ring: np.ndarray, samples: int = SAMPLES) -> float:
+    """Share of a ring's sampled pixels that are green; 0 for fewer than three points, and where no sample lies inside."""
+    if len(ring) < 3:
+        return 0.0
+    box = (*np.maximum(0, ring.min(0)), *np.minimum((width, height), ring.max(0)))
+    mask = green_mask(pixels, width, height, box, samples)
+    if not mask.size:
+        return 0.0
+    left, top, right, bottom = int(np.floor(box[0])), int(np.floor(box[1])), int(np.ceil(box[2])), int(np.ceil(box[3]))
+    ys = top + (np.arange(mask.shape[0]) + 0.5) * (bottom - top) / mask.shape[0]
+    xs = left + (np.arange(mask.shape[1]) + 0.5) * (right - left) / mask.shape[1]
+    inside = within_ring(xs[None, :], ys[:, None], ring)
+    return float(mask[inside].mean()) if inside.any() else 0.0
+
+
 @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def green_centre(pixels: pd.Series, width: pd.Series, height: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.DataFrame:
-    """Middle of the largest patch of green pixels (touching by sides, on a grid of at most 64) of a box; null if it is under three pixels or half a per cent."""
-    out = []
-    for p, w, h, *b in zip(pixels, width, height, x1, y1, x2, y2, strict=True):
-        mask = green_mask(p, int(w), int(h), tuple(b), 64) if p is not None else np.zeros((0, 0), bool)
-        label = np.where(mask, np.arange(mask.size).reshape(mask.shape) + 1, 0)
-        while label.any():  # the largest label of each patch spreads over it
-            padded = np.pad(label, 1)
-            new = np.where(mask, np.max([label, padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]], axis=0), 0)
-            if (new == label).all():
-                break
-            label = new
-        counts = np.bincount(label[label > 0]) if mask.any() else np.zeros(1, int)
-        if counts.max() < max(3, 0.005 * mask.size):
-            out.append((None, None))
-            continue
-        ys, xs = np.nonzero(label == counts.argmax())
-        left, top, right, bottom = max(0, b[0]), max(0, b[1]), min(w, b[2]), min(h, b[3])
-        out.append((left + (xs.mean() + 0.5) * (right - left) / mask.shape[1], top + (ys.mean() + 0.5) * (bottom - top) / mask.shape[0]))
-    return pd.DataFrame(out, columns=["x", "y"], dtype="float64")
+    """patch_centre of each row; null for a null image."""
+    found = [patch_centre(p, int(w), int(h), tuple(b)) if p is not None else None for p, w, h, *b in zip(pixels, width, height, x1, y1, x2, y2, strict=True)]
+    return pd.DataFrame([c or (None, None) for c in found], columns=["x", "y"], dtype="float64")
 
 
 def green_threshold(median):
