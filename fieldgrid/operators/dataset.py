@@ -79,14 +79,35 @@ def create_versions(requests: DataFrame, versions: DataFrame, labels: DataFrame)
     """New rows of versions for requests (project_id, request_key, requested_at): versions (project_id, request_key, version, snapshot_at, n_labels, n_images).
 
     A request whose key a project's version has, or an earlier request of the same key, makes none; the others are numbered on from the project's last version in
-    the order of their time and key. A version holds the labels (project_id, asset_id, created_at) made up to its request.
+    the order of their time and key. A version holds the labels (project_id, asset_id, created_at) made up to its request (labels_up_to).
     """
     once = requests.groupBy("project_id", "request_key").agg(F.min("requested_at").alias("requested_at")).join(versions.select("project_id", "request_key"), ["project_id", "request_key"], "left_anti")
     last = versions.groupBy("project_id").agg(F.max("version").alias("last"))
     number = F.row_number().over(Window.partitionBy("project_id").orderBy("requested_at", "request_key"))
     made = once.withColumn("n", number).join(last, "project_id", "left").select("project_id", "request_key", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("long").alias("version"), F.col("requested_at").alias("snapshot_at"))
-    held = made.join(labels.select(F.col("project_id").alias("of"), "asset_id", "created_at"), F.expr("project_id = of AND created_at <= snapshot_at")).groupBy("project_id", "version").agg(F.count("*").alias("n_labels"), F.countDistinct("asset_id").alias("n_images"))
-    return made.join(held, ["project_id", "version"], "left").select("project_id", "request_key", "version", "snapshot_at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_labels", "n_images")])
+    return labels_up_to(made, labels, "snapshot_at").select("project_id", "request_key", "version", "snapshot_at", "n_labels", "n_images")
+
+
+def labels_up_to(rows: DataFrame, labels: DataFrame, at: str) -> DataFrame:
+    """rows (project_id, at, others) with the longs n_labels and n_images: the project's labels (project_id, asset_id, created_at) made up to `at`, and their different images.
+
+    Times with their numbers of labels, and of images that have their first label then, are summed up within days, and days are offset by the
+    sums of those before; labels aren't met by rows one by one. A null time of a row counts nothing, of a label isn't counted.
+    """
+    dated = labels.where("created_at IS NOT NULL").select("project_id", "asset_id", F.col("created_at").cast("timestamp").alias("t"))
+    made = dated.groupBy("project_id", "t").agg(F.count("*").alias("l"), F.lit(0).cast("long").alias("i"))
+    first = dated.groupBy("project_id", "asset_id").agg(F.min("t").alias("t")).groupBy("project_id", "t").agg(F.lit(0).cast("long").alias("l"), F.count("*").alias("i"))
+    none = F.lit(0).cast("long")
+    asked = rows.select("project_id", F.col(at).cast("timestamp").alias("t")).dropna().distinct().select("project_id", "t", none.alias("l"), none.alias("i"), F.lit(1).alias("asks"))
+    steps = made.unionByName(first).withColumn("asks", F.lit(0)).unionByName(asked).withColumn("day", F.to_date("t"))
+    so_far = Window.partitionBy("project_id", "day").orderBy("t")  # rows of one time count together
+    within = steps.select("project_id", "day", "t", "asks", F.sum("l").over(so_far).alias("l"), F.sum("i").over(so_far).alias("i")).where("asks = 1")
+    before = Window.partitionBy("project_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = steps.groupBy("project_id", "day").agg(F.sum("l").alias("l"), F.sum("i").alias("i")).select("project_id", "day", F.sum("l").over(before).alias("l0"), F.sum("i").over(before).alias("i0"))
+    total = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    found = within.join(days, ["project_id", "day"]).select("project_id", F.col("t").alias("_t"), total("l", "l0").alias("n_labels"), total("i", "i0").alias("n_images"))
+    met = rows.withColumn("_t", F.col(at).cast("timestamp")).join(found, ["project_id", "_t"], "left").drop("_t")
+    return met.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_labels", "n_images")})
 
 
 def compare_versions(a: DataFrame, b: DataFrame) -> DataFrame:

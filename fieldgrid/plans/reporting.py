@@ -191,19 +191,19 @@ def valid_places(t: Bridge) -> DataFrame:
     return t.detection.agg(F.count_if(valid_coordinate(F.col("lat"), F.col("lon"))).alias("valid"), F.count("*").alias("total"))
 
 
-@query("""WITH base AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM {orders} WHERE o_orderkey % 3 = 0), new AS (SELECT o_orderkey AS id, 'N' AS status FROM {orders} WHERE o_orderkey % 2 = 0)
+@query("""WITH base AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM {orders} WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey AS id, 'N' AS status FROM {orders} WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0)
   SELECT status, count(*) AS n FROM (SELECT * FROM base WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new) GROUP BY status""")
 def upserted(t: Bridge) -> DataFrame:
-    base = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    new = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("N").alias("status"))
+    base = t.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    new = t.orders.where("o_orderkey % 3 = 0 OR o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("N").alias("status"))
     return r.upsert(base, new, ["id"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH base AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM {orders} WHERE o_orderkey % 3 = 0), new AS (SELECT o_orderkey AS id, 'N' AS status FROM {orders} WHERE o_orderkey % 2 = 0)
+@query("""WITH base AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM {orders} WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey AS id, 'N' AS status FROM {orders} WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0)
   SELECT status, count(*) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM base)) GROUP BY status""")
 def inserted_ignoring(t: Bridge) -> DataFrame:
-    base = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    new = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("N").alias("status"))
+    base = t.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    new = t.orders.where("o_orderkey % 3 = 0 OR o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("N").alias("status"))
     return r.insert_ignore(base, new, ["id"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -221,12 +221,12 @@ def annotation_export_page(t: Bridge) -> DataFrame:
     return r.page(a, [F.col("id")], 2, 20).unionByName(r.page(b, [F.col("id")], 2, 20))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_type AS v FROM {part} WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_type END AS v FROM {part} WHERE p_partkey % 4 <> 0)
+@query("""WITH a AS (SELECT p_partkey AS id, p_type AS v FROM {part} WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_type END AS v FROM {part} WHERE p_partkey % 4 <> 0 OR p_partkey % 3 = 0)
   SELECT action, count(*) AS n FROM (SELECT CASE WHEN a.id IS NULL THEN 'CREATE' WHEN b.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action FROM a FULL JOIN b ON a.id = b.id WHERE a.v IS DISTINCT FROM b.v) GROUP BY action""")
 def audit_actions(t: Bridge) -> DataFrame:
     k = F.col("p_partkey")
     a = t.part.where(k % 3 != 0).select(k.alias("id"), F.col("p_type").alias("v"))
-    b = t.part.where(k % 4 != 0).select(k.alias("id"), F.when(k % 5 == 0, "x").otherwise(F.col("p_type")).alias("v"))
+    b = t.part.where((k % 4 != 0) | (k % 3 == 0)).select(k.alias("id"), F.when(k % 5 == 0, "x").otherwise(F.col("p_type")).alias("v"))
     return audit_rows(a, b, "id", "part", "u", "2024-01-01").groupBy("action").agg(F.count("*").alias("n"))
 
 

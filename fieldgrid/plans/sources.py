@@ -238,14 +238,14 @@ def replaced_partitions(t: Bridge) -> DataFrame:
     return t.spark.read.schema("asset_id long, project_id int").parquet(path).groupBy("project_id").agg(F.count("*").alias("n"), F.max("asset_id").alias("last"))
 
 
-@query("""WITH l AS (SELECT asset_id, count(*) AS n FROM {detection} WHERE NOT rejected AND (verified OR user_corrected) GROUP BY asset_id) SELECT count(*) AS files, sum(n)::BIGINT AS lines FROM l""")
+@query("""SELECT asset_id, count(*) AS lines FROM {detection} WHERE NOT rejected AND (verified OR user_corrected) GROUP BY asset_id""")
 def label_files(t: Bridge) -> DataFrame:
+    """A label file for each image that has labels, in the folder of its split; the lines of the files that were written."""
     labels = dataset.boxed_labels(t.detection)
-    lines = dataset.yolo_lines(labels, dataset.class_ids(labels))
     path = scratch(t.spark, "labels")
-    tables.write_label_files(lines.withColumn("asset_id", F.col("asset_id") % 50).groupBy("asset_id").agg(F.array_join(F.collect_list("lines"), "\n\n").alias("lines")), dataset.split(t.spark.range(50).withColumnRenamed("id", "asset_id")), path)
-    back = t.spark.read.option("recursiveFileLookup", "true").text(path)
-    return back.agg((F.count_if(F.col("value") == "") + F.lit(50)).alias("files"), F.count_if(F.col("value") != "").alias("lines"))
+    tables.write_label_files(dataset.yolo_lines(labels, dataset.class_ids(labels)), dataset.split(t.asset.select("asset_id")), path)
+    back = t.spark.read.option("recursiveFileLookup", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"labels/(?:train|val|test)/(\d+)\.txt$", 1).cast("long").alias("asset_id"))
+    return back.groupBy("asset_id").agg(F.count("*").alias("lines"))
 
 
 @query("""WITH k AS (SELECT *, CASE WHEN trim(coalesce(flight_session, '')) <> '' THEN regexp_replace(regexp_replace(lower(trim(flight_session)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') ELSE 'date-' || strftime(flight_date, '%Y-%m-%d') END AS survey_key FROM {asset})
@@ -271,12 +271,11 @@ def streamed_jobs(t: Bridge) -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(table).groupBy("user_id").agg(F.count("*").alias("jobs"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS session_id, o_orderkey AS asset_id FROM {orders} WHERE o_custkey % 2 = 0), l AS (SELECT 'ai' AS source, asset_id, CASE WHEN rejected THEN 'rejected' WHEN verified OR user_corrected THEN 'accepted' ELSE 'pending' END AS status FROM {detection} UNION ALL SELECT 'manual', asset_id, CASE WHEN verified THEN 'accepted' WHEN verified_at IS NOT NULL THEN 'rejected' ELSE 'pending' END FROM {manual})
+@query("""WITH s AS (SELECT o_custkey AS session_id, o_orderkey AS asset_id FROM {orders}), l AS (SELECT 'ai' AS source, asset_id, CASE WHEN rejected THEN 'rejected' WHEN verified OR user_corrected THEN 'accepted' ELSE 'pending' END AS status FROM {detection} UNION ALL SELECT 'manual', asset_id, CASE WHEN verified THEN 'accepted' WHEN verified_at IS NOT NULL THEN 'rejected' ELSE 'pending' END FROM {manual} UNION ALL SELECT 'suggestion', asset_id, lower(status) FROM {pending})
   SELECT session_id, source, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) AS total FROM s JOIN l ON s.asset_id = l.asset_id GROUP BY ALL""")
 def session_summaries(t: Bridge) -> DataFrame:
-    scope = t.orders.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("asset_id"))
-    found = reporting.labels(t.detection, t.manual, t.pending).where("source <> 'suggestion'")
-    return reporting.session_summaries(scope, found)
+    scope = t.orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("asset_id"))
+    return reporting.session_summaries(scope, reporting.labels(t.detection, t.manual, t.pending))
 
 
 @query("""SELECT detection_id AS id, printf('%.3f', x1 / 7.0E0) AS t3, floor(x1 / 2.0E0 + 0.5E0)::BIGINT AS rounded FROM {detection}""")
@@ -306,11 +305,16 @@ def mission_csv(t: Bridge) -> DataFrame:
     return export.mission_lines(rows).select("plan_id", "mission", F.col("value").alias("line"))
 
 
-@query("""WITH v AS (SELECT project_id, asset_id AS version, asset_id AS k, flight_date FROM {asset} WHERE asset_id % 40 = 0), q AS (SELECT DISTINCT project_id, CASE WHEN asset_id % 80 = 0 THEN asset_id ELSE asset_id % 100 END AS k, flight_date AS d FROM {asset} WHERE asset_id % 20 = 0),
-  o AS (SELECT project_id, k, min(d) AS d FROM q WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.project_id = q.project_id AND v.k = q.k) GROUP BY project_id, k), n AS (SELECT o.*, coalesce((SELECT max(version) FROM v WHERE v.project_id = o.project_id), 0) + row_number() OVER (PARTITION BY project_id ORDER BY d, k) AS version FROM o)
-  SELECT n.project_id, n.k AS request_key, n.version, count(l.asset_id) AS n_labels, count(DISTINCT l.asset_id) AS n_images FROM n LEFT JOIN {detection} l ON l.project_id = n.project_id AND l.created_at <= n.d GROUP BY n.project_id, n.k, n.version""")
+_KEY = "CASE WHEN asset_id % 4 = 0 THEN asset_id ELSE asset_id - asset_id % 4 + 1 END"
+
+
+@query(f"""WITH v AS (SELECT project_id, asset_id AS version, asset_id AS k FROM {{asset}} WHERE asset_id % 2 = 0), q AS (SELECT project_id, {_KEY} AS k, flight_date AS d FROM {{asset}}),
+  o AS (SELECT project_id, k, min(d) AS d FROM q WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.project_id = q.project_id AND v.k = q.k) GROUP BY project_id, k), m AS (SELECT project_id, max(version) AS last FROM v GROUP BY project_id),
+  n AS (SELECT o.*, coalesce(last, 0) + row_number() OVER (PARTITION BY project_id ORDER BY d, k) AS version FROM o LEFT JOIN m USING (project_id)), t AS (SELECT DISTINCT project_id, d FROM n), f AS (SELECT project_id, asset_id, min(created_at) AS c FROM {{detection}} GROUP BY ALL),
+  l AS (SELECT t.project_id, d, count(*) AS n FROM t JOIN {{detection}} l ON l.project_id = t.project_id AND l.created_at <= d GROUP BY ALL), i AS (SELECT t.project_id, d, count(*) AS n FROM t JOIN f ON f.project_id = t.project_id AND c <= d GROUP BY ALL)
+  SELECT n.project_id, n.k AS request_key, n.version, coalesce(l.n, 0) AS n_labels, coalesce(i.n, 0) AS n_images FROM n LEFT JOIN l ON l.project_id = n.project_id AND l.d = n.d LEFT JOIN i ON i.project_id = n.project_id AND i.d = n.d""")
 def created_versions(t: Bridge) -> DataFrame:
-    i = F.col("asset_id")
-    versions = t.asset.where(i % 40 == 0).select("project_id", i.alias("request_key"), i.alias("version"))
-    requests = t.asset.where(i % 20 == 0).select("project_id", F.when(i % 80 == 0, i).otherwise(i % 100).alias("request_key"), F.col("flight_date").alias("requested_at"))
+    """Every image asks for a version of its project, half of which are there; keys repeat."""
+    versions = t.asset.where("asset_id % 2 = 0").select("project_id", F.col("asset_id").alias("request_key"), F.col("asset_id").alias("version"))
+    requests = t.asset.select("project_id", F.expr(_KEY).alias("request_key"), F.col("flight_date").alias("requested_at"))
     return dataset.create_versions(requests, versions, t.detection.select("project_id", "asset_id", "created_at")).drop("snapshot_at")

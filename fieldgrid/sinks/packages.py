@@ -27,7 +27,7 @@ def write_texts(df: DataFrame, folder: str) -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = pafs.FileSystem.from_uri(folder)  # an absolute path is a local folder's
         made: set[str] = set()
         for b in batches:
             for name, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .packages import write_texts
+
 
 def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
     """Partitions of a Parquet table by key: those of the rows' keys are replaced, the others stay; writing twice changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def write_label_files(lines: DataFrame, splits: DataFrame, path: str) -> None:
-    """Texts (asset_id, lines) under a folder for each split (asset_id, split) and image."""
-    lines.join(splits.select("asset_id", "split"), "asset_id").select("split", "asset_id", F.col("lines").alias("value")).write.partitionBy("split", "asset_id").text(path)
+def write_label_files(lines: DataFrame, splits: DataFrame, path: str) -> int:
+    """Write labels/<split>/<asset_id>.txt under a folder for each text (asset_id, lines) whose image has a split (asset_id, split); returns the number of files."""
+    name = F.concat_ws("/", F.lit("labels"), "split", F.concat(F.col("asset_id").cast("string"), F.lit(".txt")))
+    return write_texts(lines.join(splits.select("asset_id", "split"), "asset_id").select(name.alias("name"), F.concat("lines", F.lit("\n")).alias("value")), path)
 
 
 def data_yaml(classes: DataFrame) -> DataFrame:

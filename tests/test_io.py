@@ -83,7 +83,7 @@ def test_tables(spark, tmp_path):
         tables.replace_by_key(spark.createDataFrame([(2, "c"), (2, "d")], "run long, v string"), path, "run")
     assert sorted((r.run, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (2, "d")]
     tables.write_label_files(spark.createDataFrame([(7, "0 1 2 3 4\n1 1 1 1 1")], "asset_id long, lines string"), spark.createDataFrame([(7, "val")], "asset_id long, split string"), str(tmp_path / "l"))
-    assert next((tmp_path / "l").rglob("split=val/asset_id=7/part*")).read_text() == "0 1 2 3 4\n1 1 1 1 1\n"
+    assert (tmp_path / "l" / "labels" / "val" / "7.txt").read_text() == "0 1 2 3 4\n1 1 1 1 1\n"
     assert tables.data_yaml(spark.createDataFrame([(1, "b"), (0, "a")], "class_id int, class string")).first().value.endswith("names:\n  0: a\n  1: b")
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string"), spark.createDataFrame([(2, "z"), (3, "w")], "id int, v string")
     assert {r.entity_id: r.action for r in tables.audit_rows(a, b, "id", "E", "u", "2024-01-01").collect()} == {"1": "DELETE", "2": "UPDATE", "3": "CREATE"}
