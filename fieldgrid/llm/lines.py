@@ -23,6 +23,8 @@ from .common import written
 
 #: Characters from which near lines count, pieces of a line and their most characters, and lines of a key from which pairs give way to groups.
 MIN_CHARS, PIECES, PIECE, CROWD = 20, 24, 64, 12
+#: Pieces of a long line whose hashes are chained at a time.
+BLOCK = 256
 #: Candidates up to which their keys are broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -146,8 +148,15 @@ def _pieces(lines: DataFrame) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), one)
 
     def chain(parts: Column) -> Column:
-        """Hashes of the first 0, 1, 2, ... parts."""
-        return F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), x))))
+        """Hashes of the first 0, 1, 2, ... parts, in blocks: an array grows by copies, so only short ones do."""
+        zero = F.lit(0).cast("long")
+
+        def block(s: Column, b: Column) -> Column:
+            grown = F.aggregate(F.slice(parts, b * BLOCK + 1, BLOCK), F.array(s.last), lambda a, x: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), x))))
+            return _let(grown, lambda a: F.struct(F.element_at(a, -1).alias("last"), F.concat(s.out, F.array(F.slice(a, 2, BLOCK))).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(parts) / BLOCK).cast("int") - 1)
+        return F.flatten(F.aggregate(blocks, F.struct(zero.alias("last"), F.array(F.array(zero)).alias("out")), block).out)
 
     def long(size: Column, role: int) -> Column:
         n = size + role
@@ -226,6 +235,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ck, ct = f"c{docs.columns.index(key)}", f"c{docs.columns.index(text)}"
     own = docs.select(*columns).withColumn("own_r", F.xxhash64(ct))
     joined = own.join(gone, F.expr(f"{ck} <=> gone_k AND own_r = gone_r"), "left")
-    kept = F.array_join(F.filter(F.split(ct, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # The places that stay are a difference of sets, so a text of very many lines takes time in proportion to them.
+    kept = _let(F.split(ct, "\n"), lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "gone"), lambda i: F.get(own, i)), "\n"))
     joined = joined.withColumn(ct, F.when(F.col("gone").isNull(), F.col(ct)).otherwise(kept))
     return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -125,3 +126,15 @@ def test_very_long_lines_that_differ_in_one_piece(spark):
     rows = [(i, base[:1000] + f"{i:06d}" + base[1006:]) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.k for r in lines.duplicates(df).collect()) == [i for i in range(20) if i % 10 or i == 10]
+
+
+def test_very_many_lines_and_very_long_ones_take_seconds(spark):
+    """A text of 200,000 short lines, half of them repeated, and lines of a million characters that differ in one."""
+    log = [f"entry {i % 100_000}" for i in range(200_000)]
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    docs = spark.createDataFrame([(1, "\n".join(log)), (2, long), (3, long[:600_000] + "z" + long[600_001:])], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert time.monotonic() - began < 150
+    assert got == {1: "\n".join(log[:100_000]), 2: long, 3: ""}
