@@ -15,11 +15,10 @@ def numbered(df: DataFrame, *order: str | Column, out: str = "n", start: int = 0
     tagged = df.withColumn("_at", F.monotonically_increasing_id())
     keys = (*order, "_at")
     dealt = tagged.repartitionByRange(ranges, *keys) if ranges else tagged.repartitionByRange(*keys)
-    # What decides the order is kept, since columns of it may be expressions.
-    ranged = written(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_key", F.struct(*(F.col(o) if isinstance(o, str) else o for o in keys))), "ranges")
+    ranged = written(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
     found = ranged.withColumn("_place", place).join(bases, "_range")
-    return found.withColumn(out, F.col("_base") + F.col("_place") + (start - 1)).drop("_at", "_range", "_key", "_base", "_place")
+    return found.withColumn(out, F.col("_base") + F.col("_place") + (start - 1)).drop("_at", "_range", "_base", "_place")

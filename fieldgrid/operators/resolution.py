@@ -101,13 +101,14 @@ def representatives(detections: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def leader_counts(detections: DataFrame, metres: float) -> DataFrame:
-    """Rows (id, leader) of detections (id, lat, lon, created_at), latest first: each joins the first cluster whose running mean is within so many metres.
+    """Rows (id, leader) of detections (id, lat, lon, created_at), latest first: each joins the first cluster whose running mean is within so many metres. Rows of one id are one detection.
 
     A newcomer is less than twice the distance from a cluster's latest member, so components of that graph don't interact. No distance: each
     alone; places that are null or no numbers don't count.
     """
+    one = _located(detections).groupBy("id").agg(F.min(F.struct("lat", "lon", "created_at")).alias("r")).select("id", "r.*")
     if not metres or metres <= 0:
-        return _located(detections).select("id", F.col("id").alias("leader"))
+        return one.select("id", F.col("id").alias("leader"))
 
     def kernel(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["created_at", "id"], ascending=[False, True], kind="stable")
@@ -127,7 +128,7 @@ def leader_counts(detections: DataFrame, metres: float) -> DataFrame:
             of[i] = opened[k]
         return pd.DataFrame({"id": f["id"], "leader": f["id"].to_numpy()[of]})
 
-    found = _located(detections)
+    found = written(one, "placed")
     near = clusters(found, 2.02 * metres, (), radius=RADIUS_COUNTING)
     sizes = near.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     kind = found.schema["id"].dataType.simpleString()

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict, namedtuple
 import numpy as np
 import pytest
 
-from fieldgrid.operators import planning, temporal
+from fieldgrid.operators import planning, resolution, temporal
 from fieldgrid.plans import analytics, quality
 from fieldgrid.sources.bridge import Bridge
 
@@ -107,15 +107,18 @@ def one_of_each(rows):
 
 
 def duplicate_leaders(rows, reach=1.8):
-    """Seeds in order; each takes what is near all its members and of another image."""
+    """Seeds in order; each takes what is near all its members and of another image. Only rows of nearly a seed's latitude are measured."""
     rows = sorted(rows, key=lambda r: (-(r[3] or 0.0), r[6], r[0]))
     at = np.array([(r[4], r[5]) for r in rows])
+    north = np.argsort(at[:, 0], kind="stable")
+    lats = at[north, 0]
     leader, left = {}, set(range(len(rows)))
     for i, seed in enumerate(rows):
         if i not in left:
             continue
         members = [i]
-        for j in np.flatnonzero(far(at[i], at) <= reach).tolist():
+        near = np.sort(north[slice(*np.searchsorted(lats, [at[i, 0] - reach / 100_000, at[i, 0] + reach / 100_000]))])
+        for j in near[far(at[i], at[near]) <= reach].tolist():
             r = rows[j]
             if j in left and j != i and r[2] == seed[2] and all(rows[m][1] != r[1] for m in members) and (far(at[j], at[members]) <= reach).all():
                 members.append(j)
@@ -124,33 +127,74 @@ def duplicate_leaders(rows, reach=1.8):
     return leader
 
 
-def test_deduplicated_detections_and_biases(t, good):
+@pytest.fixture(scope="module")
+def larger(spark):
+    """Tables that have groups of duplicates, their good rows, and the leader of each of their ids."""
+    t = Bridge(spark, "/root/testdata/sf0.01")
+    good = reviewed(t)
     columns = ("detection_id", "asset_id", "class_name", "confidence", "lat", "lon", "created_at")
-    rows = one_of_each([tuple(r[c] for c in columns) for r in good])
-    leader = duplicate_leaders(rows)
-    sizes = Counter(leader.values())
-    got = Counter(r.id for r in analytics.deduplicated_detections(t).collect())
-    assert set(got) == set(sizes) and max(sizes.values()) > 1
-    members = {r.id: r.members for r in analytics.deduplicated_detections(t).collect()}
-    repeated = {k for k, n in Counter(r.detection_id for r in good).items() if n > 1}
-    clean = {k for k in sizes if not any(v == k and i in repeated for i, v in leader.items())}
-    assert all(members[k] == sizes[k] for k in clean)
-    assert analytics.image_biases(t).count() > 0
+    return t, good, duplicate_leaders(one_of_each([tuple(r[c] for c in columns) for r in good]))
+
+
+def test_deduplicated_detections(larger):
+    t, good, leader = larger
+    members = Counter(leader[r.detection_id] for r in good)
+    got = analytics.deduplicated_detections(t).collect()
+    found = {r.id: r.members for r in got}
+    assert found == members and sum(n > 1 for n in Counter(leader.values()).values()) > 5
+    places = defaultdict(list)
+    for r in good:
+        places[leader[r.detection_id]].append((max(r.confidence, 0.05), r.lat, r.lon))
+    for r in got:
+        w = sum(p[0] for p in places[r.id])
+        assert math.isclose(r.lat, sum(p[0] * p[1] for p in places[r.id]) / w, rel_tol=1e-12) and math.isclose(r.lon, sum(p[0] * p[2] for p in places[r.id]) / w, rel_tol=1e-12)
+
+
+def biases(rows, leader, least_points, least_anchors, most=1.6, metres=111_111.0):
+    """Shifts (lat, lon) of images: rows are (id, image, confidence, lat, lon)."""
+    groups, images = defaultdict(list), defaultdict(list)
+    for r in rows:
+        groups[leader[r[0]]].append(r)
+        images[r[1]].append(r)
+    mean = {k: [sum(max(r[2], 0.05) * r[i] for r in g) / sum(max(r[2], 0.05) for r in g) for i in (3, 4)] for k, g in groups.items() if len(g) > 1}
+    own = {}
+    for image, found in images.items():
+        tied = [(max(r[2], 0.05), (mean[leader[r[0]]][0] - r[3]) * metres, (mean[leader[r[0]]][1] - r[4]) * metres * math.cos(math.radians(r[3])), r[3]) for r in found if leader[r[0]] in mean]
+        if len(found) >= least_points and len(tied) >= least_anchors:
+            w = sum(x[0] for x in tied)
+            own[image] = [sum(x[0] * x[1] for x in tied) / w, sum(x[0] * x[2] for x in tied) / w, len(tied), sum(x[3] for x in tied) / len(tied)]
+    total = sum(o[2] for o in own.values())
+    g = [sum(o[i] * o[2] for o in own.values()) / total for i in (0, 1)] if own else []
+    out = {}
+    for image, (dy, dx, _, lat) in own.items():
+        dy, dx = dy - g[0], dx - g[1]
+        fit = min(1.0, most / max(math.hypot(dx, dy), 1e-12))
+        out[image] = dy * fit / metres, dx * fit / (metres * math.cos(math.radians(lat)))
+    return out
+
+
+def test_image_biases(larger):
+    t, good, leader = larger
+    rows = [(r.detection_id, r.asset_id, r.confidence, r.lat, r.lon) for r in good]
+    found = analytics._good(t).withColumnRenamed("detection_id", "id").select("id", "asset_id", "class_name", "confidence", "lat", "lon", "created_at")
+    want = biases(rows, leader, 1, 1)
+    got = {r.asset_id: (r.shift_lat, r.shift_lon) for r in resolution.image_bias(found, least_points=1, least_anchors=1).collect()}
+    assert set(got) == set(want) and len(want) > 10
+    assert all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert {r.asset_id for r in analytics.image_biases(t).collect()} == set(biases(rows, leader, 4, 3))
 
 
 def test_counted_objects(t, good):
-    means, sizes = [], Counter()
-    for r in sorted(good, key=lambda r: (-r.created_at.toordinal(), r.detection_id)):
-        near = np.flatnonzero(far((r.lat, r.lon), [m[:2] for m in means], 6_371_008.8) <= 2.0) if means else []
+    means, leader = [], Counter()
+    for i, lat, lon, _ in sorted(one_of_each([(r.detection_id, r.lat, r.lon, r.created_at) for r in good]), key=lambda r: (-r[3].toordinal(), r[0])):
+        near = np.flatnonzero(far((lat, lon), [m[:2] for m in means], 6_371_008.8) <= 2.0) if means else []
         if len(near):
             m = means[near[0]]
-            m[0], m[1], m[2] = (m[0] * m[2] + r.lat) / (m[2] + 1), (m[1] * m[2] + r.lon) / (m[2] + 1), m[2] + 1
+            m[0], m[1], m[2] = (m[0] * m[2] + lat) / (m[2] + 1), (m[1] * m[2] + lon) / (m[2] + 1), m[2] + 1
         else:
-            means.append(m := [r.lat, r.lon, 1])
-        sizes[id(m)] += 1
-    got = analytics.counted_objects(t).collect()
-    repeated = len(good) - len({r.detection_id for r in good})
-    assert abs(len(got) - len(means)) <= repeated and sum(r.n for r in got) >= len(good)
+            means.append(m := [lat, lon, 1, i])
+        leader[m[3]] += 1
+    assert {r.leader: r.n for r in analytics.counted_objects(t).collect()} == leader and max(leader.values()) > 1
 
 
 def hull_area(points):
