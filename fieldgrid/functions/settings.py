@@ -111,3 +111,85 @@ BOUNDS = {
     "dose_per_ha": (0.01, 50), "lookahead_hours": (6, 72), "wind": (2, 25), "gust": (3, 35), "precip": (0, 100), "low_temp": (-10, 35), "high_temp": (5, 50), "turnaround_min": (0, 120), "start_lat": (-90, 90), "start_lon": (-180, 180),
 }
 WHOLE = ("least_detections", "zones_per_mission", "lookahead_hours")
+
+
+def source_flags(json: Column, names: tuple[str, ...] = ("includeAIDetections", "includeManualAnnotations", "includeSAM3")) -> Column:
+    """Struct of booleans by name from a JSON object's text: which sources a training set takes. Anything but a JSON boolean counts as true."""
+    read = F.from_json(json, ", ".join(f"`{n}` boolean" for n in names))
+    return F.struct(*(F.coalesce(read[n], F.lit(True)).alias(n) for n in names))
+
+
+def one_image_alone(ids: Column) -> Column:
+    """Whether an array names exactly one image, which is all that the old kind of run may take."""
+    return F.coalesce(F.size(ids) == 1, F.lit(False))
+
+
+def any_contains(texts: list[Column], parts: list[str]) -> Column:
+    """Whether any of the texts holds any of the parts, as written; null texts hold none."""
+    hit = F.lit(False)
+    for t in texts:
+        for p in parts:
+            hit = hit | F.coalesce(F.contains(t, F.lit(p)), F.lit(False))
+    return hit
+
+
+def readiness(configured: Column, gpu: Column, ready: Column, loaded: Column, concept: Column, queue: Column, training: Column, fallback: Column, models: Column) -> Column:
+    """Struct of what services allow: matcher (configured, with a GPU, and its model loaded or its concept service ready), labelling (matcher and queue), training, and fallback (configured, with a model). Nulls count as false."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    matcher = yes(configured) & yes(gpu) & ((yes(ready) & yes(loaded)) | yes(concept))
+    return F.struct(matcher.alias("matcher"), (matcher & yes(queue)).alias("labelling"), yes(training).alias("training"), (yes(fallback) & (F.coalesce(models, F.lit(0)) > 0)).alias("fallback"))
+
+
+def fitted_size(width: Column, height: Column, most: int = 2048) -> Column:
+    """Struct (width, height, scale) of an image whose longer side is at most so many pixels; smaller ones stay, with a scale of 1. Sides are rounded down."""
+    longer = F.greatest(width, height)
+    scale = F.when(longer > most, most / longer).otherwise(1.0)
+    side = lambda x: F.when(longer > most, F.floor(x * (most / longer)).cast("int")).otherwise(x.cast("int"))
+    return F.struct(side(width).alias("width"), side(height).alias("height"), scale.alias("scale"))
+
+
+def _json_number(read: Column, *names: str) -> Column:
+    """The first name that is there: its finite number, given as a number or as text; null for other values."""
+    first = F.coalesce(*(read[n] for n in names))
+    x = F.trim(first).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+#: Names of a training run's augmentation, the later ones as other tools write them.
+AUGMENTATION = {"flip": ("horizontalFlip", "horizontal_flip"), "flop": ("verticalFlip", "vertical_flip"), "turn": ("rotation", "rotation_degrees", "degrees"), "bright": ("brightness", "brightness_pct"), "rich": ("saturation", "saturation_pct"), "copies": ("copiesPerImage", "copies_per_image")}
+
+
+def augmentation(preset: Column, json: Column) -> Column:
+    """A training run's augmentation, from a preset's name and a JSON object's text: a struct whose fields are null where nothing is said.
+
+    Flips become probabilities of a half (fliplr, flipud), degrees are 0 to 180 and only said when positive, brightness and saturation are 0 to 100 per cent
+    (hsv_v and hsv_s from 0 to 1 say them too), copies are whole and 1 to 10. The preset none, and blank ones, are none.
+    """
+    names = {n for group in AUGMENTATION.values() for n in group} | {"hsv_v", "hsv_s", "blur", "shadow"}
+    read = F.from_json(json, "map<string, string>")
+    get = {n: F.element_at(read, n) for n in names}
+    fit = lambda x, low, high: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+
+    typed = F.from_json(json, ", ".join(f"`{n}` boolean" for n in (*AUGMENTATION["flip"], *AUGMENTATION["flop"], "blur", "shadow")))
+
+    def flag(first: str, *others: str) -> Column:
+        """The first name that is there, if it is a JSON boolean; texts are none."""
+        return F.when(get[first].isNotNull(), typed[first]).otherwise(flag(*others)) if others else typed[first]
+
+    def number(*keys: str) -> Column:
+        return _json_number(get, *keys)
+
+    def share(said: tuple[str, ...], hsv: str) -> Column:
+        own = number(*said)
+        return F.when(own.isNotNull(), fit(own, 0, 100)).otherwise(fit(number(hsv) * 100, 0, 100))
+
+    half = lambda c: F.when(c, 0.5).when(~c, 0.0)
+    flip, flop, turn = flag(*AUGMENTATION["flip"]), flag(*AUGMENTATION["flop"]), number(*AUGMENTATION["turn"])
+    bright, rich = share(AUGMENTATION["bright"], "hsv_v"), share(AUGMENTATION["rich"], "hsv_s")
+    copies = fit(F.floor(number(*AUGMENTATION["copies"]) + 0.5), 1, 10)
+    held = lambda source, value: F.when(source.isNotNull(), value)
+    return F.struct(
+        F.when((F.trim(preset) != "") & (preset != "none"), preset).alias("preset"), flip.alias("horizontal_flip"), half(flip).alias("fliplr"), flop.alias("vertical_flip"), half(flop).alias("flipud"), F.when(turn > 0, fit(turn, 0, 180)).alias("degrees"),
+        held(F.coalesce(number(*AUGMENTATION["bright"]), number("hsv_v")), bright).alias("brightness_pct"), held(F.coalesce(number(*AUGMENTATION["rich"]), number("hsv_s")), rich).alias("saturation_pct"),
+        flag("blur").alias("blur"), flag("shadow").alias("shadow"), held(number(*AUGMENTATION["copies"]), copies).cast("int").alias("copies_per_image"),
+    )

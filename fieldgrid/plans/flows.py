@@ -18,7 +18,7 @@ def _plan(t: Bridge) -> change_plan.ChangePlan:
     ring = lambda d: F.array(*[F.struct((F.col("center_lon") + x * d).alias("x"), (F.col("center_lat") + y * d).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))])
     layers = t.project.select("project_id", F.lit("allowed").alias("kind"), F.lit(0.0).alias("buffer_m"), ring(0.0038).alias("ring")).unionByName(t.project.select("project_id", F.lit("exclusion").alias("kind"), F.lit(10.0).alias("buffer_m"), ring(0.001).alias("ring")))
     starts = t.project.select("project_id", F.col("center_lat").alias("start_lat"), F.col("center_lon").alias("start_lon"))
-    doses = t.part.select(F.col("p_type").alias("species")).distinct().where("species LIKE '%STEEL'").withColumn("dose", F.lit(12.5))
+    doses = t.part.select(F.col("p_type").alias("species")).distinct().where("species = 'ECONOMY'").withColumn("dose", F.lit(12.5))
     return change_plan.plan_of_changes(scored, layers, starts, t.forecast.select(F.col("ts").alias("launch")), t.forecast, doses)
 
 

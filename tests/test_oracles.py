@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fieldgrid.plans import analytics, exchange, flows, imagery, quality, rasters, registry, reporting, shapes, sources  # noqa: F401
+from fieldgrid.plans import analytics, exchange, flows, imagery, options, quality, rasters, registry, reporting, shapes, sources  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 
