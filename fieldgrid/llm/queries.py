@@ -227,9 +227,33 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), 16).withColumn("law", F.lit("key"))
 
 
+def _op13_sql() -> str:
+    """The jumps as a recursion in 128-bit integers, and CRC-32 byte by byte with its table."""
+
+    def entry(i: int) -> int:
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        return i
+
+    table = f"[{', '.join(str(entry(i)) for i in range(256))}]::BIGINT[]"
+    return f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+sized AS (SELECT r, doc_id, text, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM docs),
+coded AS (SELECT r, doc_id, text, n, list_transform(range(0, n), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS b FROM sized),
+summed AS (SELECT r, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, ({table})[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM coded),
+jumps(r, n, state, b, j) AS (
+  SELECT r, n, ('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT::HUGEINT, -1::BIGINT, 0::BIGINT FROM docs, (VALUES (16), (17)) s(n)
+  UNION ALL SELECT r, n, (state * {sharding.MULTIPLIER} + 1) % 18446744073709551616, j,
+    trunc((j + 1) * (2147483648.0::DOUBLE / (((state * {sharding.MULTIPLIER} + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT FROM jumps WHERE j < n),
+placed AS (SELECT r, max(b) FILTER (WHERE n = 16) AS shard, max(b) FILTER (WHERE n = 17) AS grown FROM jumps GROUP BY r)
+SELECT doc_id, (n + 1)::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM sized JOIN summed USING (r) JOIN placed USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_katz, op3_line_dedup, op4_decontamination, op5_token_files, op6_language, op7_licenses, op8_simhash, op9_warc, op10_neighbours, op11_audit, op12_infill, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_licenses": _op7_sql(), "op11_audit": OP11_SQL, "op12_infill": OP12_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_licenses": _op7_sql(), "op11_audit": OP11_SQL, "op12_infill": OP12_SQL, "op13_sharding": _op13_sql()}
