@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import georef, metadata
+from ..functions import georef, metadata, pixels
 from ..operators import geometry, masks, terrain, vegetation
 from ..sinks.images import write_image_heads
 from ..sources.bridge import Bridge
@@ -105,6 +105,31 @@ def gated_candidates(t: Bridge) -> DataFrame:
     return vegetation.gate_candidates(_candidates(t), _pictures(t), 0.08).select("asset_id", "id", F.round("green", 9).alias("green"))
 
 
+_SHARES = f"""d AS (SELECT asset_id, detection_id AS id, (x1 + x2) // 100 AS x, (y1 + y2) // 100 AS y, row_number() OVER () AS r FROM {{detection}}),
+  g AS (SELECT DISTINCT asset_id, gx, gy FROM (SELECT asset_id, gx, unnest(range(greatest(0, y - 2), least({SMALL_H}, y + 2))) AS gy FROM (SELECT *, unnest(range(greatest(0, x - 2), least({SMALL_W}, x + 2))) AS gx FROM d))),
+  c AS (SELECT r, asset_id, id, greatest(0, x + id % 5 - 2 + CASE WHEN id % 3 = 0 THEN 9 ELSE 0 END - 6) AS l, least({SMALL_W}, x + id % 5 - 2 + CASE WHEN id % 3 = 0 THEN 9 ELSE 0 END + 6) AS e, greatest(0, y - id % 4 - 6) AS t, least({SMALL_H}, y - id % 4 + 6) AS u FROM d),
+  f AS (SELECT r, any_value(c.asset_id) AS asset_id, any_value(id) AS id, CASE WHEN any_value(e > l AND u > t) THEN count(gx) / any_value(((e - l) * (u - t))::DOUBLE) END AS green FROM c LEFT JOIN g ON c.asset_id = g.asset_id AND gx >= l AND gx < e AND gy >= t AND gy < u GROUP BY r)"""
+
+
+def _shares(t: Bridge) -> DataFrame:
+    """The green share of each candidate's box in its small picture."""
+    four = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    met = _candidates(t).join(_pictures(t).hint("merge"), "asset_id")  # pixels aren't broadcast
+    return met.select("asset_id", "id", pixels.green_fraction(F.col("pixels"), F.col("width"), F.col("height"), *four).alias("green"))
+
+
+@query(f"""WITH {_SHARES} SELECT asset_id, id, round(green, 9) AS green FROM f""")
+def green_fractions(t: Bridge) -> DataFrame:
+    return _shares(t).select("asset_id", "id", F.round("green", 9).alias("green"))
+
+
+@query(f"""WITH {_SHARES}, m AS (SELECT asset_id, quantile_cont(green, 0.5) AS m FROM f GROUP BY asset_id) SELECT asset_id, CASE WHEN m >= 0.05E0 THEN round(greatest(0.05E0, least(0.4E0, 0.5E0 * m)), 9) END AS threshold FROM m""")
+def green_thresholds(t: Bridge) -> DataFrame:
+    """The gate of each image, from the median green share of its boxes."""
+    medians = _shares(t).groupBy("asset_id").agg(F.percentile("green", F.lit(0.5)).alias("m"))
+    return medians.select("asset_id", F.round(pixels.green_threshold(F.col("m")), 9).alias("threshold"))
+
+
 @query()
 def recentred_candidates(t: Bridge) -> DataFrame:
     return vegetation.gate_candidates(_candidates(t), _pictures(t), 0.08)

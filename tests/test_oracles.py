@@ -8,16 +8,21 @@ import pytest
 
 from fieldgrid.plans import analytics, exchange, flows, imagery, options, quality, rasters, registry, reporting, shapes, sources  # noqa: F401
 
-SF = "/root/testdata/sf0.01"
+SF, SMALLER = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+#: Queries that draw pictures or write many files: the smaller tables have enough of each case.
+HEAVY = {"mask_shapes", "gated_candidates", "green_fractions", "green_thresholds", "footprint_rings", "terrain_places", "ingested_images", "label_files", "evidence_bundles", "streamed_results", "streamed_parents", "coco_images", "coco_annotations"}
 
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
-    c.execute("SET TimeZone = 'UTC'")
-    for t in os.listdir(SF):
-        c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
-    return c
+    def connect(folder):
+        c = duckdb.connect()
+        c.execute("SET TimeZone = 'UTC'")
+        for t in os.listdir(folder):
+            c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{t}'")
+        return c
+
+    return {folder: connect(folder) for folder in (SF, SMALLER)}
 
 
 def same(a, b):
@@ -26,9 +31,10 @@ def same(a, b):
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    want = con.sql(registry.ORACLES[name])
+    folder = SMALLER if name in HEAVY else SF
+    want = con[folder].sql(registry.ORACLES[name])
     columns = sorted(want.columns)
-    got = registry.QUERIES[name](spark, SF)
+    got = registry.QUERIES[name](spark, folder)
     assert sorted(got.columns) == columns
     key = lambda r: tuple((x is None, str(x)) for x in r)
     a = sorted(map(tuple, got.select(*columns).collect()), key=key)
@@ -40,7 +46,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
-    registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    registry.QUERIES[name](spark, SMALLER).collect()
 
 
 def test_whole_tables_are_covered(spark):
