@@ -5,18 +5,19 @@ import pytest
 
 from fieldgrid.llm import queries
 
-SF = "/root/testdata/sf0.01"
+SF, SMALLER = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
+    folder = SMALLER if name == "op13_sharding" else SF  # its SQL reckons checksums byte by byte
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in os.listdir(SF):
-        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
+    for t in os.listdir(folder):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{t}'")
     want = con.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)
-    got = queries.queries()[name](spark, SF)
+    got = queries.queries()[name](spark, folder)
     assert sorted(got.columns) == columns
     key = lambda r: tuple(map(str, r))
     a = sorted(map(tuple, got.select(*columns).collect()), key=key)
