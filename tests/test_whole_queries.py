@@ -283,3 +283,16 @@ def test_treatment_missions(t):
                 gains = [length - tour([*range(1, i), *range(k, i - 1, -1), *range(k + 1, len(places))], places, plan.return_to_start) for i in range(1, len(mission)) for k in range(i + 1, len(mission) + 1)]
                 assert max(gains) <= 0.1 + 1e-6
     assert sum(len(v) for v in got.values()) == sum(map(len, zones.values()))
+
+
+def test_covered_places_anywhere_on_the_globe(spark):
+    rng = np.random.default_rng(1)
+    signals, images = [], []
+    for k, (lat, lon) in enumerate([(-27, 153), (0, 179.9999), (89.9995, 10), (-89.9999, -170), (60, 5)]):
+        at = lambda lat=lat, lon=lon: (float(np.clip(lat + rng.normal() * 0.0015, -90, 90)), float((lon + rng.normal() * 0.0015 / max(math.cos(math.radians(lat)), 0.01) + 180) % 360 - 180))
+        signals += [(k * 1000 + i, *at()) for i in range(200)]
+        images += [(len(images) + i, *at(), float(rng.integers(5, 90)), 84.0) for i in range(40)]
+    reach = np.clip(np.array([r[3] for r in images]) * math.tan(math.radians(42)), 12, 80)
+    want = {i for i, lat, lon in signals if (far((lat, lon), [r[1:3] for r in images]) <= reach).any()}
+    found = temporal.covered(spark.createDataFrame([*signals, (99_999, None, 1.0)], "id long, lat double, lon double"), spark.createDataFrame([*images, (-1, None, None, 1.0, 84.0)], "asset_id long, gps_lat double, gps_lon double, altitude double, camera_fov double"))
+    assert sorted(r.id for r in found.collect()) == sorted(want) and 300 < len(want) < 990
