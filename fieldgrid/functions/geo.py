@@ -26,6 +26,26 @@ def valid_coordinate(lat: Column, lon: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+def valid_altitude(metres: Column) -> Column:
+    """Finite and from -500 to 50,000; an altitude may be missing."""
+    return metres.isNull() | (metres.between(-500, 50_000) & ~F.isnan(metres))
+
+
+def coordinate_problem(lat: Column, lon: Column, context: str = "computed") -> Column:
+    """Why a place is none, as text: not finite (or null), latitude, then longitude out of range; null for a good place."""
+    told = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    finite = lambda c: F.coalesce((F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False))
+    invalid = F.concat(F.lit(f"[SAFETY] {context} coordinates are invalid: lat="), told(lat), F.lit(", lon="), told(lon), F.lit(". This may indicate extreme gimbal angles or invalid altitude values."))
+    outside = lambda name, c, most: F.concat(F.lit(f"[SAFETY] {context} {name} out of range: "), told(c), F.lit(f". Valid range is -{most} to {most}."))
+    return F.when(~finite(lat) | ~finite(lon), invalid).when(~lat.between(-90, 90), outside("latitude", lat, 90)).when(~lon.between(-180, 180), outside("longitude", lon, 180))
+
+
+def asserted_place(lat: Column, lon: Column, context: str = "computed") -> Column:
+    """Struct (lat, lon); a place that is none stops the query with its problem."""
+    problem = coordinate_problem(lat, lon, context)
+    return F.when(problem.isNull(), F.struct(lat.alias("lat"), lon.alias("lon"))).otherwise(F.raise_error(problem).cast("struct<lat: double, lon: double>"))
+
+
 def local_metres(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
     """East and north of an origin, equirectangular."""
     return (lon - lon0) * METRES_PLANNING * F.cos(F.radians(lat0)), (lat - lat0) * METRES_PLANNING

@@ -146,6 +146,27 @@ def geo_quality(gps: Column, dimensions: Column, altitude: Column, gimbal: Colum
     return F.struct(grade.alias("quality"), F.when(gps, listed).otherwise(F.array(F.lit("gps"))).alias("missing"))
 
 
+#: Keys of an image's metadata that tell of calibration, laser and lens.
+PRECISION_KEYS = {
+    "focal": ("CalibratedFocalLength", "drone-dji:CalibratedFocalLength"), "cx": ("CalibratedOpticalCenterX", "drone-dji:CalibratedOpticalCenterX"), "cy": ("CalibratedOpticalCenterY", "drone-dji:CalibratedOpticalCenterY"),
+    "distance": ("LRFTargetDistance", "drone-dji:LRFTargetDistance"), "lat": ("LRFTargetLat", "drone-dji:LRFTargetLat"), "lon": ("LRFTargetLon", "drone-dji:LRFTargetLon"), "dewarp": ("DewarpData", "drone-dji:DewarpData"), "fov": ("FieldOfView", "drone-dji:FieldOfView", "FOV", "CameraFOV"),
+}
+
+
+def precision_status(metadata: Column) -> Column:
+    """Struct of what a map of strings says of an image: has_calibration (focal length and centre), has_laser (a positive distance and a place), has_dewarp, and focal, cx, cy and fov, null where no number is there."""
+    found = {name: metadata_number(metadata, *keys) for name, keys in PRECISION_KEYS.items() if name != "dewarp"}
+    known = lambda *names: F.lit(True) if not names else found[names[0]].isNotNull() & known(*names[1:])
+    dewarp = F.coalesce(*[F.when(F.trim(F.element_at(metadata, k)) != "", F.lit(True)) for k in PRECISION_KEYS["dewarp"]], F.lit(False))
+    laser = F.coalesce(found["distance"] > 0, F.lit(False)) & known("lat", "lon")
+    return F.struct(known("focal", "cx", "cy").alias("has_calibration"), laser.alias("has_laser"), dewarp.alias("has_dewarp"), *[found[k].alias(k) for k in ("focal", "cx", "cy", "fov")])
+
+
+def place_shift(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
+    """How far two ways of placing a pixel lie apart, in metres of a flat degree; null where one has no place."""
+    return F.hypot(lat - other_lat, lon - other_lon) * METRES_PROJECTION
+
+
 def metadata_number(metadata: Column, *keys: str) -> Column:
     """The first key of a map of strings whose value is a number."""
     return F.coalesce(*[F.element_at(metadata, k).try_cast("double") for k in keys])

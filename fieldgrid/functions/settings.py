@@ -113,6 +113,38 @@ BOUNDS = {
 WHOLE = ("least_detections", "zones_per_mission", "lookahead_hours")
 
 
+#: The keys of a plan's JSON.
+PLAN_KEYS = {
+    "min_confidence": "minConfidence", "zone_radius_m": "zoneRadiusMeters", "least_detections": "minDetectionsPerZone", "zones_per_mission": "maxZonesPerMission", "area_ha": "maxAreaHaPerMission", "litres": "maxTankLiters", "cruise_mps": "droneCruiseSpeedMps",
+    "spray_ha_per_min": "sprayRateHaPerMin", "dose_per_ha": "defaultDosePerHa", "lookahead_hours": "weatherLookaheadHours", "wind": "maxWindSpeedMps", "gust": "maxGustSpeedMps", "precip": "maxPrecipProbability", "low_temp": "minTemperatureC",
+    "high_temp": "maxTemperatureC", "turnaround_min": "missionTurnaroundMinutes", "start_lat": "startLat", "start_lon": "startLon",
+}
+PLAN_FLAGS = {"ai": ("includeAIDetections", True), "manual": ("includeManualAnnotations", True), "unverified": ("includeUnverified", False), "return_to_start": ("returnToStart", True), "compliance": ("includeCompliance", True), "weather": ("enableWeatherOptimization", True)}
+
+
+def plan_settings(json: Column) -> Column:
+    """Struct of a plan's settings from a JSON object's text, as PlanSettings.held gives them, with its flags, its classes (trimmed, without blank ones) and the launch that it prefers (null where it's no time).
+
+    Anything of another type than its setting's counts as missing, and so does text that is no object.
+    """
+    kinds = {k: "double" for k in PLAN_KEYS.values()} | {k: "boolean" for k, _ in PLAN_FLAGS.values()} | {"classes": "array<string>", "preferredLaunchTimeUtc": "string"}
+    read = F.from_json(json, ", ".join(f"`{k}` {kind}" for k, kind in kinds.items()))
+    default = PlanSettings()
+
+    def held(name: str) -> Column:
+        given = F.coalesce(F.when(F.abs(read[PLAN_KEYS[name]]) < float("inf"), read[PLAN_KEYS[name]]), F.lit(getattr(default, name)).cast("double"))
+        low, high = BOUNDS[name]
+        whole = F.floor(given).cast("double") if name in WHOLE else given
+        return F.when(given.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), whole)))
+
+    values = {name: held(name) for name in PLAN_KEYS}
+    values["low_temp"] = F.least(values["low_temp"], values["high_temp"] - 1)
+    values["high_temp"] = F.greatest(values["high_temp"], values["low_temp"] + 1)
+    classes = F.filter(F.transform(F.coalesce(read["classes"], F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
+    flags = [F.coalesce(read[k], F.lit(said)).alias(name) for name, (k, said) in PLAN_FLAGS.items()]
+    return F.struct(*[v.alias(name) for name, v in values.items()], *flags, classes.alias("classes"), F.try_to_timestamp(F.trim(read["preferredLaunchTimeUtc"])).alias("preferred_launch"))
+
+
 def source_flags(json: Column, names: tuple[str, ...] = ("includeAIDetections", "includeManualAnnotations", "includeSAM3")) -> Column:
     """Struct of booleans by name from a JSON object's text: which sources a training set takes. Anything but a JSON boolean counts as true."""
     read = F.from_json(json, ", ".join(f"`{n}` boolean" for n in names))

@@ -99,6 +99,38 @@ def failure_kind(code: Column, message: Column) -> Column:
     return F.when(told.rlike("oom|memory|cuda"), "oom").otherwise("inference_error")
 
 
+def file_slug(text: Column) -> Column:
+    """A part of a file's name: a slug of at most 80 characters, which may be empty."""
+    return slug(text, 80, "")
+
+
+def report_slug(text: Column) -> Column:
+    """A slug of at most 52 characters and seven digits of the text's SHA-1, so different texts have different names."""
+    return F.concat(slug(text, 52, "unassigned"), F.lit("-"), F.substring(F.sha1(F.encode(text, "utf-8")), 1, 7))
+
+
+def progress(processed: Column, total: Column) -> Column:
+    """Whole per cent of 0 to 100; 0 without a total."""
+    share = js_round(100 * (processed / F.when(total > 0, total)))
+    return F.when(share.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), share))).otherwise(0).cast("int")
+
+
+#: What is said of a run by its status, and of a running one by its latest stage.
+STATUS_TEXTS = {"QUEUED": "Waiting for an inference worker", "FAILED": "Search failed", "CANCELLED": "Search cancelled"}
+STAGE_TEXTS = {"prepare": "Preparing source examples", "estimate": "Checking processing requirements", "admit": "Waiting for GPU capacity", "persist": "Preparing review suggestions"}
+
+
+def stage_text(status: Column, stage: Column, processed: Column, total: Column, warnings: Column) -> Column:
+    """What a run is doing: by its status, else by its latest stage."""
+    out = F.when(status == "COMPLETED", F.when(warnings, "Ready for review with warnings").otherwise("Ready for review"))
+    for code, said in STATUS_TEXTS.items():
+        out = out.when(status == code, said)
+    for code, said in STAGE_TEXTS.items():
+        out = out.when(stage == code, said)
+    searching = F.concat(F.lit("Searching image "), F.least(processed + 1, total).cast("string"), F.lit(" of "), total.cast("string"))
+    return out.when(stage == "run_sam3", searching).otherwise("Searching the image batch")
+
+
 def project_of_key(key: Column) -> Column:
     """The second part of an object key; null if it has none."""
     found = F.regexp_extract(key, "^[^/]+/([^/]+)/", 1)

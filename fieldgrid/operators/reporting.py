@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import confidence_of_level
+from .numbering import numbered
 
 
 def accepted(verified: str = "verified", rejected: str = "rejected", corrected: str = "user_corrected") -> Column:
@@ -93,8 +94,13 @@ def latest_of(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def shards(ids: DataFrame, key: str, group: str, size: int = 500) -> DataFrame:
-    """ids with the number of their shard of `size`, in order of the key within a group."""
-    return ids.withColumn("shard", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) / size).cast("int"))
+    """ids with the number of their shard of `size`, in order of the key within a group; null is a group too.
+
+    Ranges of group and key are numbered, so a group isn't one task's; groups' first numbers are met by the group.
+    """
+    placed = numbered(ids, group, key, out="_n")
+    first = placed.groupBy(F.col(group).alias("_g")).agg(F.min("_n").alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_g"))).select(*ids.columns, F.floor((F.col("_n") - F.col("_first")) / size).cast("int").alias("shard"))
 
 
 def rollup_shards(children: DataFrame, parent: str = "parent_id") -> DataFrame:

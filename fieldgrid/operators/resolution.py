@@ -87,17 +87,26 @@ def duplicate_groups(detections: DataFrame, metres: float = 1.8, by_class: bool
     return one.select("id").join(named, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))
 
 
-def representatives(detections: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row for each group: its leader's columns, the mean place weighted by confidence (0.05 at least), the earliest time, and members."""
+def representatives(detections: DataFrame, groups: DataFrame, floor: float = 0.05) -> DataFrame:
+    """A row for each group: its leader's columns, the mean place weighted by confidence (`floor` at least), the earliest time, members, and their mean weight. Of repeated rows of a leader's id the first in their own order stands."""
     joined = detections.join(groups, "id")
-    w = F.greatest(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.05))
+    w = F.greatest(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(floor))
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     sums = joined.groupBy("leader").agg(
-        *[(F.sum(F.when(placed, w * F.col(c))) / F.sum(F.when(placed, w))).alias(f"mean_{c}") for c in ("lat", "lon")], F.min("created_at").alias("first_seen"), F.count("*").alias("members"),
+        *[(F.sum(F.when(placed, w * F.col(c))) / F.sum(F.when(placed, w))).alias(f"mean_{c}") for c in ("lat", "lon")], F.min("created_at").alias("first_seen"), F.count("*").alias("members"), F.avg(w).alias("mean_weight"),
+        F.min(F.when(F.col("id") == F.col("leader"), F.struct(*[c for c in detections.columns if c != "created_at"]))).alias("own"),
     )
-    own = detections.drop("created_at")
-    out = own.join(sums, own.id == sums.leader)
-    return out.select(*[c for c in own.columns if c not in ("lat", "lon")], F.coalesce("mean_lat", "lat").alias("lat"), F.coalesce("mean_lon", "lon").alias("lon"), F.col("first_seen").alias("created_at"), "members")
+    own = [c for c in detections.columns if c != "created_at"]
+    return sums.select(*[F.col(f"own.{c}").alias(c) for c in own if c not in ("lat", "lon")], F.coalesce("mean_lat", "own.lat").alias("lat"), F.coalesce("mean_lon", "own.lon").alias("lon"), F.col("first_seen").alias("created_at"), "members", "mean_weight")
+
+
+def calibration_points(detections: DataFrame, metres: float = 1.8) -> DataFrame:
+    """One row for each object of any class (id, asset_id, confidence, lat, lon, created_at): the groups of duplicate_groups across images, with weights of a millionth at least, whose confidence is their mean weight; a row alone keeps its own."""
+    rest = [c for c in detections.columns if c != "id"]
+    one = detections.groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select("id", "r.*")  # rows of one id are one detection
+    rows = one.withColumn("class_name", F.lit(""))
+    found = representatives(rows, duplicate_groups(rows, metres, by_class=False), 1e-6)
+    return found.withColumn("confidence", F.when(F.col("members") > 1, F.col("mean_weight")).otherwise(F.col("confidence"))).drop("class_name", "mean_weight")
 
 
 def leader_counts(detections: DataFrame, metres: float) -> DataFrame:
@@ -220,25 +229,39 @@ def merge_refined(candidates: DataFrame, refined: DataFrame, key: str = "asset_i
 
 
 def merge_anchors(anchors: DataFrame, found: DataFrame, key: str = "asset_id", least: float = 0.2, same: float = 0.9, most: int = 10) -> DataFrame:
-    """Per image: its anchors, then found boxes by confidence that cover or lie in an anchor by so much of the smaller one (any, without anchors) and equal none before, up to `most`."""
-    overlap, iou = _overlaps("smaller"), _overlaps("iou")
-    rows = anchors.withColumn("anchor", F.lit(True)).unionByName(found.withColumn("anchor", F.lit(False))).where("x2 > x1 AND y2 > y1")
+    """Per image: its anchors, then found boxes by confidence that cover or lie in an anchor by so much of the smaller one (any, without anchors) and equal none before, up to `most`.
+
+    Boxes without an image or an extent go. Joins within images find the boxes that meet an anchor and those that equal another; only
+    images with such equals are walked in Python.
+    """
+    iou = _overlaps("iou")
+    good = lambda df, is_anchor: df.withColumn("anchor", F.lit(is_anchor)).where(f"x2 > x1 AND y2 > y1 AND {key} IS NOT NULL")
+    own, other = good(anchors, True), good(found, False)
+    corner = lambda side: box.corner(*[F.col(f"{side}.{c}") for c in ("x1", "y1", "x2", "y2")])
+    p, q = corner("p"), corner("q")
+    beside = F.col(f"p.{key}") == F.col(f"q.{key}")
+    covers = box.intersection(p, q) / F.least(box.area(p), box.area(q)) >= least
+    meets = other.alias("p").join(own.alias("q"), beside & covers, "left_semi")
+    free = other.join(own.select(key), key, "left_anti").select(*other.columns)
+    rows = written(own.unionByName(meets).unionByName(free), "boxes")
+    differ = (F.col("p.id") != F.col("q.id")) | F.col("q.anchor")
+    equal = rows.where("NOT anchor").alias("p").join(rows.alias("q"), beside & differ & (box.iou(p, q) >= same)).select(F.col(f"p.{key}").alias(key)).distinct()
+    order = (F.col("anchor").desc(), F.coalesce("confidence", F.lit(0.0)).desc(), F.col("id"))
 
     def kernel(f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(c=-f["confidence"].fillna(0.0)).sort_values(["anchor", "c", "id"], ascending=[False, True, True], kind="stable").drop(columns="c")
         b = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        own = np.flatnonzero(f["anchor"].to_numpy())
-        kept = own.tolist()
-        for i in range(len(own), len(f)):
+        kept = np.flatnonzero(f["anchor"].to_numpy()).tolist()
+        for i in range(len(kept), len(f)):
             if len(kept) >= most:
                 break
-            if len(own) and not (overlap(b[i], b[own]) >= least).any():
-                continue
             if not (len(kept) and (iou(b[i], b[kept]) >= same).any()):
                 kept.append(i)
         return f.iloc[kept[:most]]
 
-    return rows.groupBy(key).applyInPandas(kernel, rows.schema)
+    plain = rows.join(equal, key, "left_anti").select(*rows.columns).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    walked = rows.join(equal, key, "left_semi").select(*rows.columns).groupBy(key).applyInPandas(kernel, rows.schema)
+    return plain.unionByName(walked)
 
 
 def nearest_others(boxes: DataFrame, key: str = "asset_id", count: int = 4, reach: float = 2.0) -> DataFrame:

@@ -41,7 +41,7 @@ def test_kml_and_geojson(spark, tmp_path):
 def test_forecast_elevation_and_sessions(spark):
     rows = spark.createDataFrame([(["2024-01-01T00:00", "2024-01-01T01:00", "2024-01-05T00:00", "2024-01-01T02:00"], [1.0, -2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0], [1.0, 200.0, 3.0], [1.0, 2.0, 3.0, 4.0])], "time array<string>, wind array<double>, gust array<double>, precip array<double>, temp array<double>")
     got = readers.hourly_forecast(rows, "2024-01-01 00:30:00", 48).orderBy("ts").collect()
-    assert [(r.ts.hour, r.wind, r.precip) for r in got] == [(0, 1.0, 1.0), (1, 0.0, 100.0)]
+    assert [(r.ts.hour, r.wind, r.precip) for r in got] == [(0, 1.0, 1.0), (1, 0.0, 100.0), (2, 4.0, 0.0)]  # a missing value counts as 0
     places = spark.createDataFrame([(1, -27.0, 153.0), (2, -28.0, 153.0)], "id int, lat double, lon double")
     known = spark.createDataFrame([(-27.0000001, 153.0, 55.0)], "lat double, lon double, elevation double")
     assert {r.id: r.elevation for r in readers.with_elevation(places, known).collect()} == {1: 55.0, 2: 50.0}

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fieldgrid.plans import analytics, exchange, flows, imagery, options, quality, rasters, registry, reporting, shapes, sources  # noqa: F401
+from fieldgrid.plans import analytics, exchange, flows, imagery, options, quality, rasters, registry, reporting, reports, shapes, sources  # noqa: F401
 
 SF, SMALLER = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 #: Queries that draw pictures or write many files: the smaller tables have enough of each case.
