@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo, georef, settings, text
-from ..operators import evaluation, feeds, lists, resolution
+from ..operators import evaluation, feeds, lists, resolution, signals, temporal
 from ..sources import readers
 from ..sources.bridge import Bridge
 from ..storage import scratch
@@ -13,6 +13,7 @@ from .analytics import treatment_missions, treatment_zones
 from .imagery import _framed, _rays
 from .quality import compliant_zones
 from .registry import query
+from .sources import _located
 
 _ERRORS = """e AS (SELECT flight_session AS flight, detection_id AS id, CASE WHEN confidence IS NOT NULL THEN pow(sin(radians(lat - gps_lat) / 2), 2) + cos(radians(gps_lat)) * cos(radians(lat)) * pow(sin(radians(lon - gps_lon) / 2), 2) END AS s FROM {detection} d JOIN {asset} a ON d.asset_id = a.asset_id),
   d AS (SELECT flight, id, round(2 * 6371000.0E0 * atan2(sqrt(s), sqrt(1 - s)), 6) AS d FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY flight ORDER BY d DESC NULLS LAST, id) AS k FROM d),
@@ -173,6 +174,23 @@ def annotation_feed(t: Bridge) -> DataFrame:
     return found.select("id", "source", "class", F.size("places").cast("long").alias("points"), total("lat").alias("lats"), total("lon").alias("lons"), F.col("centre").isNotNull().alias("placed"), F.when(F.size("places") == 4, e7(F.col("centre.lat"))).alias("lat_e7"))
 
 
+def _drawn_signals(t: Bridge) -> DataFrame:
+    """Signals of all three sources by survey; detections have a square of 0.00008 degrees around them, other labels what they were drawn with."""
+    manual, pending = _located(t)
+    p = lambda x, y: F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y"))
+    square = F.array(p(-0.00004, -0.00004), p(0.00004, -0.00004), p(0.00004, 0.00004), p(-0.00004, 0.00004))
+    found = signals.survey_signals(t.detection.withColumn("ring", square), manual, pending, 0.45)
+    return found.withColumn("id", F.concat_ws(":", "source", "id"))
+
+
+@query()
+def signal_changes(t: Bridge) -> DataFrame:
+    """Changes between the surveys of detections, labels by hand and suggestions together, matched by their rings too."""
+    rows = _drawn_signals(t)
+    of = lambda survey: rows.where(F.col("survey_id") == survey).select("id", "species", "confidence", "lat", "lon", "ring")
+    return temporal.with_risk(temporal.changes(of("baseline"), of("comparison"), t.asset.where("survey_id = 'comparison'")))
+
+
 @query()
 def calibrated_objects(t: Bridge) -> DataFrame:
     """Objects of any class seen in several images, as the calibration of cameras takes them."""

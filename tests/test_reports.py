@@ -1,18 +1,20 @@
 """Reports, settings and merges: small cases, and whole queries against plain restatements."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fieldgrid.functions import geo, settings, text
-from fieldgrid.operators import evaluation, feeds, resolution
+from fieldgrid.operators import evaluation, feeds, resolution, temporal
 from fieldgrid.plans import reports
 from fieldgrid.sources import readers
 from fieldgrid.sources.bridge import Bridge
 
+from .test_whole_queries import greedy, pairs
+
 
 def metres(a, b):
     s = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
@@ -121,3 +123,36 @@ def test_feed_of_odd_rings(spark):
     got = {r.id: r for r in feeds.annotation_feed(labels, images, camera, F.col("up")).collect()}
     assert sorted(got) == [1, 2, 3, 5] and len(got[1].places) == 3 and math.isclose(got[1].centre.lat, -27.0) and math.isclose(got[1].centre.lon, 153.0)
     assert all(got[i].places == [] and got[i].centre is None for i in (2, 3, 5))
+
+
+def test_signal_changes(spark):
+    t = Bridge(spark, "/root/testdata/sf0.01")
+    best = {}
+    for r in reports._drawn_signals(t).select("survey_id", "id", "species", "confidence", "lat", "lon", "ring").collect():
+        key = tuple((v is not None, v) for v in (r.species, r.confidence, r.lat, r.lon))
+        if (r.survey_id, r.id) not in best or key < best[r.survey_id, r.id][0]:
+            best[r.survey_id, r.id] = key, r
+    base, other = ([r for (s, _), (_, r) in best.items() if s == survey] for survey in ("baseline", "comparison"))
+
+    def shared(a, b):
+        p, q = ([(f(v.x for v in r.ring), f(v.y for v in r.ring)) for f in (min, max)] for r in (a, b))
+        sides = [max(0.0, min(p[1][i], q[1][i]) - max(p[0][i], q[0][i])) for i in (0, 1)]
+        areas = [(r[1][0] - r[0][0]) * (r[1][1] - r[0][1]) for r in (p, q)]
+        return sides[0] * sides[1] / (sum(areas) - sides[0] * sides[1])
+
+    want = {}
+    for d, a, b in pairs(base, other, 8.0, lambda a, b: a.species == b.species):
+        overlap = shared(a, b) if a.ring and b.ring else float(d <= 3)
+        if d <= 3 or overlap >= 0.1:
+            want[a.id, b.id] = 0.7 * d / 8 + 0.3 * (1 - overlap), d
+    schema = "id string, species string, confidence double, lat double, lon double, ring array<struct<x: double, y: double>>"
+    frame = lambda rows: spark.createDataFrame([(r.id, r.species, r.confidence, r.lat, r.lon, r.ring) for r in rows], schema)
+    met = {(r.a, r.b): r.cost for r in temporal.candidates(frame(base), frame(other)).collect()}
+    assert met.keys() == want.keys() and any(d > 3 for _, d in want.values())
+    assert all(abs(met[k] - want[k][0]) < 1e-6 for k in met)
+    taken = set(greedy((c, a, b) for (a, b), c in met.items()))
+    found = reports.signal_changes(t).collect()
+    assert {(r.baseline_id, r.comparison_id) for r in found if r.change_type == "PERSISTENT"} == taken and any(want[k][1] > 3 for k in taken)
+    assert Counter(r.comparison_id for r in found if r.change_type == "NEW") == Counter({r.id for r in other} - {b for _, b in taken})
+    assert Counter(r.baseline_id for r in found if r.change_type in ("RESOLVED", "UNOBSERVED")) == Counter({r.id for r in base} - {a for a, _ in taken})
+    assert len({r.baseline_id.split(":")[0] for r in found if r.baseline_id}) == 3
