@@ -179,30 +179,30 @@ def suppress(boxes: DataFrame, keys: tuple[str, ...], threshold: float, measure:
     """The boxes (id, keys, confidence, x1, y1, x2, y2) that no box kept before them overlaps by the threshold, within keys (an image, and a class or none).
 
     measure is 'iou' or 'smaller' (intersection over the smaller area); a budget keeps the first so many. Boxes without an extent or a
-    confidence go.
+    confidence go. Boxes that the order doesn't tell apart go by their other columns, so the result doesn't hang on how rows arrive.
     """
     overlap = _overlaps(measure)
     good = boxes.where("x2 > x1 AND y2 > y1 AND confidence IS NOT NULL AND NOT isnan(confidence)")
 
     def kernel(f: pd.DataFrame) -> pd.DataFrame:
-        by = [o.lstrip("-") for o in order]
-        f = f.sort_values(by, ascending=[not o.startswith("-") for o in order], kind="stable")
+        f = f.sort_values("_r")
         b = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
         kept: list[int] = []
         for i in range(len(b)):
             o = overlap(b[i], b[kept]) if kept else np.zeros(0)
             if not ((o >= threshold) if inclusive else (o > threshold)).any():
                 kept.append(i)
-        return f.iloc[kept]
+        return f.iloc[kept].drop(columns="_r")
 
-    by = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o) for o in order]
+    told = {o.lstrip("-") for o in order}
+    by = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o) for o in order] + [F.col(c) for c in good.columns if c not in told]
     # A box that overlaps no other of its group by the threshold is kept, and drops none: only the others meet the kernel.
     rows = written(good.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))), "boxes")
     shape = box.corner(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     a, b = rows.select(*keys, "_r", shape.alias("p")), rows.select(*keys, F.col("_r").alias("_o"), shape.alias("q"))
     how_much = (box.iou if measure == "iou" else box.overlap_of_smaller)(F.col("p"), F.col("q"))
     touching = a.join(b, list(keys)).where((F.col("_r") != F.col("_o")) & (how_much >= threshold - 1e-9)).select(*keys, "_r").distinct()
-    met = rows.join(touching, [*keys, "_r"]).select(*good.columns).groupBy(*keys).applyInPandas(kernel, good.schema)
+    met = rows.join(touching, [*keys, "_r"]).select(*good.columns, "_r").groupBy(*keys).applyInPandas(kernel, good.schema)
     kept_ = rows.join(touching, [*keys, "_r"], "left_anti").select(*good.columns).unionByName(met)
     if budget is None:
         return kept_

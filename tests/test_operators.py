@@ -318,3 +318,11 @@ def test_suppression_by_touching_boxes_equals_the_kernel(spark):
     for measure, inclusive in (("iou", True), ("iou", False), ("smaller", True)):
         ids = [sorted(r.id for r in resolution.suppress(df, ("image",), 0.3, measure, inclusive, budget=b).collect()) for b in (None, 1000)]
         assert ids[0] == ids[1] and 0 < len(ids[0]) < 200
+
+
+def test_suppressed_boxes_of_equal_order_go_by_their_other_columns(spark):
+    rows = [(1, 7, name, 0.9, 0.0, 0.0, 10.0, 10.0) for name in "dbeca"]
+    schema = "id long, asset_id long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
+    for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+        kept = resolution.suppress(spark.createDataFrame(given, schema).coalesce(1), ("asset_id",), 0.5, "smaller", inclusive=False).collect()
+        assert [r.class_name for r in kept] == ["a"]
