@@ -50,11 +50,15 @@ def placemark(name: Column, description: Column, lat: Column, lon: Column) -> Co
     return F.concat(F.lit("<Placemark><name>"), xml_text(name), F.lit("</name><description>"), xml_text(description), F.lit("</description><Point><coordinates>"), at, F.lit("</coordinates></Point></Placemark>"))
 
 
-def write_kml(points: DataFrame, path: str) -> None:
-    """A folder of text parts between the document's first and last lines, in the order of ids."""
+#: Lines of a part of KML at most: readers take a part whole.
+KML_LINES = 20_000
+
+
+def write_kml(points: DataFrame, path: str, lines: int = KML_LINES) -> None:
+    """A folder of text parts of at most so many lines, between the document's first and last lines, in the order of ids."""
     rows = points.select(F.lit(1).alias("o"), F.col("id").cast("string").alias("id"), placemark(F.col("class"), F.concat_ws(" ", "type", "image"), F.col("lat"), F.col("lon")).alias("value"))
     ends = points.sparkSession.createDataFrame([(0, "", '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), (2, "", "</Document></kml>")], "o int, id string, value string")
-    rows.union(ends).orderBy("o", "id").select("value").write.text(path)
+    rows.union(ends).orderBy("o", "id").select("value").write.option("maxRecordsPerFile", lines).text(path)
 
 
 def geojson(points: DataFrame) -> DataFrame:

@@ -121,3 +121,15 @@ def test_rollup_and_shards(spark):
     assert got == {1: ("COMPLETED", True, False), 2: ("RUNNING", False, True), 3: ("FAILED", False, False), 4: ("CANCELLED", False, False)}
     shards = reporting.shards(spark.range(2200).select("id", F.lit(0).alias("g")), "id", "g").groupBy("shard").count().collect()
     assert sorted(r["count"] for r in shards) == [200, 500, 500, 500, 500]
+
+
+def test_kml_parts_are_bounded_and_keep_their_order(spark, tmp_path):
+    rows = spark.range(95).select(F.format_string("%03d", "id").alias("id"), F.lit("ai").alias("type"), F.lit("c").alias("class"), (F.col("id") / 10).alias("lat"), F.lit(1.0).alias("lon"), F.lit("i").alias("image"))
+    path = str(tmp_path / "kml")
+    export.write_kml(rows, path, 10)
+    parts = sorted(p for p in (tmp_path / "kml").iterdir() if p.name.startswith("part"))
+    texts = [p.read_text().splitlines() for p in parts]
+    assert max(map(len, texts)) <= 10
+    whole = [x for t in texts for x in t]
+    assert len(whole) == 97 and whole[0].startswith("<?xml") and whole[-1] == "</Document></kml>"
+    assert sorted(r.lat for r in readers.kml_points(spark, path).collect()) == [i / 10 for i in range(95)]
