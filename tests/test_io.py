@@ -133,3 +133,12 @@ def test_kml_parts_are_bounded_and_keep_their_order(spark, tmp_path):
     whole = [x for t in texts for x in t]
     assert len(whole) == 97 and whole[0].startswith("<?xml") and whole[-1] == "</Document></kml>"
     assert sorted(r.lat for r in readers.kml_points(spark, path).collect()) == [i / 10 for i in range(95)]
+
+
+def test_assets_of_sessions_are_distinct_without_an_exchange_of_the_result(spark):
+    sessions = spark.createDataFrame([(1, "batch_review", None, [1, 2, 2]), (2, "batch_review", [], [2, 1]), (3, "batch_review", [9, 9, None], [1]), (4, "single", None, [1]), (5, "batch_review", [10], None), (5, "batch_review", None, [1]), (6, None, None, [1]), (7, "batch_review", None, [3, None])], "session_id long, workflow string, asset_ids array<long>, job_ids array<long>")
+    suggestions = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 11), (2, 12), (None, 13)], "job_id long, asset_id long")
+    found = readers.session_assets(sessions, suggestions)
+    both = {10, 11, 12}
+    assert sorted(map(tuple, found.collect())) == sorted([(s, a) for s in (1, 2) for a in both] + [(3, 9), (5, 10), (5, 11)])
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
