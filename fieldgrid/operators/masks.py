@@ -5,7 +5,7 @@ A mask is binary, a byte a pixel (0 or not) by rows, with its width and height.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 TOLERANCE, LEAST_AREA = 0.02, 100.0
 #: Steps to the eight neighbours (x, y), counter-clockwise on the screen from the right.
 AROUND = ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))
+#: Bytes of masks that a kernel holds at once, beside one batch of its input.
+CHUNK = 4 << 20
 SHAPE = "box struct<x1: int, y1: int, x2: int, y2: int>, pixels long, runs array<int>, outline array<struct<x: int, y: int>>, area double, cx double, cy double"
 
 
@@ -195,7 +197,7 @@ def shapes(df: DataFrame, key: str = "id", mask: str = "mask", width: str = "wid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         point, corner = pa.struct([("x", pa.int32()), ("y", pa.int32())]), pa.struct([(c, pa.int32()) for c in ("x1", "y1", "x2", "y2")])
         kinds = corner, pa.int64(), pa.list_(pa.int32()), pa.list_(point), pa.float64(), pa.float64(), pa.float64()
-        for b in batches:
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             found = [one(d.as_buffer() if d.is_valid else None, w, h) for d, w, h in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             columns = zip(*found, strict=True) if found else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["key", "box", "pixels", "runs", "outline", "area", "cx", "cy"])
@@ -204,28 +206,37 @@ def shapes(df: DataFrame, key: str = "id", mask: str = "mask", width: str = "wid
     return picked.mapInArrow(run, f"key {key_type}, {SHAPE}").withColumnRenamed("key", key)
 
 
+def chunked(batches: Iterator[pd.Series], rows: int, one: Callable[[object], bytes | None]) -> Iterator[pd.Series]:
+    """The bytes of each value, in pieces of at most so many rows."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield pd.Series([one(v) for v in b.iloc[i : i + rows]], dtype=object)
+
+
+def _filled(column: Column, width: int, height: int, one: Callable[[object], bytes | None]) -> Column:
+    """A mask of each value, made and handed on in chunks: a mask is many times its value, so a batch of values must not become a batch of masks."""
+    rows = max(1, CHUNK // max(1, width * height))
+
+    @F.pandas_udf("binary")
+    def fill(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from chunked(batches, rows, one)
+
+    return fill(column)
+
+
 def drawn(boxes: Column, width: int, height: int) -> Column:
     """The mask of an array of boxes (x1, y1, x2, y2) of whole pixels, each without its right and lower edge; null boxes and the outside don't count."""
 
-    @F.pandas_udf("binary")
-    def draw(column: pd.Series) -> pd.Series:
-        out = []
-        for found in column:
-            mask = np.zeros((height, width), np.uint8)
-            for b in found if found is not None else ():
-                if b is not None:
-                    mask[max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])] = 1
-            out.append(mask.tobytes())
-        return pd.Series(out, dtype=object)
+    def draw(found) -> bytes:
+        mask = np.zeros((height, width), np.uint8)
+        for b in found if found is not None else ():
+            if b is not None:
+                mask[max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])] = 1
+        return mask.tobytes()
 
-    return draw(boxes)
+    return _filled(boxes, width, height, draw)
 
 
 def from_run_lengths(runs: Column, width: int, height: int) -> Column:
     """The mask of run lengths as `shapes` gives them; null stays null."""
-
-    @F.pandas_udf("binary")
-    def fill(column: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else from_runs(r, height, width).astype(np.uint8).tobytes() for r in column], dtype=object)
-
-    return fill(runs)
+    return _filled(runs, width, height, lambda r: None if r is None else from_runs(r, height, width).astype(np.uint8).tobytes())

@@ -297,3 +297,19 @@ def test_written_heads_are_read_back(spark, tmp_path):
         assert write_image_heads(df, f"file://{tmp_path}/i").agg(F.count("*")).first()[0] == 2
     got = {r.path[-5]: r for r in images.image_metadata(spark, f"{tmp_path}/i").collect()}
     assert (got["a"].width, got["a"].height, got["a"].xmp) == (10, 20, {"x": "1"}) and float(got["a"].exif["GPSAltitude"]) == -3.0 and set(got["b"].exif) == {"ExifImageWidth", "ExifImageHeight"}
+
+
+def test_masks_and_pictures_leave_kernels_in_chunks():
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from fieldgrid.operators import masks
+    from fieldgrid.plans import rasters
+
+    pieces = list(masks.chunked(iter([pd.Series(range(10)), pd.Series([], dtype=object), pd.Series([3])]), 4, lambda v: bytes([v])))
+    assert [len(p) for p in pieces] == [4, 4, 2, 1] and b"".join(x for p in pieces for x in p) == bytes([*range(10), 3])
+    found = rasters._painted.func(iter([pd.Series([b"\0\1"] * 600)]))
+    assert isinstance(found, Iterator)
+    pictures = list(found)
+    assert [len(p) for p in pictures] == [256, 256, 88] and set(pictures[0]) == {bytes([150, 120, 90, 40, 160, 40])}
