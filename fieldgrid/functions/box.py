@@ -19,11 +19,10 @@ def to_corner(b: Column) -> Column:
 
 def parse_centre(json: Column) -> Column:
     """A centre box of JSON text: {x, y, width, height} around its centre or [x1, y1, x2, y2]; null unless all are numbers and the sides positive."""
-    o = F.from_json(json, "x double, y double, width double, height double")
-    a = F.from_json(json, "array<double>")
-    listed = F.when(F.size(a) == 4, to_centre(corner(a[0], a[1], a[2], a[3])))
-    box = F.when(F.ltrim(json).startswith("["), listed).otherwise(F.struct(o.x.alias("x"), o.y.alias("y"), o.width.alias("w"), o.height.alias("h")))
-    return F.when((box.w > 0) & (box.h > 0) & box.x.isNotNull() & box.y.isNotNull(), box)
+    # Each text is parsed once: the values are bound to the variables of a transform.
+    parsed = F.struct(F.from_json(json, "x double, y double, width double, height double").alias("o"), F.from_json(json, "array<double>").alias("a"), F.ltrim(json).startswith("[").alias("listed"))
+    boxes = F.transform(F.array(parsed), lambda p: F.when(p.listed, F.when(F.size(p.a) == 4, to_centre(corner(p.a[0], p.a[1], p.a[2], p.a[3])))).otherwise(F.struct(p.o.x.alias("x"), p.o.y.alias("y"), p.o.width.alias("w"), p.o.height.alias("h"))))
+    return F.get(F.filter(boxes, lambda b: (b.w > 0) & (b.h > 0) & b.x.isNotNull() & b.y.isNotNull()), F.lit(0))
 
 
 def polygon_box(points: Column) -> Column:

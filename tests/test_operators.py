@@ -326,3 +326,10 @@ def test_suppressed_boxes_of_equal_order_go_by_their_other_columns(spark):
     for given in (rows, rows[::-1], rows[2:] + rows[:2]):
         kept = resolution.suppress(spark.createDataFrame(given, schema).coalesce(1), ("asset_id",), 0.5, "smaller", inclusive=False).collect()
         assert [r.class_name for r in kept] == ["a"]
+
+
+def test_a_box_text_is_parsed_once(spark):
+    parsed = spark.range(1).select(box.parse_centre(F.concat(F.lit("["), F.col("id"), F.lit(",0,2,2]"))).alias("b"))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2  # as an object and as an array
+    assert tuple(parsed.first().b) == (1.0, 1.0, 2.0, 2.0)
