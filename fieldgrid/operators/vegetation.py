@@ -1,6 +1,6 @@
 """Plants in images: candidates behind a gate of green pixels, boxes moved to the plant, masks of one plant made one.
 
-Candidates of an image meet its pixels once; a kernel sees one image with its candidates, which are few.
+Candidates of an image meet its pixels once; a kernel sees some hundred images, and looks at equally large boxes of all of them together.
 """
 
 from __future__ import annotations
@@ -9,25 +9,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.pixels import green_mask, patch_centre, ring_share
-from .geometry import sampled_overlaps
+from ..functions.pixels import Boxes, alike, ring_shares
+from .geometry import Rings
 
 #: Fixed value: a median of green shares that calls for a look.
 ALARM = 0.3
+#: Images that a kernel looks at together.
+IMAGES = 512
 CANDIDATE = "id long, confidence double, x1 double, y1 double, x2 double, y2 double"
 
 
-def _half_up(x: float) -> int:
-    return int(np.floor(x + 0.5))
+def _half_up(x: np.ndarray) -> np.ndarray:
+    return np.floor(x + 0.5)
 
 
-def recentred(box: tuple[float, float, float, float], centre: tuple[float, float], width: int, height: int) -> tuple[float, float, float, float]:
-    """The box, in whole pixels, moved to have its middle at a place as far as the image allows."""
-    w, h = (min(most, max(1, _half_up(b - a))) for a, b, most in ((box[0], box[2], width), (box[1], box[3], height)))
-    x, y = (max(0, min(most - side, _half_up(c - side / 2))) for c, side, most in ((centre[0], w, width), (centre[1], h, height)))
-    return float(x), float(y), float(x + w), float(y + h)
+def recentred(boxes: np.ndarray, centres: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The boxes (n, 4), in whole pixels, moved to have their middles at places (n, 2) as far as the images' sizes (n, 2) allow."""
+    sides = np.minimum(size, np.maximum(1, _half_up(boxes[:, 2:] - boxes[:, :2])))
+    low = np.maximum(0, np.minimum(size - sides, _half_up(centres - sides / 2)))
+    return np.concatenate([low, low + sides], 1)
 
 
 def _by_image(candidates: DataFrame, images: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -37,8 +40,27 @@ def _by_image(candidates: DataFrame, images: DataFrame, columns: list[str], key:
     return one.join(pictures.hint("merge"), key).select(F.col(key).alias("key"), "pixels", "width", "height", "rows")
 
 
-def _readable(pixels, width, height) -> bool:
-    return pixels is not None and bool(width) and bool(height) and len(pixels) >= width * height * 3
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of batches (key, pixels, width, height, rows), by IMAGES: the keys, bytes, place in them, width and height of each row's image, and the rows.
+
+    Rows of images that are missing or shorter than their size are left out.
+    """
+    for b in (whole.slice(i, IMAGES) for whole in batches for i in range(0, whole.num_rows, IMAGES)):
+        keys, pixels, rows = b.column(0), b.column(1), b.column(4)
+        width, height = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+        wide = np.int64 if pa.types.is_large_binary(pixels.type) else np.int32
+        ends = np.frombuffer(pixels.buffers()[1], wide)[pixels.offset : pixels.offset + len(pixels) + 1].astype(np.int64)
+        raw = np.frombuffer(pixels.buffers()[2] or b"", np.uint8)
+        readable = pixels.is_valid().to_numpy(zero_copy_only=False) & (width > 0) & (height > 0) & (np.diff(ends) >= width * height * 3)
+        owner = np.repeat(np.arange(len(keys)), pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False))
+        good = np.flatnonzero(readable[owner])
+        owner = owner[good]
+        yield keys.take(pa.array(owner)), owner, raw, ends[:-1][owner], width[owner], height[owner], rows.flatten().take(pa.array(good))
+
+
+def _number(column: pa.Array) -> np.ndarray:
+    """Doubles of a column; null is no number."""
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
 def gate_candidates(candidates: DataFrame, images: DataFrame, threshold: float, key: str = "asset_id") -> DataFrame:
@@ -46,26 +68,26 @@ def gate_candidates(candidates: DataFrame, images: DataFrame, threshold: float,
 
     images (key, pixels, width, height) are raw: red, green and blue by rows; key is unique. A box with a patch of green moves its middle there and
     px, py is the patch's middle; without one it stays, and px, py is its own. Candidates of images that are missing or shorter than their
-    size go.
+    size go, and a box with a side that is null or no number has no green.
     """
     kind = candidates.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, pixels, w, h, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out = []
-                for r in rows if _readable(pixels, w, h) else ():
-                    box = r["x1"], r["y1"], r["x2"], r["y2"]
-                    mask = green_mask(pixels, w, h, box)
-                    green = float(mask.mean()) if mask.size else 0.0
-                    if green < threshold:
-                        continue
-                    centre = patch_centre(pixels, w, h, box)
-                    at = centre or ((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
-                    out.append((k, r["id"], r["confidence"], *(recentred(box, centre, w, h) if centre else box), *at, green, centre is not None))
-                if out:
-                    kinds = b.column(0).type, pa.int64(), *[pa.float64()] * 8, pa.bool_()
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "id", "confidence", "x1", "y1", "x2", "y2", "px", "py", "green", "moved"])
+        for keys, _, raw, base, width, height, rows in _slices(batches):
+            ids, confidence, *sides = rows.flatten()
+            ids, confidence = ids.cast(pa.int64()), confidence.cast(pa.float64())
+            boxes = np.stack([_number(c) for c in sides], 1)
+            green = Boxes(raw, base, width, height, boxes).shares()
+            at = np.flatnonzero(green >= threshold)
+            size = np.stack([width, height], 1)[at]
+            boxes = boxes[at]
+            centres = Boxes(raw, base[at], width[at], height[at], boxes).centres()
+            moved = ~np.isnan(centres[:, 0])
+            put = np.where(moved[:, None], recentred(boxes, centres, size), boxes)
+            middle = np.where(moved[:, None], centres, (boxes[:, :2] + boxes[:, 2:]) / 2)
+            picked = pa.array(at)
+            doubles = [pa.array(c) for c in (*put.T, *middle.T, green[at])]
+            yield pa.RecordBatch.from_arrays([keys.take(picked), ids.take(picked), confidence.take(picked), *doubles, pa.array(moved)], names=["key", "id", "confidence", "x1", "y1", "x2", "y2", "px", "py", "green", "moved"])
 
     found = _by_image(candidates, images, ["id", "confidence", "x1", "y1", "x2", "y2"], key)
     return found.mapInArrow(run, f"key {kind}, {CANDIDATE}, px double, py double, green double, moved boolean").withColumnRenamed("key", key)
@@ -75,32 +97,56 @@ def clean_masks(masks: DataFrame, images: DataFrame, threshold: float, iou: floa
     """Rows (key, id, confidence, green) of the masks (key, id, confidence, ring of pixels x, y) that are green by `threshold` and cover no better mask of their image.
 
     Masks go by confidence (null: 0), then id; one that overlaps a kept one by `iou` of the union or by `inside` of the smaller, as sampled, goes. Rings of fewer
-    than three points are never green.
+    than three points, or with a point that is null or no number, are never green.
     """
     kind = masks.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, pixels, w, h, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                kept: list[tuple] = []
-                good = []
-                for r in rows if _readable(pixels, w, h) else ():
-                    ring = np.array([(p["x"], p["y"]) for p in r["ring"] or ()], float).reshape(-1, 2)
-                    green = ring_share(pixels, w, h, ring)
-                    if green >= threshold:
-                        good.append((r["id"], r["confidence"], ring, green))
-                for m in sorted(good, key=lambda m: (-(m[1] or 0.0), m[0])):
-                    overlaps = (sampled_overlaps(m[2], o[2]) for o in kept)
-                    if not any(both >= iou or most >= inside for both, most in overlaps):
-                        kept.append(m)
-                if kept:
-                    kinds = (0, pa.int64()), (1, pa.float64()), (3, pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(kept), b.column(0).type), *(pa.array([m[i] for m in kept], kind) for i, kind in kinds)], names=["key", "id", "confidence", "green"])
+        for keys, owner, raw, base, width, height, rows in _slices(batches):
+            ids, confidence, rings = rows.flatten()
+            ids, confidence = ids.cast(pa.int64()), confidence.cast(pa.float64())
+            points = np.stack([_number(c) for c in rings.flatten().flatten()], 1)
+            many = pc.list_value_length(rings).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(many) - many
+            shapes = Rings(points, first, many)
+            green = np.zeros(len(many))
+            usable = np.flatnonzero((many >= 3) & shapes.known)
+            for part in alike(many[usable], cost=many[usable]):
+                own = usable[part]
+                green[own] = ring_shares(raw, base[own], width[own], height[own], shapes.stack(own))
+            good = np.flatnonzero(green >= threshold)
+            best = np.nan_to_num(_number(confidence)[good])
+            order = good[np.lexsort((ids.to_numpy(zero_copy_only=False)[good], -best, owner[good]))]
+            picked = pa.array(order[_uncovered(shapes, owner[order], order, iou, inside)])
+            yield pa.RecordBatch.from_arrays([keys.take(picked), ids.take(picked), confidence.take(picked), pa.array(green).take(picked)], names=["key", "id", "confidence", "green"])
 
     found = _by_image(masks, images, ["id", "confidence", "ring"], key)
     return found.mapInArrow(run, f"key {kind}, id long, confidence double, green double").withColumnRenamed("key", key)
 
 
+def _uncovered(shapes: Rings, owner: np.ndarray, rings: np.ndarray, iou: float, inside: float) -> np.ndarray:
+    """Which of the rings, sorted by their image and then best first, cover no kept one before them in their image.
+
+    Images go side by side: a round looks at the next ring of each image and at the kept ones before it.
+    """
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    count = np.diff(np.append(start, len(owner)))
+    kept, many = np.zeros(len(owner), bool), np.zeros(len(start), np.int64)
+    taken = np.zeros(len(owner), np.int64)  # from an image's start on, the places of its kept rings
+    for turn in range(count.max(initial=0)):
+        image = np.flatnonzero(count > turn)
+        now = start[image] + turn
+        met = np.repeat(np.arange(len(image)), many[image])
+        step = np.arange(len(met)) - np.repeat(np.cumsum(many[image]) - many[image], many[image])
+        both, most = shapes.overlaps(rings[now[met]], rings[taken[start[image][met] + step]])
+        covered = np.bincount(met, (both >= iou) | (most >= inside), len(image)) > 0
+        image, now = image[~covered], now[~covered]
+        kept[now] = True
+        taken[start[image] + many[image]] = now
+        many[image] += 1
+    return kept
+
+
 def green_summary(cleaned: DataFrame, key: str = "asset_id", alarm: float = ALARM) -> DataFrame:
     """Rows (key, masks, p10, median, p90, alarm) of clean_masks: interpolated percentiles of green shares, and whether the median is under `alarm`."""
     p = F.percentile("green", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))

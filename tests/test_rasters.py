@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.functions import metadata
+from fieldgrid.functions import metadata, pixels
 from fieldgrid.operators import footprints, geometry, masks, terrain, vegetation
 from fieldgrid.plans import rasters, shapes
 from fieldgrid.sinks.images import exif_block, jpeg_head, write_image_heads, xmp_packet
@@ -313,3 +313,44 @@ def test_masks_and_pictures_leave_kernels_in_chunks():
     assert isinstance(found, Iterator)
     pictures = list(found)
     assert [len(p) for p in pictures] == [256, 256, 88] and set(pictures[0]) == {bytes([150, 120, 90, 40, 160, 40])}
+
+
+def test_boxes_and_rings_together_are_as_one_by_one():
+    rng = np.random.default_rng(3)
+    sizes = [(80, 60), (300, 20), (7, 90), (1, 1)]
+    pictures = [rng.choice(np.array([[40, 160, 40], [150, 120, 90], [0, 0, 0]], np.uint8), w * h, p=(0.55, 0.4, 0.05)).tobytes() for w, h in sizes]
+    base = np.cumsum([0, *map(len, pictures[:-1])])
+    own = rng.integers(0, len(sizes), 600)
+    width, height = np.array(sizes)[own].T
+    low = np.stack([width, height], 1) * rng.uniform(-0.3, 1.0, (600, 2))
+    boxes = np.concatenate([low, low + rng.choice([1, 8, 40, 400], (600, 1)) * rng.uniform(0, 1, (600, 2))], 1)
+    boxes[:3] = (0, 0, 300, 90), (0, 0, np.inf, np.inf), (np.nan, 0, 5, 5)
+    many = pixels.Boxes(np.frombuffer(b"".join(pictures), np.uint8), base[own], width, height, boxes)
+    shares, centres = many.shares(), many.centres()
+    assert shares[2] == 0 and np.isnan(centres[2]).all()
+    for i in set(range(600)) - {1, 2}:
+        mask = pixels.green_mask(pictures[own[i]], *sizes[own[i]], boxes[i])
+        centre = pixels.patch_centre(pictures[own[i]], *sizes[own[i]], boxes[i])
+        assert shares[i] == (mask.mean() if mask.size else 0.0)
+        assert tuple(centres[i]) == centre if centre else np.isnan(centres[i]).all()
+    count = rng.integers(0, 7, 600)
+    points = np.repeat(low, count, 0) + rng.choice([3, 30, 300], count.sum())[:, None] * rng.uniform(0, 1, (count.sum(), 2))
+    rings = geometry.Rings(points, np.cumsum(count) - count, count)
+    split = np.split(points, np.cumsum(count)[:-1])
+    for n in range(3, 7):
+        at = np.flatnonzero(count == n)
+        got = pixels.ring_shares(np.frombuffer(b"".join(pictures), np.uint8), base[own[at]], width[at], height[at], rings.stack(at))
+        assert got.tolist() == [pixels.ring_share(pictures[own[i]], *sizes[own[i]], split[i]) for i in at]
+    a, b = rng.integers(0, 600, (2, 3000))
+    assert list(zip(*map(np.ndarray.tolist, rings.overlaps(a, b)), strict=True)) == [geometry.sampled_overlaps(split[i], split[k]) for i, k in zip(a, b, strict=True)]
+
+
+def test_vegetation_of_sides_and_points_without_numbers(spark):
+    shown = spark.createDataFrame([(1, bytearray([40, 160, 40] * 100), 10, 10)], "asset_id long, pixels binary, width int, height int")
+    rows = [(1, 1, 0.5, None, 0.0, 4.0, 4.0), (1, 2, 0.5, 0.0, 0.0, float("nan"), 4.0), (1, 3, None, 0.0, 0.0, 4.0, 4.0)]
+    c = spark.createDataFrame(rows, "asset_id long, id long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.id, r.confidence, r.green) for r in vegetation.gate_candidates(c, shown, 0.2).collect()] == [(3, None, 1.0)]
+    p = lambda *at: [{"x": x, "y": y} for x, y in at]
+    rings = [(1, 1, 0.5, p((0.0, 0.0), (6.0, None), (6.0, 4.0))), (1, 2, 0.9, p((0.0, 0.0), (6.0, 0.0), (6.0, 5.0))), (1, 3, 0.9, [None, *p((6.0, 0.0), (6.0, 5.0))])]
+    kept = vegetation.clean_masks(spark.createDataFrame(rings, "asset_id long, id long, confidence double, ring array<struct<x: double, y: double>>"), shown, 0.4)
+    assert [r.id for r in kept.collect()] == [2]
