@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import dataset
 from ..sinks import packages, shapefile
+from ..sources import readers
 from ..sources.bridge import Bridge
 from ..sources.shapefiles import shapefiles
 from ..storage import scratch
@@ -46,11 +47,11 @@ def coco_images(t: Bridge) -> DataFrame:
    sha256('{"asset":{"asset_id":' || a.asset_id || ',"project_id":' || a.project_id || '},"evidence":{"detections":{"count":' || coalesce(d.n, 0) || ',"sha256":"' || sha256(coalesce(d.t, '')) || '","rows":[' || coalesce(replace(d.t, chr(10), ','), '') || ']},"suggestions":{"count":' || coalesce(p.n, 0) || ',"sha256":"' || sha256(coalesce(p.t, '')) || '","rows":[' || coalesce(replace(p.t, chr(10), ','), '') || ']}}}') AS sha256, true AS sound
   FROM {asset} a LEFT JOIN d ON d.asset_id = a.asset_id LEFT JOIN p ON p.asset_id = a.asset_id""")
 def evidence_bundles(t: Bridge) -> DataFrame:
-    """A bundle of each image, written with its digest and verified by reading both."""
+    """A bundle of each image, written with its digest into archives and verified by reading both."""
     sources = {"detections": t.detection.select("asset_id", F.col("detection_id").alias("id"), "class_name"), "suggestions": t.pending.select("asset_id", F.col("pending_id").alias("id"), "status")}
     folder = scratch(t.spark, "bundles")
-    packages.write_bundles(packages.bundles(t.asset.select("asset_id", "project_id"), sources), folder)
-    found = packages.verified_bundles(t.spark, folder)
+    packages.write_archives(packages.bundle_files(packages.bundles(t.asset.select("asset_id", "project_id"), sources)), folder)
+    found = packages.verified(readers.archived(t.spark, folder))
     part = "struct<count: bigint, sha256: string>"
     read = F.from_json("document", f"asset struct<asset_id: bigint>, evidence struct<detections: {part}, suggestions: {part}>")
     rows = found.select("sound", F.sha2("document", 256).alias("sha256"), read.alias("r"))

@@ -1,17 +1,19 @@
 """Packages and files of odd rows, numbers, and folded results."""
 
 import json
+import os
 import struct
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldgrid.operators import dataset, planning
 from fieldgrid.operators.numbering import numbered
-from fieldgrid.plans import flows
+from fieldgrid.plans import exchange, flows, rasters, sources
 from fieldgrid.sinks import packages, shapefile
-from fieldgrid.sources import shapefiles
+from fieldgrid.sources import readers, shapefiles
 from fieldgrid.sources.bridge import Bridge
 from fieldgrid.streaming import results
 
@@ -125,3 +127,25 @@ def test_plan_of_changes_is_whole(spark):
     for z in sorted(zones, key=lambda z: (z.project_id, z.sequence)):
         by_project.setdefault(z.project_id, []).append(z.priority)
     assert all(p == sorted(p, reverse=True) for p in by_project.values())
+
+
+def test_many_small_files_go_into_archives(spark, tmp_path, monkeypatch):
+    rows = [(f"a/{i}.json", f"text {i}" if i % 10 else None) for i in range(500)]
+    folder = f"file://{tmp_path}/archives"
+    df = spark.createDataFrame(rows, "name string, value string").repartition(7)
+    for _ in range(2):  # a repeated write replaces its archives
+        assert packages.write_archives(df, folder) == 500
+    got = readers.archived(spark, folder).collect()
+    assert sorted((r.path.split(".tar.gz/")[1], bytes(r.content).decode()) for r in got) == sorted((n, v or "") for n, v in rows)
+    assert len(list((tmp_path / "archives").iterdir())) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert packages.write_archives(df.limit(0), f"file://{tmp_path}/none") == 0 and readers.archived(spark, f"file://{tmp_path}/none").count() == 0
+    monkeypatch.setattr(readers, "MEMBERS", 10)
+    assert readers.archived(spark, folder).count() == 500
+
+
+@pytest.mark.parametrize("module, name", [(exchange, "evidence_bundles"), (rasters, "ingested_images"), (sources, "label_files")])
+def test_queries_of_many_files_write_few(spark, tmp_path, monkeypatch, module, name):
+    monkeypatch.setattr(module, "scratch", lambda spark, tag: f"file://{tmp_path}/{tag}")
+    found = getattr(module, name)(Bridge(spark, "/root/testdata/sf0.001")).count()
+    files = sum(len(files) for _, _, files in os.walk(tmp_path))
+    assert found > 100 and 0 < files <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
