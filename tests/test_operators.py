@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.functions import box, geo, georef, text, weather
+from fieldgrid.functions import box, geo, georef, settings, text, weather
 from fieldgrid.operators import dataset, planning, reporting, resolution, spatial, temporal
 from fieldgrid.operators.components import components
 from fieldgrid.plans import analytics
@@ -333,3 +333,10 @@ def test_a_box_text_is_parsed_once(spark):
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2  # as an object and as an array
     assert tuple(parsed.first().b) == (1.0, 1.0, 2.0, 2.0)
+
+
+def test_names_are_cleaned_and_labels_parsed_once(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("s"))
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan(text.detection_type(F.col("s"))).count("regexp_replace") <= 2
+    assert plan(settings.centre_of_json(F.col("s"))).count("jsontostructs") + plan(settings.centre_of_json(F.col("s"))).count("from_json") == 1
