@@ -1,7 +1,7 @@
 """One object seen several times: duplicates across images, counting by leaders, per-image bias, and overlapping boxes.
 
-Greedy rules look at neighbours only, so they run exactly within the components of a near graph: Spark finds near pairs and components,
-and a small kernel walks each group in its order.
+Greedy rules look at neighbours only, so they run exactly within islands that no near pair leaves: Spark finds the islands by cells,
+and a small kernel walks each in its order.
 """
 
 from __future__ import annotations
@@ -13,15 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import box
-from ..functions.geo import METRES_PROJECTION, RADIUS_COUNTING
+from ..functions.geo import METRES_PROJECTION, RADIUS, RADIUS_COUNTING
 from ..storage import written
-from .components import components
-from .spatial import clusters, near_edges
-
-
-def _metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray, radius: float) -> np.ndarray:
-    s = np.sin(np.radians(lats - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lats)) * np.sin(np.radians(lons - lon) / 2) ** 2
-    return 2 * radius * np.arctan2(np.sqrt(s), np.sqrt(1 - s))
+from . import walks
+from .spatial import islands
 
 
 def _located(df: DataFrame) -> DataFrame:
@@ -32,58 +27,27 @@ def duplicate_groups(detections: DataFrame, metres: float = 1.8, by_class: bool
     """Rows (id, leader) of detections (id, asset_id, class_name, confidence, lat, lon, created_at): groups whose members are all within so many metres of each other.
 
     Seeds go by confidence, then time, then id; a member joins the first seed that it may, of its class and of no image that the
-    group has. Metres are held to 0.2 to 6. Rows without a place or without a near row lead themselves. A component of near
-    rows is one group of a task, which gets the near pairs that Spark found, so it compares no places.
+    group has. Metres are held to 0.2 to 6. Rows without a place or without a near row lead themselves. An island of rows is one
+    group of a task, which holds its places and no pairs.
     """
     metres = min(6.0, max(0.2, metres))
     keys = ("class_name",) if by_class else ()
     rest = [c for c in detections.columns if c != "id"]
     one = detections.groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select("id", "r.*")  # rows of one id are one detection
     placed = written(_located(one), "placed")
-    edges = written(near_edges(placed, metres, keys).select("a", "b"), "near")
-    members = components(edges).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    order = Window.partitionBy("cluster").orderBy(F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.0)).desc(), "created_at", "id")
-    image = F.dense_rank().over(Window.partitionBy("cluster").orderBy("asset_id"))
-    rows = written(placed.join(members, "id").select("cluster", "id", (F.row_number().over(order) - 1).alias("place"), (image - 1).alias("image")), "members")
-    of = lambda side: rows.select(F.col("id").alias(side), F.col("place").alias(f"place_{side}"), *(["cluster"] if side == "a" else []))
-    pairs = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("cluster").alias("of"), "place_a", "place_b")
-
-    def kernel(members: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        n = len(members)
-        image = np.empty(n, np.int64)
-        image[members["place"]] = members["image"]
-        one, two = near["place_a"].to_numpy(), near["place_b"].to_numpy()
-        both = np.stack([np.concatenate([one, two]), np.concatenate([two, one])])
-        both = both[:, np.lexsort((both[1], both[0]))]
-        start = np.searchsorted(both[0], np.arange(n + 1))
-        beside = both[1]
-        leader = np.full(n, -1)
-        may = np.zeros(n, np.int64)  # which members of the present group a row is near to, as a count
-        for seed in range(n):
-            if leader[seed] >= 0:
-                continue
-            leader[seed] = seed
-            reach = beside[start[seed] : start[seed + 1]]
-            reach = reach[leader[reach] < 0]
-            if across_images:
-                reach = reach[image[reach] != image[seed]]
-            may[reach] = 0
-            size = 0
-            while len(reach):
-                first = reach[0]
-                leader[first] = seed
-                size += 1
-                may[beside[start[first] : start[first + 1]]] += 1
-                reach = reach[1:]
-                reach = reach[may[reach] == size]  # near to every member so far
-                if across_images:
-                    reach = reach[image[reach] != image[first]]
-        return pd.DataFrame({"cluster": members["cluster"].iloc[0], "place": np.arange(n), "leader": leader}) if n else pd.DataFrame({"cluster": [], "place": [], "leader": []})
-
-    kind = rows.schema["cluster"].dataType.simpleString()
-    led = rows.groupBy("cluster").cogroup(pairs.groupBy("of")).applyInPandas(kernel, f"cluster {kind}, place int, leader int")
-    own = rows.select("cluster", "place", "id").join(led, ["cluster", "place"]).select("cluster", "id", F.col("leader").alias("place"))
-    named = own.join(rows.select("cluster", "place", F.col("id").alias("leader")), ["cluster", "place"]).select("id", "leader")
+    alone = Window.partitionBy("cluster")
+    order = alone.orderBy(F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.0)).desc(), "created_at", "id")
+    image = F.dense_rank().over(alone.orderBy("asset_id"))
+    members = islands(placed, metres, keys)
+    rows = members.select("cluster", "id", "lat", "lon", F.row_number().over(order).alias("place"), image.alias("image"), F.count("*").over(alone).alias("n")).where("n > 1").drop("n")
+
+    def kernel(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("place")
+        led = walks.cliques(f["lat"].to_numpy(), f["lon"].to_numpy(), f["image"].to_numpy() if across_images else None, metres, RADIUS)
+        return pd.DataFrame({"id": f["id"], "leader": f["id"].to_numpy()[led]})
+
+    kind = placed.schema["id"].dataType.simpleString()
+    named = rows.groupBy("cluster").applyInPandas(kernel, f"id {kind}, leader {kind}")
     return one.select("id").join(named, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))
 
 
@@ -112,7 +76,7 @@ def calibration_points(detections: DataFrame, metres: float = 1.8) -> DataFrame:
 def leader_counts(detections: DataFrame, metres: float) -> DataFrame:
     """Rows (id, leader) of detections (id, lat, lon, created_at), latest first: each joins the first cluster whose running mean is within so many metres. Rows of one id are one detection.
 
-    A newcomer is less than twice the distance from a cluster's latest member, so components of that graph don't interact. No distance: each
+    A newcomer is less than twice the distance from a cluster's latest member, so islands of that distance don't interact; one is a task's. No distance: each
     alone; places that are null or no numbers don't count.
     """
     one = _located(detections).groupBy("id").agg(F.min(F.struct("lat", "lon", "created_at")).alias("r")).select("id", "r.*")
@@ -121,27 +85,13 @@ def leader_counts(detections: DataFrame, metres: float) -> DataFrame:
 
     def kernel(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["created_at", "id"], ascending=[False, True], kind="stable")
-        lat, lon = f["lat"].to_numpy(), f["lon"].to_numpy()
-        mean, size, of = np.empty((2, len(f))), np.zeros(len(f), np.int64), np.empty(len(f), np.int64)
-        opened: list[int] = []  # the rows that opened clusters
-        for i in range(len(f)):
-            n = len(opened)
-            far = _metres(lat[i], lon[i], mean[0, :n], mean[1, :n], RADIUS_COUNTING)
-            near = np.flatnonzero(far <= metres)
-            k = int(near[0]) if len(near) else n
-            if k == n:
-                opened.append(i)
-                mean[:, n] = 0.0
-            mean[:, k] = (mean[:, k] * size[k] + (lat[i], lon[i])) / (size[k] + 1)
-            size[k] += 1
-            of[i] = opened[k]
-        return pd.DataFrame({"id": f["id"], "leader": f["id"].to_numpy()[of]})
+        led = walks.running_means(f["lat"].to_numpy(), f["lon"].to_numpy(), metres, RADIUS_COUNTING)
+        return pd.DataFrame({"id": f["id"], "leader": f["id"].to_numpy()[led]})
 
     found = written(one, "placed")
-    near = clusters(found, 2.02 * metres, (), radius=RADIUS_COUNTING)
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    near = islands(found, 2.02 * metres).withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where("n > 1")
     kind = found.schema["id"].dataType.simpleString()
-    led = found.select("id", "lat", "lon", "created_at").join(near.join(sizes, "cluster"), "id").groupBy("cluster").applyInPandas(kernel, f"id {kind}, leader {kind}")
+    led = near.select("cluster", "id", "lat", "lon", "created_at").groupBy("cluster").applyInPandas(kernel, f"id {kind}, leader {kind}")
     return found.select("id").join(led, "id", "left").select("id", F.coalesce("leader", F.col("id")).alias("leader"))
 
 

@@ -340,3 +340,78 @@ def test_names_are_cleaned_and_labels_parsed_once(spark):
     plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan(text.detection_type(F.col("s"))).count("regexp_replace") <= 2
     assert plan(settings.centre_of_json(F.col("s"))).count("jsontostructs") + plan(settings.centre_of_json(F.col("s"))).count("from_json") == 1
+
+
+def test_dense_clusters_keep_no_pairs(spark):
+    """Two crowds a little less, and a little more, than the distance apart: cells meet by outermost places or by all; ids that lie in two crowds link them."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for lat0, lon0 in ((-27.0, 153.0), (0.0, 179.99999), (84.0, 10.0)):
+        step = 1 / (111_195 * np.cos(np.radians(lat0)))
+        rows, gap = [], 13.0
+        for crowd in range(4):
+            for x, y in rng.uniform(0, 1, (150, 2)).tolist():
+                rows.append((len(rows), lat0 + (y * 60) / 111_195, float((lon0 + (crowd * (8 + gap) + (crowd >= 2) * 10 + x * 8) * step + 180) % 360 - 180)))
+        at = np.array([(a, o) for _, a, o in rows])
+        root = list(range(len(rows)))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, (a, o) in enumerate(at.tolist()):
+            a0, b0 = np.radians(a), np.radians(at[:, 0])
+            s = np.sin((b0 - a0) / 2) ** 2 + np.cos(a0) * np.cos(b0) * np.sin(np.radians(at[:, 1] - o) / 2) ** 2
+            for k in np.flatnonzero(2 * 6_371_000 * np.arcsin(np.sqrt(s)) <= 15.0).tolist():
+                p, q = find(i), find(k)
+                root[max(p, q)] = min(p, q)
+        got = {r.id: r.cluster for r in spatial.clusters(spark.createDataFrame(rows, "id long, lat double, lon double"), 15.0).collect()}
+        assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) >= 2
+
+
+def test_walks_hold_places_not_pairs():
+    """A crowd of 20,000 places within one distance: pairs would take gigabytes."""
+    import tracemalloc
+
+    import numpy as np
+
+    from fieldgrid.operators import walks
+
+    rng = np.random.default_rng(1)
+    lat, lon = -27 + rng.uniform(0, 1e-6, 20_000), 153 + rng.uniform(0, 1e-6, 20_000)
+    tracemalloc.start()
+    assert (walks.cliques(lat, lon, None, 1.8, 6_371_000.0) == 0).all() and (walks.running_means(lat, lon, 2.0, 6_371_008.8) == 0).all()
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+
+def test_counts_and_matches_of_crowds(spark):
+    """Strips count what measuring all counts; a heap takes what a walk over all pairs takes; ids may lie in several places."""
+    import numpy as np
+
+    from fieldgrid.operators import walks
+
+    rng = np.random.default_rng(3)
+    for lat0 in (-27.0, 0.0, 70.0):
+        lat, lon = lat0 + rng.uniform(-2e-4, 2e-4, 2000), 153 + rng.uniform(-2e-4, 2e-4, 2000)
+        number, own = rng.integers(0, 1700, 2000), rng.uniform(size=2000) < 0.7
+        assert (walks.counts(lat, lon, number, own, 15.0, 6_371_000.0) == walks.counts(lat, lon, number, own, 15.0, 6_371_000.0, few=5000)).all()
+        a, b = (number[:300] % 250, lat[:300], lon[:300]), (number[300:600] % 250, lat[300:600], lon[300:600])
+        every = sorted((float(d), int(i), int(k)) for i, y, x in zip(*a, strict=True) for d, k in zip(walks.metres_between(y, x, b[1], b[2], 6_371_000.0), b[0], strict=True) if d <= 6)
+        used, want = set(), []
+        for d, i, k in every:
+            if (0, i) not in used and (1, k) not in used:
+                used |= {(0, i), (1, k)}
+                want.append((i, k, d))
+        assert walks.nearest_first(a, b, 6.0, 6_371_000.0) == want
+    rows = [(int(number[i]), float(lat[i]), float(lon[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    every = {}
+    for i, y, x in rows:
+        every[i] = every.get(i, 0) + sum(1 for k, v, w in rows if k != i and metres((y, x), (v, w)) <= 9)
+    assert {r.id: r.neighbours for r in spatial.neighbour_counts(df, 9.0).collect()} == every
+    one = df.dropDuplicates(["id"])
+    few = {r.id: r.neighbours for r in spatial.neighbour_counts(one, 9.0).collect()}
+    assert {r.id: r.neighbours for r in spatial.least_neighbours(one, 9.0, 5).collect()} == {i: min(5, n) for i, n in few.items()}
