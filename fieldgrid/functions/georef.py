@@ -90,10 +90,14 @@ def geoid_height(lat: Column, lon: Column) -> Column:
 
 
 def box_polygon(df: DataFrame, x: Column, y: Column, width: Column, height: Column, lat: Column, lon: Column, camera: Column, pitch: Column, roll: Column, yaw: Column, ground: Column, out: str = "polygon") -> DataFrame:
-    """df with the closed ring of structs (lat, lon) of a box of pixels on the ground, or null where a corner has no place."""
+    """df with the closed ring of structs (lat, lon) of a box of pixels on the ground, or null where a corner has no place.
+
+    Each corner goes through a lambda, which ends the code that Spark makes as one method: that of four corners is longer than what the JVM compiles.
+    """
     corners = ((x, y), (x + width, y), (x + width, y + height), (x, y + height))
     for i, (cx, cy) in enumerate(corners):
         df = project_pixels(df, cx, cy, lat, lon, camera, pitch, roll, yaw, ground, out=f"_corner_{i}")
+        df = df.withColumn(f"_corner_{i}", F.transform(F.array(f"_corner_{i}"), lambda p: p)[0])
     at = [F.struct(F.col(f"_corner_{i}.lat").alias("lat"), F.col(f"_corner_{i}.lon").alias("lon")) for i in (0, 1, 2, 3, 0)]
     whole = F.lit(True)
     for i in range(4):

@@ -37,6 +37,12 @@ def _finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def _first_of(texts: list[Column], good) -> Column:
+    """The first of the texts that is a number for which good holds; each is parsed once."""
+    parsed = F.transform(F.array(*texts), lambda v: F.trim(v).try_cast("double"))
+    return F.get(F.filter(parsed, good), F.lit(0))
+
+
 def numbers(metadata: Column, name: str) -> list[Column]:
     return [_finite(F.trim(F.element_at(metadata, k)).try_cast("double")) for k in KEYS[name]]
 

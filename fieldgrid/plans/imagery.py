@@ -104,9 +104,9 @@ def projected_places(t: Bridge) -> DataFrame:
 def box_polygons(t: Bridge) -> DataFrame:
     rows, camera = _framed(t)
     found = georef.box_polygon(rows, F.col("x1").cast("double"), F.col("y1").cast("double"), (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double"), F.col("gps_lat"), F.col("gps_lon"), camera, F.col("gimbal_pitch"), F.col("gimbal_roll"), F.col("gimbal_yaw"), F.col("altitude"))
-    whole = lambda c: F.transform(F.slice("polygon", 1, 4), lambda p: F.round(p[c] * 10_000_000).cast("long"))
-    total = lambda c: F.aggregate(whole(c), F.lit(0).cast("long"), lambda s, v: s + v)
-    return found.select("detection_id", total("lat").alias("lats"), total("lon").alias("lons"), whole("lat")[0].alias("first_lat"))
+    e7 = lambda i, c: F.round(F.col("polygon")[i][c] * 10_000_000).cast("long")
+    total = lambda c: e7(0, c) + e7(1, c) + e7(2, c) + e7(3, c)
+    return found.select("detection_id", total("lat").alias("lats"), total("lon").alias("lons"), e7(0, "lat").alias("first_lat"))
 
 
 @query("""WITH s AS (SELECT detection_id, x1 / 4000.0E0 AS x, y1 / 2000.0E0 AS y, x1 FROM {detection}) SELECT detection_id, round(CASE WHEN x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 THEN x * 4000 ELSE greatest(0.0E0, least(4000.0E0, x)) END, 6) AS px, round(CASE WHEN x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 THEN y * 3000 ELSE greatest(0.0E0, least(3000.0E0, y)) END, 6) AS py FROM s""")

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -415,3 +416,20 @@ def test_counts_and_matches_of_crowds(spark):
     one = df.dropDuplicates(["id"])
     few = {r.id: r.neighbours for r in spatial.neighbour_counts(one, 9.0).collect()}
     assert {r.id: r.neighbours for r in spatial.least_neighbours(one, 9.0, 5).collect()} == {i: min(5, n) for i, n in few.items()}
+
+
+def test_box_polygon_code_stays_short_enough_to_compile(spark, capsys):
+    n = lambda v: F.lit(float(v)) + F.col("id")
+    df = spark.range(3).select("id", *[n(v).alias(k) for k, v in (("x", 10), ("y", 20), ("lat", -27), ("lon", 153), ("pitch", -80), ("yaw", 5), ("up", 50))])
+    camera = F.struct(F.lit(2000.0).alias("f"), F.lit(2000.0).alias("cx"), F.lit(1500.0).alias("cy"))
+    own = [F.col(c) for c in ("x", "y")]
+    found = georef.box_polygon(df, *own, F.lit(40.0), F.lit(30.0), F.col("lat"), F.col("lon"), camera, F.col("pitch"), F.lit(0.0), F.col("yaw"), F.col("up"))
+    assert all(len(r.polygon) == 5 and r.polygon[0] == r.polygon[4] for r in found.collect())
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found.select("id", "polygon").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # HotSpot interprets longer methods
