@@ -34,22 +34,21 @@ def let(value: Column, then) -> Column:
 
 
 def _finite(x: Column) -> Column:
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return F.when(_is_finite(x), x)
 
 
-def _first_of(texts: list[Column], good) -> Column:
-    """The first of the texts that is a number for which good holds; each is parsed once."""
-    parsed = F.transform(F.array(*texts), lambda v: F.trim(v).try_cast("double"))
-    return F.get(F.filter(parsed, good), F.lit(0))
+def _parsed(metadata: Column, keys: tuple[str, ...], good, clean=F.trim) -> Column:
+    """The numbers of those of the keys for which good holds, in order, as an array; each text is looked up and parsed once."""
+    return F.filter(F.transform(F.array(*[F.element_at(metadata, k) for k in keys]), lambda v: clean(v).try_cast("double")), good)
 
 
-def numbers(metadata: Column, name: str) -> list[Column]:
-    return [_finite(F.trim(F.element_at(metadata, k)).try_cast("double")) for k in KEYS[name]]
+def _is_finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
 def number(metadata: Column, name: str) -> Column:
     """The first of a value's names that holds a finite number; null without one."""
-    return F.coalesce(*numbers(metadata, name))
+    return F.get(_parsed(metadata, KEYS[name], _is_finite), F.lit(0))
 
 
 def read(metadata: Column) -> Column:
@@ -59,7 +58,7 @@ def read(metadata: Column) -> Column:
 
 def largest(metadata: Column, name: str) -> Column:
     """The largest positive number of all the names."""
-    return F.greatest(*[F.when(x > 0, x) for x in numbers(metadata, name)])
+    return F.array_max(_parsed(metadata, KEYS[name], lambda x: _is_finite(x) & (x > 0)))
 
 
 def scale(values: Column, name: str) -> Column:
@@ -117,18 +116,23 @@ def asset_camera(width: Column, height: Column, stored_altitude: Column, pitch:
             m.laser_distance.alias("laser_distance"), m.laser_lat.alias("laser_lat"), m.laser_lon.alias("laser_lon"),
         )
 
-    return let(read(metadata), lambda m: let(image_side(width, m, "width"), lambda w: let(image_side(height, m, "height"), lambda h: made(m, w, h))))
+    # The metadata is computed once too, not for each name that is looked up in it.
+    return let(let(metadata, read), lambda m: let(image_side(width, m, "width"), lambda w: let(image_side(height, m, "height"), lambda h: made(m, w, h))))
 
 
 def exif_camera(metadata: Column) -> Column:
     """What plain EXIF names say, where 0 counts as missing: struct (lat, lon, altitude, pitch, roll, yaw, fov, width, height)."""
-    value = lambda k: F.element_at(metadata, k).try_cast("double")
-    some = lambda *keys: F.coalesce(*[F.when(value(k) != 0, value(k)) for k in keys])
-    return F.struct(
-        value("GPSLatitude").alias("lat"), value("GPSLongitude").alias("lon"), F.coalesce(some("RelativeAltitude", "GPSAltitude"), F.lit(0.0)).alias("altitude"), F.coalesce(some("GimbalPitchDegree"), F.lit(-90.0)).alias("pitch"),
-        F.coalesce(some("GimbalRollDegree"), F.lit(0.0)).alias("roll"), F.coalesce(some("GimbalYawDegree", "FlightYawDegree"), F.lit(0.0)).alias("yaw"), F.coalesce(some("FieldOfView"), F.lit(DEFAULT_FOV)).alias("fov"),
-        some("ImageWidth", "ExifImageWidth").alias("width"), some("ImageHeight", "ExifImageHeight").alias("height"),
-    )
+
+    def made(m: Column) -> Column:
+        value = lambda k: F.element_at(m, k).try_cast("double")
+        some = lambda *keys: F.get(_parsed(m, keys, lambda x: x != 0, lambda v: v), F.lit(0))
+        return F.struct(
+            value("GPSLatitude").alias("lat"), value("GPSLongitude").alias("lon"), F.coalesce(some("RelativeAltitude", "GPSAltitude"), F.lit(0.0)).alias("altitude"), F.coalesce(some("GimbalPitchDegree"), F.lit(-90.0)).alias("pitch"),
+            F.coalesce(some("GimbalRollDegree"), F.lit(0.0)).alias("roll"), F.coalesce(some("GimbalYawDegree", "FlightYawDegree"), F.lit(0.0)).alias("yaw"), F.coalesce(some("FieldOfView"), F.lit(DEFAULT_FOV)).alias("fov"),
+            some("ImageWidth", "ExifImageWidth").alias("width"), some("ImageHeight", "ExifImageHeight").alias("height"),
+        )
+
+    return let(metadata, made)
 
 
 def valid_place(lat: Column, lon: Column) -> Column:

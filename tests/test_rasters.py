@@ -354,3 +354,13 @@ def test_vegetation_of_sides_and_points_without_numbers(spark):
     rings = [(1, 1, 0.5, p((0.0, 0.0), (6.0, None), (6.0, 4.0))), (1, 2, 0.9, p((0.0, 0.0), (6.0, 0.0), (6.0, 5.0))), (1, 3, 0.9, [None, *p((6.0, 0.0), (6.0, 5.0))])]
     kept = vegetation.clean_masks(spark.createDataFrame(rings, "asset_id long, id long, confidence double, ring array<struct<x: double, y: double>>"), shown, 0.4)
     assert [r.id for r in kept.collect()] == [2]
+
+
+def test_metadata_is_made_and_parsed_once(spark):
+    df = spark.range(4).withColumns({"w": F.lit(4000), "up": F.lit(30.0)})
+    made = F.create_map(F.lit("FieldOfView"), F.when(F.col("id") > 0, F.lit("NaN")), F.lit("FOV"), F.lit(" 70 "), F.lit("GimbalPitchDegree"), F.lit("0"), F.lit("ImageWidth"), F.lit("Infinity"), F.lit("imageWidth"), F.lit("5000"))
+    for c, names in ((metadata.asset_camera(F.col("w"), F.col("w"), F.col("up"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), made), ("fov", "width")), (metadata.exif_camera(made), ("pitch",))):
+        found = df.select("id", c.alias("c"))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("map(FieldOfView") == 1
+        got = {tuple(r.c[n] for n in names) for r in found.collect()}
+        assert got == ({(70.0, 5000.0)} if len(names) == 2 else {(-90.0,)})
