@@ -89,6 +89,46 @@ def geoid_height(lat: Column, lon: Column) -> Column:
     return F.when(within(-30, -25, 150, 155), 30.0).when(within(-35, -30, 150, 155), 32.0).when(within(-40, -35, 145, 150), 28.0).otherwise(30.0)
 
 
+def project_rings(df: DataFrame, ring: Column, lat: Column, lon: Column, camera: Column, pitch: Column, roll: Column, yaw: Column, height: Column, most_offset: Column | None = None, out: str = "places") -> DataFrame:
+    """df with an array of what project_pixels gives (lat, lon, offset_m) for each pixel (x, y) of the ring, or null in its place; null for a null ring.
+
+    The view's angles are turned once a row, and the pixels stay in their row, whatever their number.
+    """
+    p, r, w = F.radians(pitch), F.radians(roll), F.radians(yaw)
+    given = {"ring": ring, "lat": lat, "lon": lon, "camera": camera, "height": height, "most": F.lit(None).cast("double") if most_offset is None else most_offset}
+    given |= {f"{f}_{name}": of(v) for name, v in (("p", p), ("r", r), ("w", w)) for f, of in (("sin", F.sin), ("cos", F.cos))}
+    c = {k: F.col(f"_ring_{k}") for k in (*given, "centre", "sound", "degree")}
+    staged = df.withColumns({f"_ring_{k}": v for k, v in given.items()})
+
+    def turned(tan_x: Column, tan_y: Column) -> Column:
+        return F.struct((tan_x * c["cos_r"] - tan_y * c["sin_r"]).alias("right"), (tan_x * c["sin_r"] + tan_y * c["cos_r"]).alias("down"))
+
+    def pitched(v: Column) -> Column:
+        return F.struct((c["cos_p"] + v.down * c["sin_p"]).alias("forward"), v.right.alias("right"), (c["sin_p"] - v.down * c["cos_p"]).alias("up"))
+
+    def headed(v: Column) -> Column:
+        return F.struct((v.forward * c["sin_w"] + v.right * c["cos_w"]).alias("east"), (v.forward * c["cos_w"] - v.right * c["sin_w"]).alias("north"), v.up.alias("up"))
+
+    rays = lambda start: F.transform(F.transform(start, pitched), headed)
+    down = lambda v, f: c["height"] / -v.up * v[f]
+    on_ground = lambda v: F.when(descends(v), F.struct(down(v, "east").alias("east"), down(v, "north").alias("north")))
+    staged = staged.withColumn("_ring_centre", F.transform(rays(F.array(turned(F.lit(0.0), F.lit(0.0)))), on_ground)[0])
+    staged = staged.withColumn("_ring_degree", METRES_PROJECTION * F.cos(F.radians(c["lat"])))
+    staged = staged.withColumn("_ring_sound", positive(c["height"]) & c["centre"].isNotNull() & (F.abs(c["degree"]) >= 1e-6))
+
+    def place(o: Column) -> Column:
+        at = F.struct((c["lat"] + o.north / METRES_PROJECTION).alias("lat"), (c["lon"] + o.east / c["degree"]).alias("lon"), F.hypot(o.east - c["centre"].east, o.north - c["centre"].north).alias("offset_m"))
+        return F.when(o.isNotNull(), at)
+
+    def checked(v: Column) -> Column:
+        return F.when(v.lat.between(-90, 90) & v.lon.between(-180, 180) & (~positive(c["most"]) | (v.offset_m <= c["most"])), v)
+
+    start = F.transform(c["ring"], lambda v: turned((v.x - c["camera"].cx) / c["camera"].f, (v.y - c["camera"].cy) / c["camera"].f))
+    found = F.transform(F.transform(F.transform(rays(start), on_ground), place), checked)
+    nowhere = F.transform(c["ring"], lambda _: F.lit(None).cast("struct<lat: double, lon: double, offset_m: double>"))
+    return staged.withColumn(out, F.when(c["sound"], found).otherwise(nowhere)).drop(*[f"_ring_{k}" for k in c])
+
+
 def box_polygon(df: DataFrame, x: Column, y: Column, width: Column, height: Column, lat: Column, lon: Column, camera: Column, pitch: Column, roll: Column, yaw: Column, ground: Column, out: str = "polygon") -> DataFrame:
     """df with the closed ring of structs (lat, lon) of a box of pixels on the ground, or null where a corner has no place.
 

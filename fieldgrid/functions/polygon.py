@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from . import box
 from .geo import RADIUS, ring_area
+from .metadata import let
 
 
 def valid_ring(ring: Column) -> Column:
@@ -17,10 +18,13 @@ def valid_ring(ring: Column) -> Column:
 
 def extent(ring: Column) -> Column:
     """The corner box around a valid ring."""
-    good = valid_ring(ring)
-    xs, ys = F.transform(good, lambda p: p.x), F.transform(good, lambda p: p.y)
-    found = box.corner(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-    return F.when(good.isNotNull() & (found.x2 > found.x1) & (found.y2 > found.y1), found)
+
+    def around(good: Column) -> Column:
+        xs, ys = F.transform(good, lambda p: p.x), F.transform(good, lambda p: p.y)
+        found = box.corner(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+        return let(found, lambda b: F.when(good.isNotNull() & (b.x2 > b.x1) & (b.y2 > b.y1), b))
+
+    return let(valid_ring(ring), around)
 
 
 def is_rectangle(ring: Column) -> Column:

@@ -156,3 +156,11 @@ def test_signal_changes(spark):
     assert Counter(r.comparison_id for r in found if r.change_type == "NEW") == Counter({r.id for r in other} - {b for _, b in taken})
     assert Counter(r.baseline_id for r in found if r.change_type in ("RESOLVED", "UNOBSERVED")) == Counter({r.id for r in base} - {a for a, _ in taken})
     assert len({r.baseline_id.split(":")[0] for r in found if r.baseline_id}) == 3
+
+
+def test_feed_keeps_vertices_in_their_rows(spark):
+    labels = spark.createDataFrame([("m", 1, 1, "a", 0.5, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)])], "source string, id int, asset_id int, class string, confidence double, ring array<struct<x: double, y: double>>")
+    images = spark.createDataFrame([(1, -27.0, 153.0, -90.0, 0.0, 0.0, 50.0)], "asset_id int, gps_lat double, gps_lon double, gimbal_pitch double, gimbal_roll double, gimbal_yaw double, up double")
+    camera = F.struct(F.lit(100.0).alias("f"), F.lit(5.0).alias("cx"), F.lit(5.0).alias("cy"))
+    plan = feeds.annotation_feed(labels, images, camera, F.col("up"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "generate" not in plan and plan.count("zip_with(") == 1
