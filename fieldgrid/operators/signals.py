@@ -20,9 +20,11 @@ def _placed(df: DataFrame, source: str, id_: str, species: Column, confidence: C
     """Rows (source, id, species, confidence, lat, lon, ring, extra): the place is the stored one, else the middle of the ring (x longitude, y latitude)."""
     ring = valid_ring(_column(df, "ring", _RING))
     rows = df.select(F.lit(source).alias("source"), F.col(id_).alias("id"), species.alias("species"), confidence.alias("confidence"), "lat", "lon", ring.alias("ring"), *extra)
-    middle = ring_centroid(F.col("ring"))
     good = valid_coordinate(F.col("lat"), F.col("lon"))
-    return rows.withColumns({"lat": F.when(good, F.col("lat")).otherwise(middle.y), "lon": F.when(good, F.col("lon")).otherwise(middle.x)}).where(valid_coordinate(F.col("lat"), F.col("lon")))
+    own = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))
+    at = F.filter(F.array(F.when(good, own).otherwise(ring_centroid(F.col("ring")))), lambda p: valid_coordinate(p.y, p.x))
+    # As the rows of a generator, places are not computed again by the filters on them.
+    return rows.select("source", "id", "species", "confidence", F.inline(at).alias("lon", "lat"), "ring", *extra).select(*rows.columns)
 
 
 def _share(confidence: Column, default: float = 0.5) -> Column:

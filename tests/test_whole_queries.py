@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fieldgrid.operators import planning, resolution, temporal
-from fieldgrid.plans import analytics, quality
+from fieldgrid.plans import analytics, quality, registry
 from fieldgrid.sources.bridge import Bridge
 
 SF = "/root/testdata/sf0.001"
@@ -296,3 +296,8 @@ def test_covered_places_anywhere_on_the_globe(spark):
     want = {i for i, lat, lon in signals if (far((lat, lon), [r[1:3] for r in images]) <= reach).any()}
     found = temporal.covered(spark.createDataFrame([*signals, (99_999, None, 1.0)], "id long, lat double, lon double"), spark.createDataFrame([*images, (-1, None, None, 1.0, 84.0)], "asset_id long, gps_lat double, gps_lon double, altitude double, camera_fov double"))
     assert sorted(r.id for r in found.collect()) == sorted(want) and 300 < len(want) < 990
+
+
+def test_places_of_signals_are_computed_once(spark):
+    plan = registry.QUERIES["survey_signals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 2  # the rings of labels by hand and of suggestions
