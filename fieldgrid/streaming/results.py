@@ -31,7 +31,7 @@ def _last(rows: DataFrame, *order: str) -> DataFrame:
 
 def _counted(sign: int, rows: DataFrame) -> DataFrame:
     one = F.lit(sign).cast("long")
-    return rows.select("parent_id", "job_id", one.alias("processed"), F.when(~F.coalesce("ok", F.lit(False)), one).otherwise(0).alias("failed"), (sign * F.coalesce(F.size("boxes"), F.lit(0)).cast("long")).alias("boxes"))
+    return rows.select("parent_id", "job_id", one.alias("processed"), F.when(~F.coalesce("ok", F.lit(False)), one).otherwise(0).alias("failed"), (sign * F.coalesce("n", F.lit(0)).cast("long")).alias("boxes"))
 
 
 def fold_batch(batch: DataFrame, number: int, path: str) -> None:
@@ -40,9 +40,11 @@ def fold_batch(batch: DataFrame, number: int, path: str) -> None:
     names = ["job_id", "asset_id", "parent_id", "at", "ok", "boxes"]
     now = _last(batch.select(*names).where("job_id IS NOT NULL AND asset_id IS NOT NULL").withColumn("n", F.size("boxes")), "at", "ok", "n").select(*names)
     now.write.mode("overwrite").parquet(f"{path}/results/batch={number}")
-    own = spark.read.schema(RESULT).parquet(f"{path}/results/batch={number}")
-    earlier = _read(spark, f"{path}/results", RESULT, number).join(own.select("job_id", "asset_id"), ["job_id", "asset_id"], "left_semi")
-    change = _counted(1, own).unionByName(_counted(-1, _last(earlier, "batch").select(*names)))
+    # Counters need the number of boxes only, so no boxes are shuffled for them.
+    told = lambda rows, *more: rows.select("job_id", "asset_id", "parent_id", "ok", F.size("boxes").alias("n"), *more)
+    own = told(spark.read.schema(RESULT).parquet(f"{path}/results/batch={number}"))
+    earlier = told(_read(spark, f"{path}/results", RESULT, number), "batch").join(own.select("job_id", "asset_id"), ["job_id", "asset_id"], "left_semi")
+    change = _counted(1, own).unionByName(_counted(-1, _last(earlier, "batch")))
     sums = change.groupBy("parent_id", "job_id").agg(*(F.sum(c).alias(c) for c in ("processed", "failed", "boxes")))
     sums.write.mode("overwrite").parquet(f"{path}/counters/batch={number}")
 

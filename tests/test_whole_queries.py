@@ -5,10 +5,12 @@ from collections import Counter, defaultdict, namedtuple
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldgrid.operators import planning, resolution, temporal
-from fieldgrid.plans import analytics, quality, registry
+from fieldgrid.plans import analytics, flows, quality, registry
 from fieldgrid.sources.bridge import Bridge
+from fieldgrid.streaming import results
 
 SF = "/root/testdata/sf0.001"
 R = 6_371_000.0
@@ -301,3 +303,11 @@ def test_covered_places_anywhere_on_the_globe(spark):
 def test_places_of_signals_are_computed_once(spark):
     plan = registry.QUERIES["survey_signals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("zip_with(") == 2  # the rings of labels by hand and of suggestions
+
+
+def test_batches_of_a_stream_have_files_for_several_tasks(spark, monkeypatch):
+    seen, fold = [], results.fold_batch
+    monkeypatch.setattr(flows.results, "fold_batch", lambda batch, number, path: (seen.append((number, batch.select(F.input_file_name()).distinct().count())), fold(batch, number, path)))
+    flows._streamed(registry.Bridge(spark, "/root/testdata/sf0.001"))
+    many = max(1, spark.sparkContext.defaultParallelism // 2)
+    assert seen == [(n, many) for n in range(4) for _ in range(2)]
