@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -68,13 +69,15 @@ def features(detections: DataFrame, manual: DataFrame) -> DataFrame:
     return rows(detections, "AI", share).unionByName(rows(manual, "Manual", level))
 
 
-def _files(lons: list[float], lats: list[float], columns: list[list[str]]) -> dict[str, bytes]:
-    """The files of a shapefile of points by their endings."""
+def _files(lons: np.ndarray, lats: np.ndarray, columns: list[pa.Array]) -> dict[str, bytes]:
+    """The files of a shapefile of points by their endings; a column's text is padded once for all rows that have it."""
     n = len(lons)
-    box = min(lons), min(lats), max(lons), max(lats)
+    box = lons.min(), lats.min(), lons.max(), lats.max()
     head = lambda words: struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<ii8d", 1000, 1, *box, 0, 0, 0, 0)
-    shp = b"".join(struct.pack(">ii", i + 1, 10) + struct.pack("<idd", 1, x, y) for i, (x, y) in enumerate(zip(lons, lats, strict=True)))
-    shx = b"".join(struct.pack(">ii", 50 + 14 * i, 10) for i in range(n))
+    shp, shx = np.empty(n, ">i4,>i4,<i4,<f8,<f8"), np.empty(n, ">i4,>i4")
+    for at, value in enumerate((np.arange(1, n + 1), 10, 1, lons, lats)):
+        shp[f"f{at}"] = value
+    shx["f0"], shx["f1"] = 50 + 14 * np.arange(n), 10
     fields = b"".join(name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([size, 0]) + bytes(14) for name, kind, size in ALL_FIELDS)
     width = 1 + sum(size for _, _, size in ALL_FIELDS)
 
@@ -82,9 +85,12 @@ def _files(lons: list[float], lats: list[float], columns: list[list[str]]) -> di
         data = value.encode()[:size].decode("utf-8", "ignore").encode()  # no character is cut in two
         return data.rjust(size) if kind == "N" else data.ljust(size)
 
-    rows = b"".join(b" " + b"".join(told(c[i], kind, size) for c, (_, kind, size) in zip(columns, ALL_FIELDS, strict=True)) for i in range(n))
-    dbf = struct.pack("<BBBBIHH20x", 3, 124, 1, 1, n, 33 + len(fields), width) + fields + b"\r" + rows + b"\x1a"
-    return {"shp": head(50 + 14 * n) + shp, "shx": head(50 + 4 * n) + shx, "dbf": dbf, "prj": PRJ.encode(), "cpg": b"UTF-8"}
+    rows = np.full(n, b" ", [("mark", "S1"), *((name, f"S{size}") for name, _, size in ALL_FIELDS)])
+    for c, (name, kind, size) in zip(columns, ALL_FIELDS, strict=True):
+        texts = c.dictionary_encode()
+        rows[name] = np.array([told(v, kind, size) for v in texts.dictionary.to_pylist()], f"S{size}")[texts.indices.to_numpy()]
+    dbf = struct.pack("<BBBBIHH20x", 3, 124, 1, 1, n, 33 + len(fields), width) + fields + b"\r" + rows.tobytes() + b"\x1a"
+    return {"shp": head(50 + 14 * n) + shp.tobytes(), "shx": head(50 + 4 * n) + shx.tobytes(), "dbf": dbf, "prj": PRJ.encode(), "cpg": b"UTF-8"}
 
 
 def write_zipped(found: DataFrame, folder: str, most: int = FILE_ROWS) -> DataFrame:
@@ -99,7 +105,7 @@ def write_zipped(found: DataFrame, folder: str, most: int = FILE_ROWS) -> DataFr
         with fs.open_output_stream(temporary) as f:
             packed = io.BytesIO()
             with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-                for ending, data in _files(table["lon"].to_pylist(), table["lat"].to_pylist(), [table[c].to_pylist() for c in names]).items():
+                for ending, data in _files(table["lon"].to_numpy(), table["lat"].to_numpy(), [table[c].combine_chunks() for c in names]).items():
                     z.writestr(f"detections/detections.{ending}", data)
             f.write(packed.getvalue())
         fs.move(temporary, name)

@@ -149,3 +149,17 @@ def test_queries_of_many_files_write_few(spark, tmp_path, monkeypatch, module, n
     found = getattr(module, name)(Bridge(spark, "/root/testdata/sf0.001")).count()
     files = sum(len(files) for _, _, files in os.walk(tmp_path))
     assert found > 100 and 0 < files <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_shapefile_pads_a_text_once_for_all_its_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldgrid.sinks import shapefile
+    from fieldgrid.sources import shapefiles
+
+    texts = ["é" * 200, "", "é" * 200]
+    made = shapefile._files(np.array([150.0, 151.0, 152.0]), np.array([-20.0, -21.0, -22.0]), [pa.array(texts) for _ in shapefile.ALL_FIELDS])
+    rows = shapefiles.attributes(made["dbf"])
+    assert [r["NOTES"] for r in rows] == ["é" * 127, "", "é" * 127] and [r["CONFIDENCE"] for r in rows] == ["é" * 5, "", "é" * 5]
+    assert [shapefiles.shape(b)[1][0][0]["x"] for b in shapefiles.records(made["shp"])] == [150.0, 151.0, 152.0]
