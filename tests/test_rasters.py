@@ -108,6 +108,25 @@ def test_mask_shapes_of_odd_rows(spark):
     assert masks.shapes(df.limit(0)).count() == 0
 
 
+def test_masks_of_boxes_and_run_lengths_are_not_drawn(spark, t):
+    rng = np.random.default_rng(4)
+    side = lambda n: int(rng.integers(-3, n + 4))
+    rows = [(i, [(side(30), side(20), side(30), side(20)) for _ in range(rng.integers(0, 9))]) for i in range(300)] + [(300, None), (301, [(0, 0, 30, 20)])]
+    df = spark.createDataFrame(rows, "id long, boxes array<struct<x1: int, y1: int, x2: int, y2: int>>").withColumns({"width": F.lit(30), "height": F.lit(20)})
+    told = lambda found: sorted(map(repr, found.collect()))
+    of = lambda made: masks.shapes(made, least_area=2.0)
+    want = told(of(df.withColumn("mask", masks.drawn(F.col("boxes"), 30, 20))))
+    assert told(of(df.withColumnRenamed("boxes", "mask"))) == want and sum("outline=None" not in r for r in want) > 100
+    runs = masks.shapes(df.withColumnRenamed("boxes", "mask"), outlines=False)
+    assert told(of(runs.select("id", F.col("runs").alias("mask"), F.lit(30).alias("width"), F.lit(20).alias("height")))) == want
+    odd = spark.createDataFrame([(1, [595, 20, 1, 2, 2, 3]), (2, None), (3, [])], "id long, mask array<int>").withColumns({"width": F.lit(30), "height": F.lit(20)})
+    assert {r.id: (r.runs, r.pixels) for r in masks.shapes(odd).collect()} == {1: ([1, 4, 595, 6], 10), 2: (None, None), 3: ([], 0)}
+    null = spark.createDataFrame([(1, [None, (1, 1, 3, 2)])], df.select("id", F.col("boxes").alias("mask")).schema).withColumns({"width": F.lit(30), "height": F.lit(20)})
+    assert masks.shapes(null).first().runs == [32, 2]
+    for query in (rasters.mask_outlines,):
+        assert "ArrowEvalPython" not in query(t)._jdf.queryExecution().toString()
+
+
 def test_mask_outlines_of_the_whole_table(t):
     boxes = defaultdict(set)
     for r in t.detection.collect():
