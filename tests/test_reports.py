@@ -1,6 +1,7 @@
 """Reports, settings and merges: small cases, and whole queries against plain restatements."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -158,6 +159,27 @@ def test_signal_changes(spark):
     assert len({r.baseline_id.split(":")[0] for r in found if r.baseline_id}) == 3
 
 
+def test_signals_with_rings_match_without_rows_of_pairs(spark, monkeypatch):
+    """Odd rings too: a triangle, a tilted square, none."""
+    rng = random.Random(8)
+    shapes = [[(-1, -1), (1, -1), (1, 1), (-1, 1)], [(-1, -1), (1, -1), (0, 1)], [(0, -1), (1, 0), (0, 1), (-1, 0)], None]
+
+    def made(first):
+        rows = []
+        for i in range(40):
+            lat, lon, ring = -27 + rng.random() * 0.0002, 153 + rng.random() * 0.0002, rng.choice(shapes)
+            rows.append((first + i, "ab"[i % 2], 0.5, lat, lon, ring and [(lon + x * 0.00004, lat + y * 0.00004) for x, y in ring]))
+        return spark.createDataFrame(rows, "id long, species string, confidence double, lat double, lon double, ring array<struct<x: double, y: double>>")
+
+    base, other = made(0), made(100)
+    met = temporal.candidates(base, other).collect()
+    want = set(greedy((r.cost, r.a, r.b) for r in met))
+    images = spark.createDataFrame([], "asset_id long, gps_lat double, gps_lon double, altitude double, camera_fov double")
+    monkeypatch.setattr(temporal, "candidates", None)
+    found = temporal.changes(base, other, images).where("change_type = 'PERSISTENT'").collect()
+    assert {(r.baseline_id, r.comparison_id) for r in found} == want and len(want) > 20 and len(met) > 2 * len(want)
+
+
 def test_feed_keeps_vertices_in_their_rows(spark):
     labels = spark.createDataFrame([("m", 1, 1, "a", 0.5, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)])], "source string, id int, asset_id int, class string, confidence double, ring array<struct<x: double, y: double>>")
     images = spark.createDataFrame([(1, -27.0, 153.0, -90.0, 0.0, 0.0, 50.0)], "asset_id int, gps_lat double, gps_lon double, gimbal_pitch double, gimbal_roll double, gimbal_yaw double, up double")
