@@ -281,7 +281,7 @@ def _outline_of(runs: np.ndarray) -> _Outline:
     return found
 
 
-def _runs_of(column: pa.Array, width: np.ndarray, height: np.ndarray) -> Runs:
+def runs_of(column: pa.Array, width: np.ndarray, height: np.ndarray) -> Runs:
     """The runs of a batch's masks: bytes, boxes to be drawn, or run lengths. Width and height are 0 for those that don't count."""
     good = width > 0
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
@@ -335,7 +335,7 @@ def shapes(df: DataFrame, key: str = "id", mask: str = "mask", width: str = "wid
             good &= data.is_valid().to_numpy(zero_copy_only=False)
         if pa.types.is_binary(data.type) or pa.types.is_large_binary(data.type):
             good &= pc.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False) == w * h
-        found = _runs_of(data, np.where(good, w, 0), np.where(good, h, 0))
+        found = runs_of(data, np.where(good, w, 0), np.where(good, h, 0))
         owner, ends = found.boxes()
         n = len(good)
         box = np.zeros((n, 4), np.int32)

@@ -5,7 +5,7 @@ Candidates of an image meet its pixels once; a kernel sees some hundred images,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,38 @@ def _number(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
+def green_shares(candidates: DataFrame, images: DataFrame, paint: Callable[[pa.Array], pa.Array] | None = None, key: str = "asset_id") -> DataFrame:
+    """Rows (key, shares): of each image with candidates the array of (id, green) of their boxes' green shares, in the order of ids; null for a null image and for a box outside it.
+
+    images (key, pixels, width, height) are as gate_candidates takes them, or pixels is what `paint` makes them of, a slice of images at a time, so that the bytes don't leave the kernel.
+    """
+    kind = candidates.schema[key].dataType.simpleString()
+    ids = candidates.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, IMAGES) for whole in batches for i in range(0, whole.num_rows, IMAGES)):
+            pixels = paint(b.column(1)) if paint else b.column(1)
+            width, height = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            wide = np.int64 if pa.types.is_large_binary(pixels.type) else np.int32
+            ends = np.frombuffer(pixels.buffers()[1], wide)[pixels.offset : pixels.offset + len(pixels) + 1].astype(np.int64)
+            raw = np.frombuffer(pixels.buffers()[2] or b"", np.uint8)
+            there = pixels.is_valid().to_numpy(zero_copy_only=False)
+            if (np.diff(ends)[there] < (width * height * 3)[there]).any():
+                raise ValueError("an image is shorter than its size")
+            many = pc.list_value_length(b.column(4)).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(many)), many)
+            id_, *sides = b.column(4).flatten().flatten()
+            boxes = np.stack([_number(c) for c in sides], 1)
+            boxes[~there[owner]] = np.nan
+            found = Boxes(raw, ends[:-1][owner], width[owner], height[owner], boxes)
+            green = pa.array(found.shares(), mask=found.many[:, 0] == 0)
+            offsets = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([id_, green], ["id", "green"]))], names=["key", "shares"])
+
+    found = _by_image(candidates, images, ["id", "x1", "y1", "x2", "y2"], key)
+    return found.mapInArrow(run, f"key {kind}, shares array<struct<id: {ids}, green: double>>").withColumnRenamed("key", key)
+
+
 def gate_candidates(candidates: DataFrame, images: DataFrame, threshold: float, key: str = "asset_id") -> DataFrame:
     """Rows (key, id, confidence, x1, y1, x2, y2, px, py, green, moved) of the candidates whose box is green by `threshold` or more.
 

@@ -108,6 +108,20 @@ def test_mask_shapes_of_odd_rows(spark):
     assert masks.shapes(df.limit(0)).count() == 0
 
 
+def test_green_shares_of_an_image_are_one_row(spark, t):
+    rng = np.random.default_rng(6)
+    pictures = [(i, rng.integers(0, 255, 30 * 20 * 3).astype(np.uint8).tobytes() if i else None, 30, 20) for i in range(4)]
+    boxes = [(n, int(rng.integers(0, 5)), *(float(v) for v in rng.uniform(-8, 34, 4).round(1))) for n in range(200)] + [(200, 1, 0.0, 0.0, float("nan"), 9.0)]
+    images, found = spark.createDataFrame(pictures, "asset_id long, pixels binary, width int, height int"), spark.createDataFrame(boxes, "id long, asset_id long, x1 double, y1 double, x2 double, y2 double")
+    raw = {i: p for i, p, *_ in pictures}
+    mask = lambda i, box: pixels.green_mask(raw[i], 30, 20, box) if raw[i] and not np.isnan(box).any() else np.zeros(0)
+    want = {n: float(m.mean()) if (m := mask(i, box)).size else None for n, i, *box in boxes if i in raw}
+    got = vegetation.green_shares(found, images).collect()
+    assert {s.id: s.green for r in got for s in r.shares} == want and len(got) == 4 and None in want.values() and any(want.values())
+    plan = lambda query: query(t)._jdf.queryExecution().toString()
+    assert all("ArrowEvalPython" not in plan(q) for q in (rasters.green_fractions, rasters.green_thresholds))
+
+
 def test_masks_of_boxes_and_run_lengths_are_not_drawn(spark, t):
     rng = np.random.default_rng(4)
     side = lambda n: int(rng.integers(-3, n + 4))
