@@ -1,13 +1,14 @@
 """Registered queries without SQL, over their whole tables, against plain-Python restatements."""
 
 import math
+import random
 from collections import Counter, defaultdict, namedtuple
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.operators import planning, resolution, temporal
+from fieldgrid.operators import planning, resolution, spatial, temporal
 from fieldgrid.plans import analytics, flows, quality, registry
 from fieldgrid.sources.bridge import Bridge
 from fieldgrid.streaming import results
@@ -311,3 +312,16 @@ def test_batches_of_a_stream_have_files_for_several_tasks(spark, monkeypatch):
     flows._streamed(registry.Bridge(spark, "/root/testdata/sf0.001"))
     many = max(1, spark.sparkContext.defaultParallelism // 2)
     assert seen == [(n, many) for n in range(4) for _ in range(2)]
+
+
+def test_large_islands_are_matched_by_halves_of_the_distance(spark, monkeypatch):
+    rng = random.Random(9)
+    made = lambda first: spark.createDataFrame([(first + i % 55, -27 + rng.randrange(30) * 1e-6, 153 + rng.randrange(30) * 1e-6) for i in range(60)], "id long, lat double, lon double")
+    one, two = made(0).cache(), made(100).cache()
+    told = lambda: sorted((r.a, r.b, r.cost) for r in spatial.match_nearest(one, two, 3.0).collect())
+    whole, asked = told(), []
+    monkeypatch.setattr(spatial, "WALKED", 20)
+    monkeypatch.setattr(spatial, "HALVES", 2)
+    halved = spatial._matched
+    monkeypatch.setattr(spatial, "_matched", lambda *a: asked.append(a[1]) or halved(*a))
+    assert told() == whole and len(whole) > 40 and {3.0, 1.5, 0.75} <= set(asked)
